@@ -110,7 +110,7 @@ def shingles(data: np.ndarray, cuts: np.ndarray, width: int = 5) -> tuple[np.nda
     total = np.zeros(n, np.uint64)
     weight = [np.uint64(mixed(np.array([j + 1], np.uint64))[0] | np.uint64(1)) for j in range(width)]
     left = np.repeat(ends, counts) - np.arange(n)  # words from here to the end of the text
-    for j in range(width):
+    for j in range(min(width, n)):
         part = h[j:] * weight[j]
         if j >= 1:
             part = np.where(left[: n - j] > j, part, np.uint64(0))
