@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, fingerprints, packing, quality, secrets, urlfilter
+from . import bpe, embeddups, fingerprints, htmltext, packing, quality, secrets, urlfilter
 from .common import table
 
 
@@ -49,6 +49,14 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddups.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -56,11 +64,28 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
+    "op7_html_text": op7_html_text,
+    "op10_embedding_dups": op10_embedding_dups,
 }
 
 _PATTERNS = "|".join(x.strip("^") for x in urlfilter.PATTERN_RULES)
 
 ORACLES = {
+    "op10_embedding_dups": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), u AS (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM v
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id
+    AND list_inner_product(a.e, b.e) >= 0.9 * a.n * b.n WHERE a.n > 0 AND b.n > 0
+), r AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (SELECT a, min(b) AS b FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(vec_id, coalesce(c.b, vec_id)) AS component_id, least(vec_id, coalesce(c.b, vec_id)) = vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id
+""",
     "op6_url_filter": rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
