@@ -42,6 +42,7 @@ def stored(df: DataFrame) -> DataFrame:
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     path = f"{base}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files that are no longer needed
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddups, fingerprints, htmltext, ngramjoin, packing, quality, secrets, urlfilter
+from . import bpe, embeddups, fingerprints, htmltext, ngramjoin, packing, quality, secrets, suffixdedup, urlfilter
 from .common import table
 
 
@@ -53,6 +53,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngramjoin.similar(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op5_fingerprints": op5_fingerprints,
     "op6_url_filter": op6_url_filter,
     "op7_html_text": op7_html_text,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_embedding_dups": op10_embedding_dups,
 }
