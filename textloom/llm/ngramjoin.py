@@ -71,14 +71,14 @@ def _signed(x: int) -> int:
 
 
 def _documents(docs: DataFrame, key: str, text: str, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, n, node, grp, prefix): the class of equal sets, the group of equal prefixes and sizes, and the prefix."""
+    """(id, th, n, node, grp, prefix): th of the text, the class of equal sets, the group of equal prefixes and sizes."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(levels.size).bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, text):
+        for table in blocks(batches, "_text"):
             rows: list[tuple] = []
-            for x in sets_of(table.column(text), width):
+            for x in sets_of(table.column("_text"), width):
                 n = len(x)
                 if not n:
                     rows.append((0, None, None, None))
@@ -88,9 +88,11 @@ def _documents(docs: DataFrame, key: str, text: str, levels: np.ndarray, width:
                 rows.append((n, _signed(xxhash.xxh3_64_intdigest(x.tobytes(), n)), _signed(xxhash.xxh3_64_intdigest(prefix, n)), prefix))
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield from pa.table([table.column("id"), *(pa.array(c, k) for c, k in zip(columns, kinds))], ["id", "n", "node", "grp", "prefix"]).to_batches(4096)
+            columns = [table.column("id"), table.column("th"), *(pa.array(c, k) for c, k in zip(columns, kinds))]
+            yield from pa.table(columns, ["id", "th", "n", "node", "grp", "prefix"]).to_batches(4096)
 
-    return docs.select(F.col(key).cast("long").alias("id"), text).mapInArrow(run, "id long, n long, node long, grp long, prefix binary")
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("_text"))
+    return rows.mapInArrow(run, "id long, th long, n long, node long, grp long, prefix binary")
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
@@ -276,7 +278,10 @@ def _checked(members: DataFrame, percent: int) -> DataFrame:
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """One row per document: key, n_shingles, component_id (the smallest id reachable by links, its own included)."""
+    """One row per document: key, n_shingles, component_id (the smallest id reachable by links, its own included).
+
+    Also th, the xxhash64 of the text, and label, which rows of one component share (null without shingles).
+    """
     levels = shingle_levels(docs, text, width)
     known = stored(_documents(docs, key, text, levels, width, percent))
     classes = known.where("n > 0").groupBy("node", "grp").agg(F.min("id").alias("id"))
@@ -302,7 +307,27 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
 
     members = texts.select("_text", "node", "lists").mapInArrow(expand, "list binary, node long, shingles binary")
     groups = components(_checked(members, percent)).withColumnRenamed("component", "label")
-    labelled = known.select("id", "n", "node").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = known.select("id", "th", "n", "node").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = labelled.join(least, "label", "left")
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+    component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
+    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "th", "label")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents without near copies: of each component one row of its smallest id; columns stay as they are.
+
+    Of rows of a component that share that id the one with the smallest text hash stays, once. Rows without an id all
+    stay; of texts without words one for each id.
+    """
+    found = similar(docs, key, text, **options)
+    first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_id"), "label")
+    chosen = first.agg(F.min("th").alias("_th")).select("_id", "_th").distinct()
+    named = docs.withColumns({"_id": F.col(key).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    counts = found.groupBy(F.col(key).alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_n"))
+    chosen = stored(counts.join(chosen, ["_id", "_th"]))
+    kept = named.join(chosen, ["_id", "_th"]).unionByName(named.where("_id IS NULL").withColumn("_n", F.lit(1).cast("long")))
+    if chosen.where("_n > 1").limit(1).count():
+        many = kept.where("_n > 1").dropDuplicates(["_id", "_th"])
+        kept = kept.where("_n = 1").unionByName(many)
+    return kept.select(*docs.columns)

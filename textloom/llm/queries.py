@@ -58,7 +58,7 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngramjoin.similar(table(spark, sf_dir, "documents"))
+    return ngramjoin.similar(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
