@@ -1,4 +1,14 @@
-"""All queries of the engine with their oracles."""
+"""All queries of the engine with their oracles: what textloom computes, over the driver's tables.
+
+A "version" is a document, a "verse" a line; keys of the star schema stand for books and chapters.
+"""
+
+from __future__ import annotations
+
+from . import corpus, limits, orders, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (texts, corpus, orders, limits):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
