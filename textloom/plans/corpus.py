@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import diffing, sequences
+from ..operators import alignment, diffing, sequences
 from .common import Registry, table
 
 query = Registry()
@@ -125,4 +125,34 @@ def ratio_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("finding", F.when(F.expr("words < 0.4 * canon_words"), "short").otherwise("long"))
 
 
+@query()
+def walked_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each conversation by the passage that the cursor walk gives them."""
+    split = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
+    canon = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.lit("passages").alias("book"), split("text").alias("norms"))
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("version"), "turn", F.posexplode(split("text")).alias("i", "norm"))
+    words = turns.select("version", (F.col("turn") * 1_000_000 + F.col("i")).alias("pos"), "norm", F.col("turn").alias("line_no"), F.lit(None).cast("string").alias("heading"), F.lit(None).cast("string").alias("book"))
+    return alignment.align(words, canon).groupBy("version", "verse_ord").agg(F.count("*").alias("words"), F.min("pos").alias("first"))
+
+
+@query()
+def alignment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers audited against the turns before them, as verses against the canon."""
+    turns = table(spark, sf_dir, "conversations").withColumn("verse", (F.col("turn") / 2).cast("int"))
+    w = Window.partitionBy("conv_id", "role").orderBy("turn", "text")
+    turns = turns.withColumn("pos", F.row_number().over(w)).withColumn("book", F.col("conv_id").cast("string")).withColumn("chapter", F.lit(1))
+    aligned = turns.where("role = 'assistant'").select(F.col("role").alias("version"), "book", "chapter", "verse", "pos", F.split("text", "\n", -1).alias("lines"))
+    canon = turns.where("role = 'user'").select("book", "chapter", "verse", "pos", "text")
+    return alignment.report_summary(alignment.chapter_reports(aligned, canon))
+
+
+@query()
+def markup_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of marked-up texts by kind (F16): brackets in page addresses and texts as they come."""
+    marked = F.regexp_replace("text", r"(\w+)ti(\w+)", "$1[ti]$2")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", marked.alias("m"))
+    tokens = alignment.with_markup(rows, "m").select("conv_id", F.explode("markup").alias("t"))
+    return tokens.groupBy("conv_id", F.col("t.kind").alias("kind")).agg(F.count("*").alias("tokens"), F.count_if(F.col("t.segments").isNotNull()).alias("mixed"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles
