@@ -7,6 +7,16 @@ def test_words_cut_by_line_breaks():
     assert al.merged_breaks(["wher", "efore"], [1, 1], canon) == [[0], [1]]
 
 
+def test_table_of_matches():
+    import random
+
+    random.seed(3)
+    words = ["".join(random.choice("abcde") for _ in range(random.randint(0, 9))) for _ in range(90)]
+    match = al.Matcher({words[5]: words[6]})
+    table = match.table(words, words[::-1])
+    assert all(table[i, j] == match(a, b) for i, a in enumerate(words) for j, b in enumerate(words[::-1]))
+
+
 def test_earliest_match_and_tail():
     assert al.earliest("and it came to pass and".split(), ["and", "pass"], al.Matcher()) == [0, 4]
     assert al.without_sparse_tail([0, 1, 2, 30], 8) == [0, 1, 2]

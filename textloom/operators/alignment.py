@@ -40,6 +40,7 @@ class Matcher:
     def __init__(self, dictionary: dict[str, str] | None = None):
         self.dictionary = dictionary or {}
         self.known: dict[tuple[str, str], bool] = {}
+        self.shapes: dict[str, tuple[int, int, int, int]] = {}
 
     def __call__(self, a: str, b: str) -> bool:
         key = (a, b)
@@ -49,6 +50,29 @@ class Matcher:
             self.known[key] = self.direct(a, b) or a in self.dictionary and self.direct(self.dictionary[a], b)
         return self.known[key]
 
+    def table(self, window: list[str], verse: list[str]) -> np.ndarray:
+        """Matches of all pairs; only pairs that could be within the edit limit are compared letter by letter."""
+        (la, fa, za, ma), (lb, fb, zb, mb) = ([np.array(x) for x in zip(*map(self.shape, w))] for w in (window, verse))
+        low, high = np.minimum.outer(la, lb), np.maximum.outer(la, lb)
+        same = np.equal.outer(np.array(window, object), np.array(verse, object)).astype(bool) & (low > 0)
+        same |= (low >= 5) & (high - low <= 2) & np.equal.outer(fa, fb) & np.equal.outer(za, zb)
+        limit = np.where(high <= 5, 1, np.where(high <= 9, 2, 3))
+        near = ~same & (low >= 4) & (high - low <= limit) & (np.bitwise_count(np.bitwise_xor.outer(ma, mb)) <= 2 * limit)
+        if self.dictionary:
+            near[[a in self.dictionary for a in window]] = True
+        for i, j in zip(*np.nonzero(near & ~same)):
+            same[i, j] = self(window[i], verse[j])
+        return same
+
+    def shape(self, word: str) -> tuple[int, int, int, int]:
+        """Length, first and last letter, and the set of letters as bits: each edit changes two bits at most."""
+        if word not in self.shapes:
+            bits = 0
+            for c in word:
+                bits |= 1 << ord(c) % 61
+            self.shapes[word] = (len(word), ord(word[0]) if word else -1, ord(word[-1]) if word else -2, bits)
+        return self.shapes[word]
+
     @staticmethod
     def direct(a: str, b: str) -> bool:
         if not a or not b or a == b:
@@ -63,15 +87,13 @@ class Matcher:
 def earliest(window: list[str], verse: list[str], match: Matcher) -> list[int]:
     """Window positions matched by a longest common subsequence, each verse word at its earliest place."""
     m, n = len(window), len(verse)
-    same = np.array([[match(a, b) for b in verse] for a in window], bool).reshape(m, n)
+    if not m or not n:
+        return []
+    same = match.table(window, verse)
     left = np.zeros((m + 1, n + 1), np.int32)
     for i in range(m - 1, -1, -1):
         row = np.where(same[i], left[i + 1, 1:] + 1, left[i + 1, :-1])
-        # where words don't match, what follows in the row counts too; matches keep their own value
-        best = left[i, n]
-        for j in range(n - 1, -1, -1):
-            best = row[j] if same[i, j] else max(row[j], best)
-            left[i, j] = best
+        left[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]  # a match is never worse than its neighbours
     out, i, j = [], 0, 0
     while i < m and j < n:
         if same[i, j] and left[i, j] == left[i + 1, j + 1] + 1:
