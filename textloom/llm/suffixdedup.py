@@ -259,9 +259,10 @@ def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
 
 def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents, with repeated passages removed from their texts; columns stay as they are."""
-    found = stored(repeats(docs, key, text, **options)).withColumnsRenamed({"id": "_id", "th": "_th"})
-    named = docs.withColumns({"_id": F.col(key).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = named.join(found, ["_id", "_th"], "left").drop("_id", "_th")
+    names = {"id": "__id", "th": "__th", "spans": "__spans"}  # no column of the documents may have these
+    found = stored(repeats(docs, key, text, **options)).withColumnsRenamed(names)
+    named = docs.withColumns({"__id": F.col(key).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    joined = named.join(found, ["__id", "__th"], "left")
     at = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,4 +273,4 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
             columns = [pa.array(texts, column.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.select(*docs.columns, "spans").mapInArrow(cut, docs.schema)
+    return joined.select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)
