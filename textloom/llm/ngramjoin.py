@@ -321,13 +321,13 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", **opti
     stay; of texts without words one for each id.
     """
     found = similar(docs, key, text, **options)
-    first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_id"), "label")
-    chosen = first.agg(F.min("th").alias("_th")).select("_id", "_th").distinct()
-    named = docs.withColumns({"_id": F.col(key).cast("long"), "_th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    counts = found.groupBy(F.col(key).alias("_id"), F.col("th").alias("_th")).agg(F.count("*").alias("_n"))
-    chosen = stored(counts.join(chosen, ["_id", "_th"]))
-    kept = named.join(chosen, ["_id", "_th"]).unionByName(named.where("_id IS NULL").withColumn("_n", F.lit(1).cast("long")))
-    if chosen.where("_n > 1").limit(1).count():
-        many = kept.where("_n > 1").dropDuplicates(["_id", "_th"])
-        kept = kept.where("_n = 1").unionByName(many)
+    first = found.where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__id"), "label")
+    chosen = first.agg(F.min("th").alias("__th")).select("__id", "__th").distinct()
+    named = docs.withColumns({"__id": F.col(key).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
+    counts = found.groupBy(F.col(key).alias("__id"), F.col("th").alias("__th")).agg(F.count("*").alias("__n"))
+    chosen = stored(counts.join(chosen, ["__id", "__th"]))
+    kept = named.join(chosen, ["__id", "__th"]).unionByName(named.where("__id IS NULL").withColumn("__n", F.lit(1).cast("long")))
+    if chosen.where("__n > 1").limit(1).count():
+        many = kept.where("__n > 1").dropDuplicates(["__id", "__th"])
+        kept = kept.where("__n = 1").unionByName(many)
     return kept.select(*docs.columns)
