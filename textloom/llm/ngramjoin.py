@@ -5,7 +5,8 @@ buckets over all documents, then by hash); two sets that are similar enough shar
 prefixes. Documents with equal sets are one class, and classes with equal prefixes and sizes one group. A posting list holds
 the groups that share a prefix shingle; equal lists are checked once. A list is cut where sizes cannot be similar, and
 one with more than BLOCK members into blocks that are checked by pairs, so no task holds more than a block pair. The
-groups of a list are then expanded to their members, whose whole sets are intersected; classes that are linked already are
+groups of a list that cannot be similar by their whole prefixes leave it, the others are expanded to their members, whose
+whole sets are intersected; classes that are linked already are
 not compared again, and a list gives a spanning forest of its links. Components come from distributed stars.
 
 The counts go over all documents, their size is fixed (2 ** BITS buckets, sent as levels of one byte). Every pair of linked
@@ -17,7 +18,7 @@ an equal set with an id; its component is null where it has no id to give. Other
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,7 +72,10 @@ def _signed(x: int) -> int:
 
 
 def _documents(docs: DataFrame, key: str, text: str, levels: np.ndarray, width: int, percent: int) -> DataFrame:
-    """(id, th, n, node, grp, prefix): th of the text, the class of equal sets, the group of equal prefixes and sizes."""
+    """(id, th, n, node, grp, prefix, tail): th of the text, the class of equal sets, the group of equal prefixes and sizes.
+
+    tail is the place of the prefix's last shingle in the order of all shingles, cut to 63 bits.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(levels.size).bit_length() + 1)
 
@@ -81,18 +85,19 @@ def _documents(docs: DataFrame, key: str, text: str, levels: np.ndarray, width:
             for x in sets_of(table.column("_text"), width):
                 n = len(x)
                 if not n:
-                    rows.append((0, None, None, None))
+                    rows.append((0, None, None, None, None))
                     continue
                 first = np.argsort(sent.value[(x >> shift).astype(np.int64)], kind="stable")[: n - (percent * n + 99) // 100 + 1]
-                prefix = x[first].tobytes()
-                rows.append((n, _signed(xxhash.xxh3_64_intdigest(x.tobytes(), n)), _signed(xxhash.xxh3_64_intdigest(prefix, n)), prefix))
+                prefix, end = x[first].tobytes(), x[first[-1]]
+                tail = int(sent.value[int(end >> shift)]) << 57 | int(end) >> 7
+                rows.append((n, _signed(xxhash.xxh3_64_intdigest(x.tobytes(), n)), _signed(xxhash.xxh3_64_intdigest(prefix, n)), prefix, tail))
             columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
             columns = [table.column("id"), table.column("th"), *(pa.array(c, k) for c, k in zip(columns, kinds))]
-            yield from pa.table(columns, ["id", "th", "n", "node", "grp", "prefix"]).to_batches(4096)
+            yield from pa.table(columns, ["id", "th", "n", "node", "grp", "prefix", "tail"]).to_batches(4096)
 
     rows = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("_text"))
-    return rows.mapInArrow(run, "id long, th long, n long, node long, grp long, prefix binary")
+    return rows.mapInArrow(run, "id long, th long, n long, node long, grp long, prefix binary, tail long")
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
@@ -218,17 +223,16 @@ def _lists(tokens: DataFrame, percent: int, block: int) -> DataFrame:
     return rows.mapInArrow(run, "list binary, grp long, slot long, slots long").distinct()
 
 
-def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (sorted distinct hashes)."""
-    n = len(sets)
-    size = np.fromiter(map(len, sets), np.int64, n)
-
-    def linked(inter, a, b):
-        return 100 * inter >= percent * (a + b - inter)
+def forest(sets: list[np.ndarray], linked: Callable[[np.ndarray, int, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets (sorted); linked(shared, x, others) says which others x is linked with.
 
+    shared[i]: the elements of set others[i] that set x has.
+    """
+    n = len(sets)
     if n == 2:
-        inter = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        return [(0, 1)] if linked(inter, *size) else []
+        shared = np.array([np.isin(sets[1], sets[0]).sum()])
+        return [(0, 1)] if linked(shared, 0, np.array([1]))[0] else []
+    size = np.fromiter(map(len, sets), np.int64, n)
     flat, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     waiting, left, out = np.ones(n, bool), n, []
     held = n  # sets that flat still has
@@ -245,8 +249,9 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
                 flat, owner, held = flat[keep], owner[keep], left
             own = sets[x]
             at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            inter = np.bincount(owner[own[at] == flat], minlength=n)
-            new = np.flatnonzero(waiting & linked(inter, size[x], size))
+            shared = np.bincount(owner[own[at] == flat], minlength=n)
+            others = np.flatnonzero(waiting)
+            new = others[linked(shared[others], x, others)]
             waiting[new] = False
             left -= len(new)
             todo += new.tolist()
@@ -254,8 +259,83 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
+def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the similar pairs among sets of sorted distinct hashes."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    return forest(sets, lambda shared, x, y: 100 * shared >= percent * (size[x] + size[y] - shared))
+
+
+def parts_of(prefixes: list[np.ndarray], n: np.ndarray, tail: np.ndarray, percent: int) -> list[list[int]]:
+    """Members of a list that may be similar by their prefixes, in connected parts.
+
+    Shared shingles are those of the prefixes and at most what remains of the set whose prefix ends first.
+    """
+    rest = n - np.fromiter(map(len, prefixes), np.int64, len(prefixes))
+
+    def possible(shared: np.ndarray, x: int, y: np.ndarray) -> np.ndarray:
+        more = np.where(tail[x] < tail[y], rest[x], np.where(tail[x] > tail[y], rest[y], np.maximum(rest[x], rest[y])))
+        most = np.minimum(shared + more, np.minimum(n[x], n[y]))
+        return (100 + percent) * most >= percent * (n[x] + n[y])
+
+    part = list(range(len(prefixes)))
+    for x, y in forest(prefixes, possible) if len(prefixes) > 1 else ():
+        part[y] = part[x]  # x was reached before y
+    out: dict[int, list[int]] = {}
+    for i, p in enumerate(part):
+        out.setdefault(p, []).append(i)
+    return list(out.values())
+
+
+def _narrowed(lists: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """The lists without members that cannot be similar to another; a list may fall into several.
+
+    Prefixes travel as the low halves of their hashes: equal shingles stay equal, so no candidate is lost.
+    """
+
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = pa.array([np.sort(np.frombuffer(x.as_buffer(), np.uint64).astype(np.uint32)).tobytes() for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), low, *batch.columns[2:]], ["grp", "low", "n", "m", "tail"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple[bytes, int, int, int]] = []
+        names = ["list", "grp", "slot", "slots"]
+        kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+        for group in runs(batches, 0):
+            n, m, tail, slot, slots, grp = (np.asarray(group.column(x)) for x in ("n", "m", "tail", "slot", "slots", "grp"))
+            low = [np.frombuffer(x.as_buffer(), np.uint32) for x in group.column("low")]
+            for part in parts_of(low, n, tail, percent):
+                if len(part) > 1 or m[part[0]] > 1:
+                    units = sorted((int(grp[i]), int(slot[i]), int(slots[i])) for i in part)
+                    name = xxhash.xxh3_128_digest(np.array(units, np.int64).tobytes())
+                    out += [(name, *u) for u in units]
+            if len(out) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
+
+    low = prefixes.select("grp", "prefix", "n", "m", "tail").mapInArrow(halves, "grp long, low binary, n long, m long, tail long")
+    rows = lists.join(low, "grp").select("list", "grp", "slot", "slots", "low", "n", "m", "tail")
+    return rows.repartition("list").sortWithinPartitions("list").mapInArrow(run, "list binary, grp long, slot long, slots long").distinct()
+
+
+def _class_sets(docs: DataFrame, key: str, text: str, width: int, classes: DataFrame) -> DataFrame:
+    """(node, shingles) of each class (id, node), read from the document that gives its id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in blocks(batches, "_text"):
+            rows = zip(table.column("node").to_pylist(), sets_of(table.column("_text"), width))
+            # other texts of the same id have other sets
+            rows = [(node, x.tobytes()) for node, x in rows if len(x) and _signed(xxhash.xxh3_64_intdigest(x.tobytes(), len(x))) == node]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["node", "shingles"])
+
+    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).join(classes.select("id", "node"), "id")
+    return texts.select("_text", "node").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+
+
 def _checked(members: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links among the members (list, node, shingles) of each list."""
+    """(a, b): a spanning forest of the links among the members (list, node, shingles) of each list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a: list[int] = []
@@ -274,7 +354,8 @@ def _checked(members: DataFrame, percent: int) -> DataFrame:
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return members.repartition("list").sortWithinPartitions("list").mapInArrow(run, "a long, b long")
+    rows = members.select("list", "node", "shingles").repartition("list").sortWithinPartitions("list")
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
@@ -286,27 +367,21 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     known = stored(_documents(docs, key, text, levels, width, percent))
     classes = known.where("n > 0").groupBy("node", "grp").agg(F.min("id").alias("id"))
     sizes = classes.groupBy("grp").agg(F.count("*").alias("m"))
-    prefixes = known.where("n > 0").groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    lists = stored(_lists(_tokens(prefixes.join(sizes, "grp")), percent, block))
-    # each class is read from one of its documents; what lists it is in travels with it
-    unit = F.struct("list", "slot", "slots")
-    wanted = lists.groupBy("grp").agg(F.collect_list(unit).alias("units")).join(classes, "grp")
-    taken = F.transform(F.filter("units", lambda u: F.pmod(F.col("node"), u["slots"]) == u["slot"]), lambda u: u["list"])
-    wanted = wanted.select("id", "node", taken.alias("lists"))
-    texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("_text")).join(wanted, "id")
-
-    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "_text", 4_000_000):
-            rows: list[tuple[bytes, int, bytes]] = []
-            for x, node, to in zip(sets_of(table.column("_text"), width), table.column("node").to_pylist(), table.column("lists").to_pylist()):
-                if len(x) and _signed(xxhash.xxh3_64_intdigest(x.tobytes(), len(x))) == node:  # else another row of the same id
-                    rows += [(name, node, x) for name in to]
-            for i in range(0, len(rows), 2048):
-                part = rows[i : i + 2048]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.binary()), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2].tobytes() for r in part], pa.binary())], ["list", "node", "shingles"])
-
-    members = texts.select("_text", "node", "lists").mapInArrow(expand, "list binary, node long, shingles binary")
-    groups = components(_checked(members, percent)).withColumnRenamed("component", "label")
+    prefixes = known.where("n > 0").groupBy("grp").agg(*(F.first(x).alias(x) for x in ("n", "prefix", "tail"))).join(sizes, "grp")
+    lists = stored(_lists(_tokens(prefixes), percent, block))
+    lists = stored(_narrowed(lists, prefixes, percent))
+    sets = stored(_class_sets(docs, key, text, width, classes.join(lists.select("grp").distinct(), "grp", "left_semi")))
+    units = classes.select("grp", "node").join(lists, "grp").where(F.pmod("node", "slots") == F.col("slot")).select("list", "grp", "node")
+    units = stored(units)
+    # first each group in its largest list alone, which links most of what is alike; then the lists that are still divided
+    size = units.groupBy("list").agg(F.count("*").alias("size"))
+    largest = units.join(size, "list").groupBy("grp").agg(F.max_by("list", F.struct("size", "list")).alias("list"))
+    first = stored(_checked(units.join(largest, ["grp", "list"], "left_semi").join(sets, "node"), percent))
+    groups = components(first).withColumnRenamed("component", "label")
+    now = units.join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    divided = now.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    second = stored(_checked(units.join(divided.select("list"), "list", "left_semi").join(sets, "node"), percent))
+    groups = components(first.unionAll(second)).withColumnRenamed("component", "label")
     labelled = known.select("id", "th", "n", "node").join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.where("n > 0").groupBy("label").agg(F.min("id").alias("least"))
     out = labelled.join(least, "label", "left")
