@@ -186,8 +186,77 @@ def walk(words: list[str], lines: list[int], starts: dict[int, str | None], vers
     return result
 
 
-def align(words: DataFrame, canon: DataFrame, config: Walk = Walk(), dictionary: dict[str, str] | None = None) -> DataFrame:
-    """(version, pos, verse_ord) of transcript words.
+def gram_anchors(source: list[str], target: list[str], n: int) -> list[tuple[int, int]]:
+    """Places of n-grams that occur once on either side."""
+
+    def single(words: list[str]) -> dict[tuple[str, ...], int]:
+        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        often = Counter(grams)
+        return {g: i for i, g in enumerate(grams) if often[g] == 1}
+
+    there = single(target)
+    return sorted((i, there[g]) for g, i in single(source).items() if g in there)
+
+
+def placed(anchors: list[tuple[int, int]], n: int, m: int) -> np.ndarray:
+    """Target index of each of n source words: linear between anchors, the outer pair's slope beyond, half up, clamped."""
+    at = np.arange(n)
+    if not anchors:
+        out = at * (m / n)
+    else:
+        s, t = np.array(anchors, float).T
+        out = np.interp(at, s, t)
+        ends = ((s[:2], t[:2], at < s[0], 0), (s[-2:], t[-2:], at > s[-1], -1))
+        for x, y, where, k in ends:
+            slope = (y[1] - y[0]) / (x[1] - x[0]) if len(s) > 1 else 1.0
+            out = np.where(where, y[k] + (at - x[k]) * slope, out)
+    return np.floor(np.clip(out, 0, m - 1) + 0.5).astype(int)
+
+
+def without_sparse(verse: list[int], least: int) -> list[int]:
+    """Words of verses with fewer than `least` words go to the nearer kept neighbour, the earlier one on ties."""
+    count = Counter(verse)
+    keep = [count[v] >= least for v in verse]
+    if not any(keep):
+        return verse
+    n, out = len(verse), list(verse)
+    before, after = [None] * n, [None] * n
+    for i in range(n):
+        before[i] = verse[i] if keep[i] else before[i - 1] if i else None
+    for i in range(n - 1, -1, -1):
+        after[i] = verse[i] if keep[i] else after[i + 1] if i + 1 < n else None
+    for i, v in enumerate(verse):
+        if not keep[i]:
+            a, b = before[i], after[i]
+            out[i] = b if a is None else a if b is None or v - a <= b - v else b
+    return out
+
+
+def scaffold(words: list[str], lines: list[int], verses: list[tuple[str, list[str]]], sizes: tuple[int, ...] = (6, 4, 3), least: int = 3) -> list[int]:
+    """Verse index of each word of a fragmentary transcript, by unique n-grams as a scaffold (L9, without its word-by-word refinement).
+
+    Longer n-grams first; after each length the anchors are cut to a longest increasing chain.
+    """
+    target = [w for _, v in verses for w in v]
+    if not words or not target:
+        return [0] * len(words)
+    owner = [k for k, (_, v) in enumerate(verses) for _ in v]
+    units = merged_breaks(words, lines, set(target))
+    text = ["".join(words[i] for i in u) for u in units]
+    anchors: list[tuple[int, int]] = []
+    for n in sizes:
+        taken = {s for s, _ in anchors} if anchors else set()
+        anchors = kernels.increasing(sorted({*anchors, *(a for a in gram_anchors(text, target, n) if a[0] not in taken)}))
+    verse = without_sparse([owner[t] for t in placed(anchors, len(text), len(target))], least)
+    out = [0] * len(words)
+    for unit, v in zip(units, verse):
+        for i in unit:
+            out[i] = v
+    return out
+
+
+def align(words: DataFrame, canon: DataFrame, config: Walk = Walk(), dictionary: dict[str, str] | None = None, fragmentary: bool = False) -> DataFrame:
+    """(version, pos, verse_ord) of transcript words, by the walk or, for fragmentary transcripts, by the scaffold.
 
     words: version, pos, norm, line_no, heading (null, or the heading of a line at its first word), book (that the heading
     names, or null). canon: ord, book, norms, the whole grid; it is sent to every version, and is a fixed book, not data.
@@ -197,6 +266,9 @@ def align(words: DataFrame, canon: DataFrame, config: Walk = Walk(), dictionary:
 
     def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
+        if fragmentary:
+            found = scaffold(frame["norm"].tolist(), frame["line_no"].tolist(), sent.value)
+            return pd.DataFrame({"version": keys[0], "pos": frame["pos"], "verse_ord": np.array(found, np.int64)})
         heads = {i: (b if isinstance(b, str) else None) for i, (h, b) in enumerate(zip(frame["heading"], frame["book"])) if isinstance(h, str)}
         found = walk(frame["norm"].tolist(), frame["line_no"].tolist(), heads, sent.value, config, Matcher(dictionary))
         return pd.DataFrame({"version": keys[0], "pos": frame["pos"], "verse_ord": np.array(found, np.int64)})
