@@ -29,7 +29,7 @@ from .common import stored
 from .components import components
 from .words import blocks, data_of, shingles
 
-PERCENT, WIDTH, BITS, CHUNK, BLOCK = 80, 5, 20, 1 << 14, 4096
+PERCENT, WIDTH, BITS, CHUNK, BLOCK, TEXTS = 80, 5, 20, 1 << 14, 4096, 4_000_000  # TEXTS: bytes that a task holds at once
 
 
 def sets_of(column: pa.ChunkedArray, width: int) -> list[np.ndarray]:
@@ -47,7 +47,7 @@ def shingle_levels(docs: DataFrame, text: str, width: int, bits: int = BITS) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
-        for table in blocks(batches, text):
+        for table in blocks(batches, text, TEXTS):
             sets = sets_of(table.column(text), width)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
@@ -80,7 +80,7 @@ def _documents(docs: DataFrame, key: str, text: str, levels: np.ndarray, width:
     shift = np.uint64(64 - int(levels.size).bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "_text"):
+        for table in blocks(batches, "_text", TEXTS):
             rows: list[tuple] = []
             for x in sets_of(table.column("_text"), width):
                 n = len(x)
@@ -324,7 +324,7 @@ def _class_sets(docs: DataFrame, key: str, text: str, width: int, classes: DataF
     """(node, shingles) of each class (id, node), read from the document that gives its id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in blocks(batches, "_text"):
+        for table in blocks(batches, "_text", TEXTS):
             rows = zip(table.column("node").to_pylist(), sets_of(table.column("_text"), width))
             # other texts of the same id have other sets
             rows = [(node, x.tobytes()) for node, x in rows if len(x) and _signed(xxhash.xxh3_64_intdigest(x.tobytes(), len(x))) == node]
