@@ -120,9 +120,10 @@ def test_suffix_arrays_and_prefixes():
             assert shared[i] == x
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_components(spark, few):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (None, 3)], "a long, b long")
-    out = {r["node"]: r["component"] for r in components.components(edges).collect()}
+    out = {r["node"]: r["component"] for r in components.components(edges, few=few).collect()}
     assert out == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
