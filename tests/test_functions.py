@@ -1,3 +1,4 @@
+import random
 import textwrap
 
 from pyspark.sql import functions as F
@@ -90,3 +91,17 @@ def test_corpus_files(spark, tmp_path):
     assert [r[0] for r in corpus.versions(v, ["v2"]).collect()] == ["v2", "v1"]
     corpus.write_verses(v, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_pairs_cross_bands_of_length(spark):
+    random.seed(3)
+    opening = "In the beginning was the word, and the word was"
+    rows = [(i, opening + "x" * random.choice([1, 2, 3, 49, 50, 51, 400, 5000])) for i in range(60)] + [(60 + i, str(i % 3) * 40 + "y" * i) for i in range(60)]
+    rows += [(200, "short"), (201, "short"), (202, "shorter"), (203, None), (204, None), (None, "short"), (205, "z" * 49), (206, "z" * 50)]
+    order = sorted((t[:40], len(t), i) for i, t in rows if t is not None and i is not None)
+    expected = sorted((a[2], b[2]) for a, b in zip(order, order[1:]) if a[0] == b[0])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, diffing.near_pairs(df).collect())) == expected
+    assert (205, 206) in expected and (200, 201) in expected
+    inside = sorted(map(tuple, diffing.near_pairs(df, across=False).collect()))
+    assert set(inside) < set(expected) and (205, 206) not in inside

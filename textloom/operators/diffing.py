@@ -59,15 +59,22 @@ def chapter_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys).agg(*sums, *sides).where("_left_text = 1 AND _right_text = 1").drop("_left_text", "_right_text")
 
 
-def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = 40, band: int = 50) -> DataFrame:
-    """Two versions of a text: each document with the next longer one of the same opening and size band (a, b).
+def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = 40, band: int = 50, across: bool = True) -> DataFrame:
+    """Two versions of a text: each document with the next longer one of the same opening (a, b).
 
-    Rows are paired with their successor only, so a common opening costs no more than a sort of its ids.
+    Rows are paired with their successor only, so a common opening costs no more than a sort of its ids. The sort is split
+    by bands of length, whose ends are then joined. A text shorter than the prefix is its own opening: it pairs with equal
+    texts only. Null ids and texts have no pair. across=False leaves the ends of the bands and such short texts unpaired.
     """
-    w = Window.partitionBy("_p", "_band").orderBy("_n", key)
-    rows = docs.select(key, F.xxhash64(F.substring(text, 1, prefix)).alias("_p"), F.length(text).alias("_n")).where(F.col("_n") >= prefix)
-    rows = rows.withColumn("_band", F.floor(F.col("_n") / band)).withColumn("b", F.lead(key).over(w))
-    return rows.where("b IS NOT NULL").select(F.col(key).alias("a"), "b")
+    rows = docs.select(key, F.xxhash64(F.substring(text, 1, prefix)).alias("_p"), F.length(text).alias("_n"))
+    rows = (rows.where(F.col(key).isNotNull() & F.col("_n").isNotNull()) if across else rows.where(F.col("_n") >= prefix)).withColumn("_band", F.floor(F.col("_n") / band))
+    within = rows.withColumn("b", F.lead(key).over(Window.partitionBy("_p", "_band").orderBy("_n", key))).where("b IS NOT NULL").select(F.col(key).alias("a"), "b")
+    if not across:
+        return within
+    at = F.struct("_n", key)
+    ends = rows.groupBy("_p", "_band").agg(F.min(at)[key].alias("first"), F.max(at)[key].alias("a"))
+    ends = ends.withColumn("b", F.lead("first").over(Window.partitionBy("_p").orderBy("_band"))).where("b IS NOT NULL")
+    return within.unionByName(ends.select("a", "b"))
 
 
 def line_pairs(docs: DataFrame, pairs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

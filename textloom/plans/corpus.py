@@ -20,9 +20,10 @@ z AS (SELECT a, b, rn::INTEGER AS rn, coalesce(ll.t, '') AS left_text, coalesce(
 """
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, across: bool = False) -> DataFrame:
+    """As PAIRS, within bands of length; across: all pairs, for the queries without SQL."""
     docs = table(spark, sf_dir, "documents")
-    return diffing.line_pairs(docs, diffing.near_pairs(docs))
+    return diffing.line_pairs(docs, diffing.near_pairs(docs, across=across))
 
 
 @query(PAIRS + "SELECT a, b, rn, md5(left_text) AS left_md5, md5(right_text) AS right_md5 FROM z")
@@ -49,13 +50,13 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def variant_stats_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants (runs of changed tokens), changed lines and lines of each pair of versions (D-2, W1, A1)."""
-    return diffing.chapter_stats(pairs(spark, sf_dir), ["a", "b"])
+    return diffing.chapter_stats(pairs(spark, sf_dir, across=True), ["a", "b"])
 
 
 @query()
 def diff_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed tokens of each pair by kind (D-5, P7)."""
-    tokens = diffing.with_diff(pairs(spark, sf_dir).where("left_text <> right_text")).select("a", "b", F.explode("tokens").alias("t"))
+    tokens = diffing.with_diff(pairs(spark, sf_dir, across=True).where("left_text <> right_text")).select("a", "b", F.explode("tokens").alias("t"))
     return tokens.where("t.op <> 'eq'").groupBy("a", "b", F.col("t.kind").alias("kind")).agg(F.count("*").alias("tokens"))
 
 
