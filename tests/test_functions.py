@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.operators import diffing, limits, sequences
+from textloom.plans import texts as texts_plan
 from textloom.streaming.limits import limited, step
 
 
@@ -105,3 +106,15 @@ def test_pairs_cross_bands_of_length(spark):
     assert (205, 206) in expected and (200, 201) in expected
     inside = sorted(map(tuple, diffing.near_pairs(df, across=False).collect()))
     assert set(inside) < set(expected) and (205, 206) not in inside
+
+
+def test_wrapped_lines_has_every_line(spark, tmp_path):
+    texts = ["one line", "a first line\n" + "many words of verse " * 30 + "\n\nlast", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line"]): (r["lines"], r["n_lines"]) for r in texts_plan.wrapped_lines(spark, str(tmp_path)).collect()}
+    expected = {}
+    for i, t in enumerate(texts):
+        for n, line in enumerate([None] if t is None else t.split("\n"), 1):
+            lines = None if line is None else textwrap.wrap(line, 43)
+            expected[i, n if t is not None else None] = (None, None) if lines is None else (lines[:8], len(lines))
+    assert {k: v if k[1] else (None, None) for k, v in got.items()} == expected

@@ -117,9 +117,10 @@ def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First eight lines of 43 characters (F36, O8); tests compare with textwrap."""
-    line = T.wrapped(F.split("text", "\n", -1)[0], 43)
-    return table(spark, sf_dir, "documents").select("doc_id", F.slice(line, 1, 8).alias("lines"), F.size(line).alias("n_lines"))
+    """Every line of a text (a verse, by its number) in lines of 43 characters, the first eight of them (F36, O8); tests compare with textwrap."""
+    verses = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "verse"))
+    line = T.wrapped(F.col("verse"), 43)
+    return verses.select("doc_id", (F.col("i") + 1).alias("line"), F.slice(line, 1, 8).alias("lines"), F.size(line).alias("n_lines"))
 
 
 @query("""
