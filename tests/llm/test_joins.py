@@ -96,6 +96,18 @@ def test_suffix_dedup_is_exact(spark, rows, hot):
     assert sorted(map(tuple, suffixdedup.summary(frame(spark, rows), hot=hot).collect())) == brute_removal(rows)
 
 
+@pytest.mark.parametrize("hot", [4096, 8])
+def test_suffix_dedup_of_null_ids_is_exact(spark, hot):
+    many, edges = passages()
+    rows = [(None if i % 3 == 0 else i, t) for i, t in many] + [(None, edges[5][1]), (None, edges[5][1]), (None, None), (None, "x" * 399)]
+    order = lambda r: tuple((x is None, x or 0) for x in r)
+    plain = brute_removal([(-1 if i is None else i, t) for i, t in rows])
+    got = sorted(map(tuple, suffixdedup.summary(frame(spark, rows), hot=hot).collect()), key=order)
+    assert got == sorted(((None if r[0] == -1 else r[0], *r[1:]) for r in plain), key=order)
+    left = {r["text"] for r in suffixdedup.remove(frame(spark, rows), hot=hot).where("doc_id IS NULL").collect()}
+    assert edges[5][1] not in left and "x" * 399 in left
+
+
 def test_removed_passages_leave_columns_alone(spark):
     rows = [(i, t, "th", i) for i, t in passages()[0][:9]]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string, spans long")

@@ -10,7 +10,7 @@ finds the starts that share LENGTH bytes with another, windows counting as often
 Nothing is sampled: anchors only decide where a string is compared. A hash with more than HOT distinct windows would make
 a shard too large; its strings are counted one by one instead, by two 64-bit hashes, in a shuffle with partial sums.
 Edge cases: null texts count as empty; texts shorter than LENGTH lose nothing; of repeated rows each loses all of its
-strings, as the others hold them too; rows that share an id are separate. Removed bytes may cut a character: kept bytes
+strings, as the others hold them too; rows that share an id are separate; null ids are ids like others. Removed bytes may cut a character: kept bytes
 are given as they are, and kept text drops the pieces of cut characters.
 """
 
@@ -190,10 +190,17 @@ def _counted(items: DataFrame, length: int) -> DataFrame:
     return starts.select("anchor", "window", pairs.alias("runs"))
 
 
+def _by_row(left: DataFrame, right: DataFrame, how: str = "inner", key: str = "id", th: str = "th") -> DataFrame:
+    """Joins by the row's name; a null id equals a null id. The keys and columns of the left come first."""
+    right = right.withColumnsRenamed({key: "__right_id", th: "__right_th"})
+    on = F.col(key).eqNullSafe(F.col("__right_id")) & (F.col(th) == F.col("__right_th"))
+    return left.join(right, on, how).drop("__right_id", "__right_th")
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, th, spans) of the texts with repeated passages: spans are (from, to) byte pairs, one after another, maximal runs.
 
-    th is the xxhash64 of the text; id and th name the row.
+    th is the xxhash64 of the text; id and th name the row, compared null-safe.
     """
     named = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("_text"))
     records = stored(_records(named, "_text", length, gram))
@@ -204,7 +211,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     total = again.agg(F.sum(F.when(F.col("d") > 1, F.col("high") - F.col("low") + length).otherwise(F.col("high") - F.col("low") + 20))).first()[0] or 0
     shards = int(total // shard_bytes) + 1
     wanted = again.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high", "anchor", "window", "n", "d")).alias("wanted"))
-    texts = named.join(wanted, ["id", "th"])
+    texts = _by_row(named, wanted)
     items = _items(texts, length, shards)
     if again.where(F.col("d") > hot).limit(1).count():
         items = stored(items)
@@ -250,9 +257,9 @@ def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
             count = [len(s) // 2 for s in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string())], ["id", "th", "n_removed", "n_spans", "kept"])
 
-    changed = named.join(found, ["id", "th"]).mapInArrow(cut, "id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "th"])
+    changed = _by_row(named, found).mapInArrow(cut, "id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "th"])
     rows = named.select("id", "th", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("own"))
-    out = rows.join(changed, ["id", "th"], "left")
+    out = _by_row(rows, changed, "left")
     zero = F.lit(0).cast("long")
     return out.select(F.col("id").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "own").alias("kept_sha256"))
 
@@ -262,7 +269,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     names = {"id": "__id", "th": "__th", "spans": "__spans"}  # no column of the documents may have these
     found = stored(repeats(docs, key, text, **options)).withColumnsRenamed(names)
     named = docs.withColumns({"__id": F.col(key).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
-    joined = named.join(found, ["__id", "__th"], "left")
+    joined = _by_row(named, found, "left", "__id", "__th")
     at = docs.columns.index(text)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
