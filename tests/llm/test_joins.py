@@ -160,6 +160,14 @@ def test_embeddings(spark):
     assert embeddups.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_link_through_null_ids(spark):
+    at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    data = [(None, at(0)), (7, at(1)), (3, at(2)), (9, at(25)), (None, at(60)), (8, at(80)), (6, at(40)), (None, at(120)), (4, at(180)), (4, at(240)), (5, at(242))]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").coalesce(1)
+    got = {(r["vec_id"], r["component_id"], r["kept"]) for r in embeddups.near_duplicates(df).collect()}
+    assert got == {(None, None, None), (4, 4, True), (5, 4, False)} | {(i, 3, i == 3) for i in (3, 6, 7, 8, 9)}
+
+
 def test_fingerprints(spark):
     rows = [(1, "a b c d e f g"), (1, "a b"), (2, None), (None, "x y z"), (5, ""), (None, "x y z"), (1, "a b")] + documents(300)
     ordered = sorted(((k, t or "") for k, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))

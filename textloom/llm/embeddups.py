@@ -4,13 +4,13 @@ Centroids are fitted on the SAMPLE rows with the smallest hash of their id; ever
 cell, and also visits the cells whose border is within MARGIN of it. Cells are cut into blocks of at most BLOCK rows, and
 each pair of blocks of a cell is one task: it multiplies them in double precision, counts each row's links and gives a
 spanning forest of what is linked, never the pairs themselves. A pair that could be met in two cells is counted in one.
-Components of the forests are found with distributed stars; the smallest id of each is kept.
+Components of the forests are found with distributed stars, over the rows' numbers; the smallest id of each is kept.
 
 A missed pair has both its vectors farther than MARGIN from the border between their cells; for a cosine of 0.9 that takes a
 difference of more than 2 * MARGIN along one direction of all dimensions. Tests measure the recall against brute force.
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or have not the table's most common
 length link with nothing and are their own component. Rows that share an id are counted one by one and share its component;
-a null id counts as a vector, with a null component. Other columns are not carried.
+a null id counts as a vector and links others, with a null component itself. Other columns are not carried.
 """
 
 from __future__ import annotations
@@ -172,15 +172,20 @@ def near_duplicates(
         b = None if i == j else group.filter(pa.array(mine == j))
         both = a if b is None else pa.concat_tables([a, b])
         if not a.num_rows or b is not None and not b.num_rows:
-            return both.select(["uid", "id"]).slice(0, 0).append_column("n", pa.array([], pa.int64())).append_column("peer", pa.array([], pa.int64()))
+            return both.select(["uid"]).slice(0, 0).append_column("n", pa.array([], pa.int64())).append_column("peer", pa.array([], pa.int64()))
         counts, label, _, _ = compare(a, b, at, least)
         keep = np.flatnonzero(counts)
-        out = both.select(["uid", "id"]).take(pa.array(keep))
-        return out.append_column("n", pa.array(counts[keep].astype(np.int64))).append_column("peer", both.column("id").take(pa.array(label[keep])))
+        out = both.select(["uid"]).take(pa.array(keep))
+        return out.append_column("n", pa.array(counts[keep].astype(np.int64))).append_column("peer", both.column("uid").take(pa.array(label[keep])))
 
-    found = stored(dealt.groupBy("cell", "i", "j").applyInArrow(task, "uid long, id long, n long, peer long"))
+    found = stored(dealt.groupBy("cell", "i", "j").applyInArrow(task, "uid long, n long, peer long"))
     links = found.groupBy("uid").agg(F.sum("n").alias("n_links"))
-    groups = components(found.select(F.col("id").alias("a"), F.col("peer").alias("b")))
-    out = assigned.select("uid", "id").join(links, "uid", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
+    shared = assigned.where("id IS NOT NULL").groupBy("id").agg(F.min("uid").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    same = assigned.select("id", F.col("uid").alias("a")).join(shared, "id").select("a", "b")
+    groups = stored(components(found.select(F.col("uid").alias("a"), F.col("peer").alias("b")).unionByName(same)))
+    members = groups.withColumnRenamed("node", "uid").join(assigned.select("uid", "id"), "uid")
+    least_ids = members.groupBy("component").agg(F.min("id").alias("least_id"))
+    grouped = groups.withColumnRenamed("node", "uid").join(least_ids, "component").select("uid", "least_id")
+    out = assigned.select("uid", "id").join(links, "uid", "left").join(grouped, "uid", "left")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("least_id", "id"))
     return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
