@@ -1,13 +1,14 @@
 """Near-duplicate embeddings: spherical k-means cells and blocked cosine products within them.
 
 Centroids are fitted on the SAMPLE rows with the smallest hash of their id; every vector is then assigned to its nearest
-cell, and also visits the cells whose border is within MARGIN of it. Cells are cut into blocks of at most BLOCK rows, and
+cell, and also visits the cells whose border is within a margin of it (margin_of). Cells are cut into blocks of at most BLOCK rows, and
 each pair of blocks of a cell is one task: it multiplies them in double precision, counts each row's links and gives a
 spanning forest of what is linked, never the pairs themselves. A pair that could be met in two cells is counted in one.
 Components of the forests are found with distributed stars, over the rows' numbers; the smallest id of each is kept.
 
-A missed pair has both its vectors farther than MARGIN from the border between their cells; for a cosine of 0.9 that takes a
-difference of more than 2 * MARGIN along one direction of all dimensions. Tests measure the recall against brute force.
+No pair is missed: two vectors of a cosine of least are at most the chord sqrt(2 - 2 * least) apart, so one of them is
+within half of it (0.2236 for 0.9) of the border between their homes, and visits the other's. A margin given below that can miss some. Where the visits cost more than all pairs of blocks, one cell
+has all rows.
 Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or have not the table's most common
 length link with nothing and are their own component. Rows that share an id are counted one by one and share its component;
 a null id counts as a vector and links others, with a null component itself. Other columns are not carried.
@@ -25,7 +26,12 @@ from pyspark.sql import DataFrame, functions as F
 from .common import stored
 from .components import components
 
-SAMPLE, CELL, MOST_CELLS, BLOCK, MARGIN, LEAST = 20_000, 1500, 16_384, 1024, 0.1, 0.9
+SAMPLE, CELL, MOST_CELLS, BLOCK, LEAST = 20_000, 1500, 16_384, 1024, 0.9
+
+
+def margin_of(least: float) -> float:
+    """Half the chord of a cosine, with room for rounding."""
+    return float(np.sqrt(max(0.0, (1 - least) / 2))) + 1e-6
 
 
 def unit_rows(vectors: list, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +146,10 @@ def compare(block_a: pa.Table, block_b: pa.Table | None, cell: int, least: float
 
 
 def near_duplicates(
-    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST, margin: float = MARGIN, cell: int = CELL, most_cells: int = MOST_CELLS, block: int = BLOCK, sample: int = SAMPLE
+    vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = LEAST, margin: float | None = None, cell: int = CELL, most_cells: int = MOST_CELLS, block: int = BLOCK, sample: int = SAMPLE
 ) -> DataFrame:
     """One row per vector: key, n_links, component_id and kept (whether it is its component's representative)."""
+    margin = margin_of(least) if margin is None else margin
     total = vectors.count()
     usable = vectors.where(F.col(vector).isNotNull())
     rows = usable.orderBy(F.xxhash64(key), key).select(vector).limit(sample).collect()
@@ -156,6 +163,11 @@ def near_duplicates(
     assigned = stored(_assigned(vectors, key, vector, centers, margin))
     placed = assigned.where("home >= 0").withColumn("cell", F.explode(F.concat(F.array("home"), "other")))
     sizes = placed.groupBy("cell").count().collect()  # a row per cell
+    usable_rows = assigned.where("home >= 0").count()
+    if usable_rows * -(-usable_rows // block) <= sum(r["count"] * -(-r["count"] // block) for r in sizes):
+        # so many visits that all pairs of blocks cost less: one cell
+        placed = assigned.where("home >= 0").withColumns({"home": F.lit(0), "other": F.array().cast("array<int>"), "cell": F.lit(0)})
+        sizes = [{"cell": 0, "count": usable_rows}]
     blocks = [1] * (max((r["cell"] for r in sizes), default=0) + 1)
     for r in sizes:
         blocks[r["cell"]] = -(-r["count"] // block)
