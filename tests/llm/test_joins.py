@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import pyarrow.dataset as ds
 
 from textloom.llm import components, embeddups, fingerprints, ngramjoin, suffixdedup, suffixsort
@@ -116,6 +117,31 @@ def test_removed_passages_leave_columns_alone(spark):
     assert all(len(r["text"]) < len(t) for r, (_, t, _, _) in zip(out.orderBy("doc_id").collect(), rows))
 
 
+def test_pipeline_removes_passages_of_51_words(spark):
+    random.seed(6)
+    words = lambda n: " ".join("".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, short, wide = words(51), words(40), words(1) * 90
+    rows = [(i, words(60) + "\n" + (long, short, wide, "")[i % 4] + "\n" + words(60)) for i in range(12)] + [(None, words(9) + " " + long), (20, None), (21, "")]
+    n, count, want = corpus_pipeline.LENGTH, Counter(), []
+    data = [(t or "").encode() for _, t in rows]
+    for b in data:
+        count.update(b[i : i + n] for i in range(len(b) - n + 1))
+    for (k, t), b in zip(rows, data):
+        gone = bytearray(len(b))
+        for i in range(len(b) - n + 1):
+            if count[b[i : i + n]] > 1:
+                gone[i : i + n] = b"\1" * n
+        for m in re.finditer(b"\1+", bytes(gone)):
+            if m.end() - m.start() < 400 and len(b[m.start() : m.end()].split()) < 51:
+                gone[m.start() : m.end()] = bytes(m.end() - m.start())
+        want.append((str(k), None if t is None else bytes(x for x, g in zip(b, gone) if not g).decode()))
+    docs = spark.createDataFrame([(k, t, 0) for k, t in rows], "doc_id long, text string, n_chars int")
+    out = corpus_pipeline.remove_passages(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in out) == sorted((k, t or "") for k, t in want)
+    left = " ".join(r["text"] or "" for r in out)
+    assert long not in left and short in left and wide not in left
+
+
 def test_suffix_arrays_and_prefixes():
     random.seed(0)
     for _ in range(600):

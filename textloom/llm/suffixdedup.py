@@ -264,8 +264,16 @@ def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     return out.select(F.col("id").alias(key), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "own").alias("kept_sha256"))
 
 
-def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents, with repeated passages removed from their texts; columns stay as they are."""
+def long_spans(data: bytes, spans: list[int], words: int) -> list[int]:
+    """The spans of LENGTH bytes or of so many words."""
+    return [x for a, b in zip(spans[::2], spans[1::2]) if b - a >= LENGTH or len(data[a:b].split()) >= words for x in (a, b)]
+
+
+def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 0, **options) -> DataFrame:
+    """The documents, with repeated passages removed from their texts; columns stay as they are.
+
+    words: of the passages under LENGTH bytes, which a smaller length finds, those with fewer words stay.
+    """
     names = {"id": "__id", "th": "__th", "spans": "__spans"}  # no column of the documents may have these
     found = stored(repeats(docs, key, text, **options)).withColumnsRenamed(names)
     named = docs.withColumns({"__id": F.col(key).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
@@ -276,6 +284,8 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
         for batch in batches:
             spans = batch.column(batch.num_columns - 1).to_pylist()
             column = batch.column(at)
+            for i, s in enumerate(spans):
+                spans[i] = long_spans(column[i].as_py().encode("utf-8", "surrogatepass"), s, words) if s and words else s
             texts = [kept_bytes(column[i].as_py().encode("utf-8", "surrogatepass"), s).decode("utf-8", "ignore") if s else column[i].as_py() for i, s in enumerate(spans)]
             columns = [pa.array(texts, column.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
