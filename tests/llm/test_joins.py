@@ -57,12 +57,26 @@ def near_copies():
 EDGES = [(1, None), (2, ""), (3, "  \n"), (4, "a b"), (5, "A  b"), (6, "a b c d e f"), (6, "a b c d e f"), (0, "A B C D E F")]
 
 
-@pytest.mark.parametrize("rows, block", [(documents(), 4096), (near_copies(), 64), (near_copies(), 4096), (EDGES, 4096), ([], 4096)], ids=["documents", "small blocks", "near copies", "edges", "empty"])
-def test_ngram_join_is_exact(spark, rows, block):
-    out = ngramjoin.similar(frame(spark, rows), block=block).select("doc_id", "n_shingles", "component_id")
+@pytest.mark.parametrize(
+    "rows, block, salted",
+    [(documents(), 4096, 16), (near_copies(), 64, 16), (near_copies(), 4096, 16), (near_copies(), 32, 3), (documents(300), 16, 2), (EDGES, 4096, 16), ([], 4096, 16)],
+    ids=["documents", "small blocks", "near copies", "salted", "salted documents", "edges", "empty"],
+)
+def test_ngram_join_is_exact(spark, rows, block, salted):
+    out = ngramjoin.similar(frame(spark, rows), block=block, salted=salted).select("doc_id", "n_shingles", "component_id")
     assert sorted(map(tuple, out.collect())) == brute_components(rows)
 
 
+def test_ngram_join_of_long_texts_nulls_and_other_columns(spark):
+    words = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[3000:])), (3, " ".join(words[20_000:])), (None, " ".join(words[:-2000])), (4, "x y"), (4, "x y"), (None, "x y"), (5, None)]
+    df = spark.createDataFrame([(*r, "n", 1) for r in rows], "doc_id long, text string, node string, grp int")
+    out = sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in ngramjoin.similar(df).collect())
+    assert out == [(0, 1), (0, 4), (1, 1), (2, 1), (3, 3), (4, 4), (4, 4), (5, 5)]
+    kept = ngramjoin.one_of_each(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 0, 1, 3, 4, 5]
+
+
 def test_one_of_each(spark):
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (2, "A b c d e f"), (3, None), (3, ""), (4, "q w e r t y"), (4, "z x c v b n"), (None, "u"), (None, "u"), (5, "z x c v b n")]
     kept = Counter((r["doc_id"], r["text"] or "") for r in ngramjoin.one_of_each(frame(spark, rows)).collect())

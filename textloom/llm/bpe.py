@@ -7,7 +7,8 @@ and updates only their neighbours. Of several occurrences in one word the leftmo
 lower rank possible is followed by that one, so the ids are those of the usual word-by-word encoder. Words longer than
 LONG bytes are replayed alone from a heap of their own.
 
-No shuffle and no driver state: memory is bounded by the block size and the size of the piece table.
+No shuffle and no driver state: memory is bounded by the block size and the piece table, which is emptied beyond KEPT
+chunks and at the end of a task.
 Edge cases: null and empty texts have no ids; bytes are those of UTF-8; other columns pass through.
 """
 
@@ -28,9 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
+from .common import frugal
 from .words import blocks, chunks, data_of
 
-KEPT = 800_000
+KEPT, BLOCK_BYTES = 250_000, 8_000_000  # chunks that a table keeps; bytes of text encoded at once
 #: The usual split pattern for texts below U+0250, with its classes written out for the faster `re` module.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
@@ -256,6 +258,10 @@ class Encoder:
                 parts.append(self.chunked.encode(text, np.array([0, len(text)]))[0])
         return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
+    def clear(self) -> None:
+        self.chunked.clear()
+        self.whole.clear()
+
     def piece(self, piece: str) -> np.ndarray:
         return self.whole.encode(np.frombuffer(piece.encode(), np.uint8), np.array([0, len(piece.encode())]))[0]
 
@@ -269,7 +275,7 @@ def other_space(data: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def encoder_of(path: str, pattern: str) -> Encoder:
-    """A worker's encoder: tasks that it runs one after another share the piece table."""
+    """A worker's encoder: tasks that it runs one after another share the ranks; each empties the piece table."""
     return Encoder(path, pattern)
 
 
@@ -302,12 +308,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
-        for table in blocks(batches, text):
+        for table in blocks(batches, text, BLOCK_BYTES):
             ids, counts = encoder.encode(*data_of(table.column(text)))
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield from _with(table, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
+        encoder.clear()
 
-    return docs.mapInArrow(run, _schema(docs, out, ArrayType(IntegerType())))
+    return docs.mapInArrow(frugal(run), _schema(docs, out, ArrayType(IntegerType())))
 
 
 def decode_block(table: Ranks, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -340,7 +347,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str, text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path, pattern)
-        for table in blocks(batches, text):
+        for table in blocks(batches, text, BLOCK_BYTES):
             ids, counts = encoder.encode(*data_of(table.column(text)))
             data, cuts = decode_block(encoder.table, ids, counts)
             data = memoryview(data)
@@ -349,6 +356,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str, text: str = "
             said = [hashlib.sha256(",".join(map(str, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip([0, *ends], ends)]
             columns = [table.column(key).combine_chunks(), pa.array(counts, pa.int64()), pa.array(said), pa.array(decoded)]
             yield from pa.table(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256"]).to_batches()
+        encoder.clear()
 
     fields = [StructField("key", docs.schema[key].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType())]
-    return docs.select(key, text).mapInArrow(run, StructType([*fields, StructField("decoded_sha256", StringType())])).withColumnRenamed("key", key)
+    return docs.select(key, text).mapInArrow(frugal(run), StructType([*fields, StructField("decoded_sha256", StringType())])).withColumnRenamed("key", key)

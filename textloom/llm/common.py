@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -21,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Uses the folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """Uses the folder the cluster names in spark.checkpoint.dir; a temporary one only in local mode (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
 
 
@@ -36,16 +40,66 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """As checkpoint(), but as compressed Parquet in the shared folder; partitions need not be kept."""
+    """As checkpoint(), but as compressed Parquet in the shared folder; partitions need not be kept.
+
+    The folder that Spark makes for the application's checkpoints goes with the driver: results read from it lazily.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     path = f"{base}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files that are no longer needed
     return spark.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that this Python process no longer uses back to the system: workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def frugal(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that returns its memory at the end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000, least: int = 32, salts: int = 64) -> DataFrame:
+    """left.join(right, keys) where one key, or null, may hold any part of left's rows; right has few rows of each key.
+
+    Keys with a thousandth of left's rows (so a thousand at most, which are collected) are dealt to `salts` tasks each.
+    left should be a stored table, so that its rows have the same salts in a repeated task.
+    """
+    total = left.count()
+    counts = left.groupBy(*keys).agg(F.count("*").alias("__n")).where((F.col("__n") * share >= total) & (F.col("__n") >= least)).drop("__n")
+    rows = counts.collect()
+    if not rows:
+        return left.join(right, keys, how)
+    heavy = left.sparkSession.createDataFrame(rows, counts.schema).toDF(*(f"__{k}" for k in keys)).withColumn("__heavy", F.lit(True))
+
+    def marked(df: DataFrame) -> DataFrame:
+        on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+        return df.join(F.broadcast(heavy), on, "left").drop(*(f"__{k}" for k in keys))
+
+    salt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts))
+    left = marked(left).withColumn("__salt", F.when(F.col("__heavy"), salt).otherwise(0)).drop("__heavy")
+    every = F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))
+    right = marked(right).withColumn("__salt", F.explode(F.when(F.col("__heavy"), every).otherwise(F.array(F.lit(0).cast("long"))))).drop("__heavy")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
 def with_text(docs: DataFrame, text: str = "text") -> DataFrame:
     """Null texts count as empty."""
     return docs.withColumn(text, F.coalesce(F.col(text).cast("string"), F.lit("")))

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
+from .common import frugal
 from .words import shingles
 
 K = 128
@@ -180,4 +181,4 @@ def with_edits(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int
     doubles = ("near_edited", "near_next", "n_distinct", "within")
     strings = ("edited_sha256", "fingerprint", "edited_fingerprint")
     schema = StructType([StructField("key", LongType()), StructField("n_chars", LongType()), *(StructField(x, StringType()) for x in strings), *(StructField(x, DoubleType()) for x in doubles)])
-    return rows.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return rows.mapInArrow(frugal(run), schema).withColumnRenamed("key", key)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from .common import frugal
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 RAW = {"script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes"}
@@ -259,4 +261,4 @@ def extract(pages: DataFrame, html: str = "html", text: str = "text", n_chars: s
             yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*(x for x in batch.schema.names if x != html), text, n_chars])
 
     fields = [f for f in kept.schema.fields if f.name != html]
-    return kept.mapInArrow(run, StructType([*fields, StructField(text, StringType()), StructField(n_chars, LongType())]))
+    return kept.mapInArrow(frugal(run), StructType([*fields, StructField(text, StringType()), StructField(n_chars, LongType())]))

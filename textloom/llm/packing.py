@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
 
-from .bpe import LONG, Ranks, Vocabulary, _L, _N, _S, replay, replay_long
-from .common import checkpoint
+from .bpe import BLOCK_BYTES, LONG, Ranks, Vocabulary, _L, _N, _S, replay, replay_long
+from .common import checkpoint, frugal
 from .words import blocks, data_of
 
 LENGTH = 4096
@@ -85,7 +85,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
-    """A worker's tokenizer: tasks that it runs one after another share the table of pieces."""
+    """A worker's tokenizer: tasks that it runs one after another share the merges; each empties the table of pieces."""
     return WordTokenizer(path)
 
 
@@ -99,7 +99,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
         tokenizer = tokenizer_of(path)
         kind = "<u2" if max(tokenizer.tokenizer.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
         part, before = TaskContext.get().partitionId(), 0
-        for table in blocks(batches, text):
+        for table in blocks(batches, text, BLOCK_BYTES):
             ids, counts = tokenizer.encode(*data_of(table.column(text)))
             ends = np.cumsum(counts)
             ids = np.insert(ids, ends, end).astype(kind)
@@ -111,10 +111,11 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
             columns = [table.column(key).combine_chunks(), pa.array(np.full(len(counts), part, np.int32)), pa.array(before + starts), pa.array(counts), data]
             before += int(ends[-1]) if len(ends) else 0
             yield from pa.table(columns, ["key", "part", "before", "n_tokens", "ids"]).to_batches()
+        tokenizer.vocabulary.clear()
 
     fields = [("part", IntegerType()), ("before", LongType()), ("n_tokens", LongType()), ("ids", BinaryType())]
     schema = StructType([StructField("key", docs.schema[key].dataType), *(StructField(*x) for x in fields)])
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).mapInArrow(frugal(run), schema)
 
 
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", length: int = LENGTH, end: int = END) -> DataFrame:
@@ -152,4 +153,4 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", le
 
     longs = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     schema = StructType([StructField("key", docs.schema[key].dataType), *(StructField(x, LongType()) for x in longs), StructField("ids", BinaryType())])
-    return tokens.mapInArrow(run, schema).withColumnRenamed("key", key)
+    return tokens.mapInArrow(frugal(run), schema).withColumnRenamed("key", key)

@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from .common import frugal
+
 SAMPLE, TAKEN, WINDOW, DICTIONARY, LEVEL = 3000, 20_000, 512, 112_640, 3
 
 
@@ -116,4 +118,4 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score")
             scores = pa.array([scorer.score(x.as_py() or b"") for x in column], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, out])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(out, DoubleType())]))
+    return kept.mapInArrow(frugal(run), StructType([*kept.schema.fields, StructField(out, DoubleType())]))

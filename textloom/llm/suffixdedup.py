@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import stored
+from .common import frugal, stored
 from .suffixsort import common_prefixes, suffix_array
 from .words import data_of, mixed
 
@@ -106,7 +106,7 @@ def _records(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
                 columns = [table.column(0).take(pa.array(doc)), table.column(1).take(pa.array(doc)), pa.array(low - begin, pa.int32()), pa.array(high - begin, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(window.view(np.int64))]
                 yield from pa.table(columns, ["id", "th", "low", "high", "anchor", "window"]).to_batches(65536)
 
-    return docs.select("id", "th", text).mapInArrow(run, "id long, th long, low int, high int, anchor long, window long")
+    return docs.select("id", "th", text).mapInArrow(frugal(run), "id long, th long, low int, high int, anchor long, window long")
 
 
 def _items(texts: DataFrame, length: int, shards: int) -> DataFrame:
@@ -141,7 +141,7 @@ def _items(texts: DataFrame, length: int, shards: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     longs = ", ".join(f"{x} array<long>" for x in names[3:])
-    return texts.select("th", "_text", "wanted").mapInArrow(run, f"shard long, d long, data binary, {longs}")
+    return texts.select("th", "_text", "wanted").mapInArrow(frugal(run), f"shard long, d long, data binary, {longs}")
 
 
 def _runs(hit: np.ndarray) -> list[int]:
@@ -183,7 +183,7 @@ def _counted(items: DataFrame, length: int) -> DataFrame:
                 same = lambda v: pa.array(np.full(n, v, np.int64))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(g[0]), pa.array(g[1]), same(anchor[0].as_py()), same(window[0].as_py()), pa.array(s, pa.int32()), same(weight[0].as_py())], ["g1", "g2", "anchor", "window", "start", "weight"])
 
-    rows = items.select("data", "anchors", "windows", "sizes", "weights").mapInArrow(grams, "g1 long, g2 long, anchor long, window long, start int, weight long")
+    rows = items.select("data", "anchors", "windows", "sizes", "weights").mapInArrow(frugal(grams), "g1 long, g2 long, anchor long, window long, start int, weight long")
     often = rows.groupBy("g1", "g2").agg(F.sum("weight").alias("total")).where("total >= 2").drop("total")
     starts = rows.join(often, ["g1", "g2"], "left_semi").groupBy("anchor", "window").agg(F.array_sort(F.collect_set("start")).alias("starts"))
     pairs = F.flatten(F.transform("starts", lambda s: F.array(s, s + 1)))
@@ -236,7 +236,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 spans.append(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["id", "th", "spans"])
 
-    return hits.mapInArrow(merge, "id long, th long, spans array<int>")
+    return hits.mapInArrow(frugal(merge), "id long, th long, spans array<int>")
 
 
 def kept_bytes(data: bytes, spans: list[int]) -> bytes:
@@ -257,7 +257,7 @@ def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
             count = [len(s) // 2 for s in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string())], ["id", "th", "n_removed", "n_spans", "kept"])
 
-    changed = _by_row(named, found).mapInArrow(cut, "id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "th"])
+    changed = _by_row(named, found).mapInArrow(frugal(cut), "id long, th long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "th"])
     rows = named.select("id", "th", F.octet_length("_text").cast("long").alias("n_bytes"), F.sha2("_text", 256).alias("own"))
     out = _by_row(rows, changed, "left")
     zero = F.lit(0).cast("long")
@@ -290,4 +290,4 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
             columns = [pa.array(texts, column.type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return joined.select(*docs.columns, "__spans").mapInArrow(cut, docs.schema)
+    return joined.select(*docs.columns, "__spans").mapInArrow(frugal(cut), docs.schema)
