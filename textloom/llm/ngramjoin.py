@@ -30,11 +30,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import frugal, salted_join, stored
+from .common import discard, frugal, salted_join, stored
 from .components import components
 from .words import blocks, data_of, mixed, shingles
 
-PERCENT, WIDTH, BITS, CHUNK, BLOCK, TEXTS = 80, 5, 20, 1 << 14, 4096, 4_000_000  # TEXTS: bytes that a task holds at once
+PERCENT, WIDTH, BITS, CHUNK, BLOCK, TEXTS = 80, 5, 20, 1 << 14, 1024, 4_000_000  # TEXTS: bytes that a task holds at once
 FETCHED, SALTED = 26, 16  # bits of the filter of rows fetched; levels from which a shingle's list is salted
 UNITS = "list binary, many boolean, pack long, grp long"
 
@@ -514,26 +514,31 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     """
     levels = shingle_levels(docs, text, width)
     known = stored(_documents(docs, key, text, levels, width, percent))
+    rows = stored(known.select("id", "th", "n", "node"))
+    lists = stored(_lists(_tokens(known, levels, salted), percent, block))
+    several = known.where("n > 0").groupBy("grp").agg(F.count_distinct("node").alias("m")).where("m > 1").select("grp")
     kept = [F.first(x).alias(x) for x in ("n", "tail", "low", "bits")]
-    rep = F.min(F.xxhash64("id", "th")).alias("rep")
-    classes = stored(known.where("n > 0").groupBy("grp", "node").agg(F.min("id").alias("id"), rep, *kept))
+    listed = salted_join(known.drop("prefix"), stored(lists.select("grp").unionAll(several).distinct()), ["grp"], "left_semi")
+    classes = stored(listed.groupBy("grp", "node").agg(F.min(F.xxhash64("id", "th")).alias("rep"), *kept))
+    discard(known)
     # a group of one class has its bitmap too
     groups = stored(classes.groupBy("grp").agg(F.count("*").alias("m"), *kept).withColumn("bits", F.when(F.col("m") == 1, F.col("bits"))))
-    lists = stored(_lists(_tokens(known, levels, salted), percent, block))
     units = stored(_narrowed(lists, groups, percent, block))
+    discard(lists)
     wanted = classes.join(units.select("grp").distinct(), "grp", "left_semi")
     sets = stored(_class_sets(docs, key, text, width, wanted.select("node", "rep")))
     # first each group in its largest list alone, which links most of what is alike; then the lists that are still divided
     first = stored(_verified(_first_members(units, groups, wanted), wanted, sets, percent))
-    labels = components(first).withColumnRenamed("component", "label")
+    labels = stored(components(first)).withColumnRenamed("component", "label")
     second = stored(_verified(_second_members(units, wanted, labels, block), wanted, sets, percent))
-    groups = stored(components(first.unionAll(second))).withColumnRenamed("component", "label")
-    # of the linked classes the smallest id of each component; the others give their own
-    member = known.where("n > 0").groupBy("node").agg(F.min("id").alias("own")).join(groups, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    member = stored(member)
+    discard(sets, units, groups, classes)
+    labels = stored(components(first.unionAll(second))).withColumnRenamed("component", "label")
+    # the smallest id of each component
+    member = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("own")).join(labels, "node", "left")
+    member = stored(member.withColumn("label", F.coalesce("label", "node")))
     least = member.groupBy("label").agg(F.min("own").alias("least"))
     named = salted_join(member, least, ["label"]).select("node", "label", "least")
-    out = salted_join(known.select("id", "th", "n", "node"), named, ["node"], "left")
+    out = salted_join(rows, named, ["node"], "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), "th", "label")
 
