@@ -5,7 +5,8 @@ it. Equal strings have equal anchors at equal places, so the starts of one ancho
 strings), and only windows whose anchor hash occurs again can hold a repeated string. Equal windows are counted, not
 copied. Distinct windows of an anchor hash go to one shard; where a hash has a single window, runs of such windows of a
 document are joined. Each shard sorts its suffixes by induction (suffixsort), computes the permuted common prefixes, and
-finds the starts that share LENGTH bytes with another, windows counting as often as they occur.
+finds the starts that share LENGTH bytes with another, windows counting as often as they occur. A window that any part of
+all documents holds is salted where its documents are found again.
 
 Nothing is sampled: anchors only decide where a string is compared. A hash with more than HOT distinct windows would make
 a shard too large; its strings are counted one by one instead, by two 64-bit hashes, in a shuffle with partial sums.
@@ -23,11 +24,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import frugal, stored
+from .common import discard, frugal, salted_join, stored
 from .suffixsort import common_prefixes, suffix_array
-from .words import data_of, mixed
+from .words import blocks, data_of, mixed
 
-LENGTH, GRAM, HOT, SHARD_BYTES, SEGMENT = 400, 200, 4096, 1_500_000, 1 << 20
+LENGTH, GRAM, HOT, SHARD_BYTES, SEGMENT, TEXTS = 400, 200, 4096, 1_500_000, 1 << 20, 2_000_000
 _SEED = np.arange(1, 257, dtype=np.uint64)
 
 
@@ -97,14 +98,13 @@ def _records(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(SEGMENT + 2 * length)
-        for batch in batches:
-            for table in (pa.Table.from_batches([batch.slice(i, 512)]) for i in range(0, batch.num_rows, 512)):
-                doc, low, high, anchor, window = windows(*(found := data_of(table.column(2))), length, gram, hasher)
-                if not len(doc):
-                    continue
-                begin = found[1][doc]
-                columns = [table.column(0).take(pa.array(doc)), table.column(1).take(pa.array(doc)), pa.array(low - begin, pa.int32()), pa.array(high - begin, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(window.view(np.int64))]
-                yield from pa.table(columns, ["id", "th", "low", "high", "anchor", "window"]).to_batches(65536)
+        for table in blocks(batches, text, TEXTS):
+            doc, low, high, anchor, window = windows(*(found := data_of(table.column(2))), length, gram, hasher)
+            if not len(doc):
+                continue
+            begin = found[1][doc]
+            columns = [table.column(0).take(pa.array(doc)), table.column(1).take(pa.array(doc)), pa.array(low - begin, pa.int32()), pa.array(high - begin, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(window.view(np.int64))]
+            yield from pa.table(columns, ["id", "th", "low", "high", "anchor", "window"]).to_batches(65536)
 
     return docs.select("id", "th", text).mapInArrow(frugal(run), "id long, th long, low int, high int, anchor long, window long")
 
@@ -219,8 +219,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     else:
         found = _sorted_shards(items, length)
     found = stored(found.groupBy("anchor", "window").agg(F.max("runs").alias("runs")))
+    discard(again)
     # every window like it loses the same strings
-    hits = records.join(found, ["anchor", "window"]).groupBy("id", "th").agg(F.collect_list(F.struct("low", "runs")).alias("hits"))
+    hits = salted_join(records.select("id", "th", "low", "anchor", "window"), found, ["anchor", "window"]).groupBy("id", "th").agg(F.collect_list(F.struct("low", "runs")).alias("hits"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -236,7 +237,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                 spans.append(out)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["id", "th", "spans"])
 
-    return hits.mapInArrow(frugal(merge), "id long, th long, spans array<int>")
+    out = stored(hits.mapInArrow(frugal(merge), "id long, th long, spans array<int>"))
+    discard(records, found)
+    return out
 
 
 def kept_bytes(data: bytes, spans: list[int]) -> bytes:
@@ -246,7 +249,7 @@ def kept_bytes(data: bytes, spans: list[int]) -> bytes:
 
 def summary(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row per document: key, n_bytes, n_removed, n_spans, kept_sha256."""
-    found = stored(repeats(docs, key, text, **options))
+    found = repeats(docs, key, text, **options)
     whole = F.coalesce(F.col(text), F.lit(""))
     named = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(whole).alias("th"), whole.alias("_text"))
 
@@ -275,7 +278,7 @@ def remove(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     words: of the passages under LENGTH bytes, which a smaller length finds, those with fewer words stay.
     """
     names = {"id": "__id", "th": "__th", "spans": "__spans"}  # no column of the documents may have these
-    found = stored(repeats(docs, key, text, **options)).withColumnsRenamed(names)
+    found = repeats(docs, key, text, **options).withColumnsRenamed(names)
     named = docs.withColumns({"__id": F.col(key).cast("long"), "__th": F.xxhash64(F.coalesce(F.col(text), F.lit("")))})
     joined = _by_row(named, found, "left", "__id", "__th")
     at = docs.columns.index(text)

@@ -1,22 +1,24 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, as array operations.
 
 Suffixes are classified as S (smaller than the next) or L; the leftmost S of each run (LMS) are sorted by their substrings
-with one induction and named. Where names repeat, the string of names is sorted recursively, by induction while its
-alphabet is small and by prefix doubling of the names once it is not. A last induction sorts all suffixes. An induction
-goes through the buckets of first characters and moves the predecessors of a whole bucket at once; only runs of one
-character take further waves within it.
+with one induction and named. Where names repeat, the string of names is sorted recursively in the same way. A last
+induction sorts all suffixes. All levels take linear time. An induction goes through the buckets of first characters and
+moves the predecessors of a whole bucket at once, only runs of one character taking further waves within it; where the
+alphabet is large, as that of names is, and buckets are small, it moves one suffix at a time.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SMALL = 2_000  # names up to which the recursion goes on by induction
+SMALL = 2_000  # characters of an alphabet up to which whole buckets are moved
 
 
 def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Suffixes in the order that the given order of LMS suffixes induces. ends: of the buckets of first characters."""
     n, k = len(t), len(ends)
+    if k > SMALL:
+        return _induce_each(t, is_s, lms, ends)
     out = np.full(n, -1, np.int64)
     start = np.concatenate([[0], ends[:-1]])
     head = start.copy()
@@ -78,6 +80,32 @@ def _induce(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, ends: np.ndarray)
     return out
 
 
+def _induce_each(t: np.ndarray, is_s: np.ndarray, lms: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """As _induce(), suffix by suffix."""
+    n = len(t)
+    out = [-1] * n
+    # the character before each suffix, if it begins an L or an S suffix
+    prior_l, prior_s = ([-1, *np.where(is_s[:-1] == kind, t[:-1], -1).tolist()] for kind in (False, True))
+    tail = ends.tolist()
+    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist()):
+        tail[c] -= 1
+        out[tail[c]] = i
+    head = [0, *ends[:-1].tolist()]
+    c = int(t[n - 1])
+    out[head[c]] = n - 1
+    head[c] += 1
+    for j in out:  # which fills as it is read
+        if j > 0 and (c := prior_l[j]) >= 0:
+            out[head[c]] = j - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for j in reversed(out):
+        if j > 0 and (c := prior_s[j]) >= 0:
+            tail[c] -= 1
+            out[tail[c]] = j - 1
+    return np.array(out, np.int64)
+
+
 def _classify(t: np.ndarray) -> np.ndarray:
     n = len(t)
     step = np.zeros(n, np.int8)
@@ -87,20 +115,6 @@ def _classify(t: np.ndarray) -> np.ndarray:
     return step[np.minimum.accumulate(at[::-1])[::-1]] > 0  # of equal characters, what the next other one says
 
 
-def _doubling(names: np.ndarray) -> np.ndarray:
-    n = len(names)
-    rank, k = names.astype(np.int64) + 1, 1
-    while True:
-        key = rank * (n + 2)
-        key[: n - k] += rank[k:] if k < n else 0
-        order = np.argsort(key, kind="stable")
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[1], key[order][1:] != key[order][:-1]]))
-        if new[order[-1]] == n or k >= n:
-            return order
-        rank, k = new, 2 * k
-
-
 def suffix_array(t: np.ndarray) -> np.ndarray:
     """Positions of the suffixes of t (non-negative numbers) in order; a suffix comes before those that it begins."""
     n = len(t)
@@ -117,7 +131,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
         names = np.empty(len(lms), np.int64)
         names[mark[by]] = np.cumsum(np.concatenate([[0], _differ(t, lms, mark, by)]))
         if (top := int(names.max())) + 1 < len(lms):
-            lms = lms[suffix_array(names) if top < SMALL else _doubling(names)]
+            lms = lms[suffix_array(names)]
         else:
             lms = by
     return _induce(t, is_s, lms, ends)
