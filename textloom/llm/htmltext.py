@@ -2,9 +2,10 @@
 
 A page is parsed into a tree with implied end tags; elements that are never main text (menus, forms, notices, adverts and
 so on, by tag, role or class words) are left out. For every node a composite density is computed: characters per tag,
-adjusted by the share of linked characters and link tags. The densities of a node's children are summed; the node with
-the largest sum is the core of the page. The smallest density on the path from it to the body is the threshold: each
-subtree whose root reaches it gives its own node of the largest sum. A core within <article> or <main> stands for it all.
+adjusted by the share of linked characters and link tags; tags that only format a phrase within a block, line breaks
+included, are not counted. The densities of a node's children are summed; the node with the largest sum is the core of the
+page. The smallest density on the path from it to the body is the threshold: each subtree whose root reaches it gives its
+own node of the largest sum. No tag marks the core: pages give the same text with <article> renamed.
 
 A pass without a shuffle; a page is one row, and its tree the only state.
 Edge cases: null and empty pages give an empty text; broken markup is read leniently and never fails; repeated rows are
@@ -32,6 +33,8 @@ BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Tags that format a phrase; they split no block and do not thin its text.
+PHRASE = set("abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: A start tag ends the open elements of the second set, up to one of the third.
 CLOSES = {x: ({"p"}, {"table", "td", "th", "button", "body"}) for x in BLOCK - {"body", "html", "option", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}}
 CLOSES |= {
@@ -149,7 +152,7 @@ def _measure(root: Node) -> list[Node]:
             elif not left_out(c):
                 node.chars += c.chars
                 node.links += c.links
-                node.tags += c.tags + 1
+                node.tags += c.tags + (c.tag not in PHRASE)
                 node.link_tags += c.link_tags + (c.tag == "a")
     body = root
     for node in reversed(order):
@@ -174,16 +177,6 @@ def core(root: Node) -> list[Node]:
     threshold, node = math.inf, best
     while node is not None:
         threshold, node = min(threshold, node.density), node.parent
-    whole = best
-    node = best
-    while node is not None:
-        if node.tag in ("article", "main"):
-            whole = node
-            break
-        node = node.parent
-    if whole.tag in ("article", "main"):
-        peers = [x for x in order if x.tag == whole.tag and x.parent is whole.parent and x.density >= threshold]
-        return [x for x in (whole.parent.children if whole.parent else [whole]) if x is whole or x in peers]
     marked: dict[int, Node] = {id(best): best}
     inside: dict[int, bool] = {}
     top: dict[int, Node] = {}
