@@ -83,13 +83,15 @@ def slack(rows: np.ndarray, centers: np.ndarray, child: np.ndarray) -> tuple[np.
 
 def split(rows: np.ndarray, k: int, least: float, probes: float | None) -> tuple[np.ndarray, np.ndarray, float]:
     """Centroids, the cell of each (linked ones share a cell), and the margin of visits."""
+    apart = np.arange(len(rows)) % 3 == 2  # rows that centroids were fitted on lie nearer to them than others do
+    rows, held = (rows[~apart], rows[apart]) if len(rows) > 2 * k else (rows, rows)
     centers = fit(rows, k)
     i, j = np.nonzero(np.triu(centers @ centers.T >= least, 1))
     child = forest(i, j, len(centers))
     margin = margin_of(least)
     if probes is not None:
-        near = np.sort(np.concatenate([(x := slack(rows[a : a + 1024], centers, child)[1])[x <= margin] for a in range(0, len(rows), 1024)]))
-        wanted = int(probes * len(rows))
+        near = np.sort(np.concatenate([(x := slack(held[a : a + 1024], centers, child)[1])[x <= margin] for a in range(0, len(held), 1024)]))
+        wanted = int(probes * len(held))
         margin = float(near[wanted]) if len(near) > wanted else margin
     return centers, child, margin
 
