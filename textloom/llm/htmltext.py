@@ -55,10 +55,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "children", "drop", "chars", "links", "tags", "link_tags", "density", "total", "parent", "holds")
+    __slots__ = ("tag", "children", "drop", "chars", "links", "tags", "link_tags", "density", "total", "parent", "holds", "place")
 
-    def __init__(self, tag: str, parent: Node | None, drop: bool):
-        self.tag, self.parent, self.drop = tag, parent, drop
+    def __init__(self, tag: str, parent: Node | None, drop: bool, place: int = 0):
+        self.tag, self.parent, self.drop, self.place = tag, parent, drop, place
         self.children: list[Node | str] = []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
@@ -118,7 +118,7 @@ def parse(html: str) -> Node:
                 if stack[i].tag in rule[0]:
                     del stack[i:]
                     break
-        node = Node(tag, stack[-1], dropped(tag, attributes))
+        node = Node(tag, stack[-1], dropped(tag, attributes), at)
         stack[-1].children.append(node)
         if tag in ("article", "main", "h1"):
             for x in stack:
@@ -189,7 +189,7 @@ def core(root: Node) -> list[Node]:
         if not up and node.parent is not None and node.density >= threshold > 0:
             marked[id(top[id(node)])] = top[id(node)]
     roots = []
-    for node in sorted(marked.values(), key=lambda x: _place(x)):
+    for node in sorted(marked.values(), key=lambda x: x.place):
         p = node.parent
         while p is not None and id(p) not in marked:
             p = p.parent
@@ -198,14 +198,6 @@ def core(root: Node) -> list[Node]:
     return roots
 
 
-def _place(node: Node) -> tuple[int, ...]:
-    out = []
-    while node.parent is not None:
-        out.append(next(i for i, c in enumerate(node.parent.children) if c is node))
-        node = node.parent
-    return tuple(reversed(out))
-
-
 def blocks_of(root: Node) -> list[str]:
     """Texts of the blocks of a subtree, in page order, white space squeezed."""
     out: list[str] = []

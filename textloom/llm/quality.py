@@ -5,11 +5,14 @@ each; the difference of the total sizes by its bytes is turned into a probabilit
 labelled rows that the dictionaries have not seen. Scoring is a pass without a shuffle; the dictionaries (bounded size)
 travel with the tasks.
 
-Training takes a bounded sample of the labelled rows: the SAMPLE rows of each label with the smallest hash of their id,
-and at most TAKEN bytes of each text. Nothing else is sampled: every text is scored as a whole.
+Training takes a bounded sample of the labelled rows: the SAMPLE rows of each label with the smallest hash of their id. Of
+a text of more than SPREAD windows it takes SPREAD, evenly spread from its start to its end. Nothing else is sampled: every
+text is scored as a whole.
 Edge cases: null and empty texts get the share of good rows in the sample as their score; labels other than 0 and 1, null
 ids and further rows of an id are left out in training, and an id with both labels counts as 0; where a label is missing
-altogether, every score is the share of good rows (0.5 without any rows). Other columns pass through.
+altogether, every score is the share of good rows (0.5 without any rows); where a label has less text than zstandard trains
+a dictionary of (20,000 bytes), its text is the dictionary. Repeated rows have equal scores. Other columns pass through,
+but one named as the score is replaced; the text's own name can't be given to it.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import frugal
 
-SAMPLE, TAKEN, WINDOW, DICTIONARY, LEVEL = 3000, 20_000, 512, 112_640, 3
+SAMPLE, SPREAD, WINDOW, DICTIONARY, LEVEL = 3000, 40, 512, 112_640, 3
 
 
 @dataclass(frozen=True)
@@ -36,8 +39,6 @@ class Model:
     bad: bytes = b""
     slope: float = 0.0
     intercept: float = 0.0
-    low: float = 0.0
-    high: float = 0.0
     window: int = WINDOW
 
 
@@ -59,8 +60,7 @@ class Scorer:
         m = self.model
         if not text or not self.by:
             return m.prior
-        x = min(max(self.difference(text), m.low), m.high)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * x + m.intercept))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, m.slope * self.difference(text) + m.intercept))))
 
 
 def fit(rows: list[tuple[bytes, int]], window: int = WINDOW, size: int = DICTIONARY) -> Model:
@@ -70,18 +70,14 @@ def fit(rows: list[tuple[bytes, int]], window: int = WINDOW, size: int = DICTION
     for label in (0, 1):
         own = [t for t, y in rows[::2] if y == label]
         parts = [t[i : i + window] for t in own for i in range(0, len(t), window)]
-        parts = [p for p in parts if len(p) >= 8]
-        if sum(map(len, parts)) < 20_000:  # too little for a trained dictionary: the text itself
-            known[label] = b"".join(parts)
-            continue
-        known[label] = zstandard.train_dictionary(min(size, sum(map(len, parts)) // 4), parts).as_bytes()
+        parts = [p for p in parts if len(p) >= 8]  # zstandard takes no shorter samples
+        total = sum(map(len, parts))
+        known[label] = zstandard.train_dictionary(min(size, total // 4), parts).as_bytes() if total >= 20_000 else b"".join(parts)
     seen = [(t, y) for t, y in rows[1::2] if t]
     if not known[0] or not known[1] or len({y for _, y in seen}) < 2:
         return Model(prior)
     scorer = Scorer(Model(prior, known[1], known[0], window=window))
     x, y = np.array([scorer.difference(t) for t, _ in seen]), np.array([y for _, y in seen], float)
-    low, high = np.quantile(x, [0.01, 0.9])
-    x = np.clip(x, low, high)
     a, b = np.zeros(2), np.stack([x / (x.std() or 1.0), np.ones(len(x))], 1)
     for _ in range(50):  # Newton steps of a logistic fit, with a small ridge
         p = 1 / (1 + np.exp(-np.clip(b @ a, -30, 30)))
@@ -89,7 +85,15 @@ def fit(rows: list[tuple[bytes, int]], window: int = WINDOW, size: int = DICTION
         a = a + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return Model(prior, known[1], known[0], float(a[0] / (x.std() or 1.0)), float(a[1]), float(low), float(high), window)
+    return Model(prior, known[1], known[0], float(a[0] / (x.std() or 1.0)), float(a[1]), window)
+
+
+def spread(text: Column, windows: int = SPREAD, window: int = WINDOW) -> Column:
+    """The text, or windows of it at even distances, the first at its start and the last at its end."""
+    room = F.length(text) - window
+    at = F.sequence(F.lit(0), F.lit(windows - 1))
+    parts = F.transform(at, lambda i: F.substring(text, F.floor(i * room / (windows - 1)).cast("int") + 1, F.lit(window)))
+    return F.when(F.length(text) <= windows * window, text).otherwise(F.array_join(parts, ""))
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -101,13 +105,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model(0.5)
     chosen = spark.createDataFrame([tuple(r) for r in ids], known.schema)
     # at most 2 * sample rows are broadcast and collected
-    texts = docs.select(F.col(key).alias("_id"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, TAKEN).alias("_text"))
+    texts = docs.select(F.col(key).alias("_id"), spread(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
     rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id").collect()
-    return fit([(r["_text"].encode()[:TAKEN], r["_y"]) for r in rows])
+    return fit([(r["_text"].encode(), r["_y"]) for r in rows])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
     """Adds the probability of label 1; a column named as the result is replaced."""
+    if out == text:
+        raise ValueError("the score cannot replace the text")
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.drop(out)
 

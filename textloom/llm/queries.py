@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -78,7 +80,15 @@ QUERIES = {
     "op10_embedding_dups": op10_embedding_dups,
 }
 
-_PATTERNS = "|".join(x.strip("^") for x in urlfilter.PATTERN_RULES)
+
+
+def _pattern_regex(text: str) -> str:
+    """A pattern rule for the oracle, in the dialect that both engines read."""
+    start = r"^(?:[^/]*\.)?" if text.startswith("||") else ""
+    return "(?s)" + start + "".join({"^": "(?:^|$|[^a-z0-9])", "*": ".*"}.get(c, re.escape(c)) for c in text.removeprefix("||"))
+
+
+_PATTERNS = ", ".join(f"('{x}', '{_pattern_regex(x)}')" for x in urlfilter.PATTERN_RULES)
 
 ORACLES = {
     "op10_embedding_dups": """
@@ -101,21 +111,23 @@ WITH u AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
 ), h AS (
   SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u
+    regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path,
+    translate(regexp_extract(rest, '^[^#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS part FROM u
+), p AS (SELECT * FROM (VALUES {_PATTERNS}) AS t(text, regex)
+), m AS (SELECT page_id, max({{'size': length(p.text), 'text': p.text}}) AS best FROM h JOIN p ON regexp_matches(part, regex) GROUP BY page_id
 ), r AS (
-  SELECT page_id, host, path, CASE
+  SELECT h.page_id, host, path, CASE
     WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
     WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
     WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/en/') THEN 'com/en/'
     WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/de/') THEN 'net/de/'
-    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule,
-    list_filter(['{_PATTERNS.replace("|", "','")}'], lambda w: list_contains(regexp_extract_all(lower(host || path), '[a-z0-9]+'), w)) AS hits
-  FROM h
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule, best.text AS pattern
+  FROM h LEFT JOIN m ON m.page_id = h.page_id
 )
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/en/', 'net/de/', 'example.net/de/8', 'org/es/') THEN 'block' WHEN rule = 'example.com/en/7' THEN 'allow'
-    WHEN len(hits) > 0 THEN 'block' ELSE 'allow' END AS verdict,
-  CASE WHEN rule IS NULL AND len(hits) > 0 THEN '^' || list_sort(hits, 'DESC')[list_position(list_transform(list_sort(hits, 'DESC'), lambda w: length(w)), list_max(list_transform(hits, lambda w: length(w))))] || '^' END AS pattern
+    WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IS NULL THEN pattern END AS pattern
 FROM r
 """,
 }

@@ -12,6 +12,7 @@ scanned one by one; other columns pass through, but those named as the results a
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -90,31 +91,65 @@ def train(samples: DataFrame, token: str = "token", label: str = "label") -> lis
 
 
 def ratio(token: Column, model: list[float]) -> Column:
-    """Log-likelihood ratio of a token: above 0 it is likelier a random string."""
+    """Log-likelihood ratio of a token: above 0 it is likelier a random string. One walk over its characters."""
     n = len(ALPHABET) + 1
-    table = F.array(*map(F.lit, model))
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    start = F.element_at(table, code(F.lit(1)) + 1)
-    steps = F.sequence(F.lit(2), F.greatest(F.length(token), F.lit(2)))
-    term = lambda i: F.when(i <= F.length(token), F.element_at(table, code(i - 1) * n + code(i) + 1)).otherwise(0.0)
-    return start + F.aggregate(steps, F.lit(0.0), lambda acc, i: acc + term(i))
+    codes = [0] * 128
+    for i, c in enumerate(ALPHABET):
+        codes[ord(c)] = i + 1
+    table, code_of = F.array(*map(F.lit, model)), F.array(*map(F.lit, codes))
+    code = lambda c: F.coalesce(F.get(code_of, F.ascii(c)), F.lit(0))
+    coded = F.transform(F.filter(F.split(token, ""), lambda c: c != ""), code)
+    terms = F.zip_with(F.concat(F.array(F.lit(0)), coded), coded, lambda a, b: F.coalesce(F.get(table, a * n + b), F.lit(0.0)))
+    return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def _spans(text: Column, pattern: str, kind: int, keep) -> Column:
-    """Array of (start, kind, end) of the pattern's leftmost non-overlapping matches that keep() accepts."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    first = F.struct(F.lit(0).alias("pos"), none.alias("out"))
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), the value being computed once, also where f uses it in functions of elements."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["gap"])
-        end = start + F.length(x["match"])
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("pos"), F.when(keep(x["match"]), F.concat(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    zipped = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("gap"), found.alias("match"))
-    return F.when(F.rlike(text, F.lit(pattern)), F.aggregate(zipped, first, step, lambda acc: acc["out"])).otherwise(none)
+def scanned(values: Column, zero: Column, step: Callable[[Column, Column], Column], part: int = 256) -> Column:
+    """What step() has made of the values up to each one; in parts, so that no long array is copied for each element."""
+
+    def cut(v: Column) -> Column:
+        begins = F.when(F.size(v) > 0, F.sequence(F.lit(0), F.floor((F.size(v) - 1) / part).cast("int"))).otherwise(F.array().cast("array<int>"))
+        return F.transform(begins, lambda i: F.slice(v, i * part + 1, F.lit(part)))
+
+    none = F.slice(F.array(zero), 1, 0)
+    grown = lambda acc, x: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), zero), x)))
+    first = F.struct(zero.alias("run"), none.alias("out"))
+    passed = lambda acc, p: F.struct(step(acc["run"], F.element_at(p, -1)).alias("run"), F.concat(acc["out"], F.array(acc["run"])).alias("out"))
+    outer = lambda inner: F.aggregate(inner, first, passed, lambda acc: acc["out"])
+    whole = lambda inner: F.flatten(F.zip_with(inner, outer(inner), lambda p, base: F.transform(p, lambda x: step(base, x))))
+    return let(F.transform(let(values, cut), lambda p: F.aggregate(p, none, grown)), whole)
+
+
+def _spans(text: Column, pattern: str, kind: int, keep: Callable[[Column], Column], own: bool = False) -> Column:
+    """Array of (start, kind, end) of the pattern's leftmost non-overlapping matches that keep() accepts; own: and text."""
+    gaps = F.split(text, pattern, -1)  # with the end of the text, which no match follows
+    zipped = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(pattern), 0), lambda g, m: F.struct(m.alias("match"), (F.length(g) + F.length(m)).alias("size")))
+    zipped = F.filter(zipped, lambda x: x["match"].isNotNull())
+    ends = lambda z: scanned(F.transform(z, lambda x: x["size"]), F.lit(0), lambda a, b: a + b)
+    named = lambda x, e: F.struct((e - F.length(x["match"])).alias("start"), F.lit(kind).alias("kind"), e.alias("end"), x["match"].alias("match"))
+    kept = F.filter(let(zipped, lambda z: F.zip_with(z, ends(z), named)), lambda s: keep(s["match"]))
+    kept = kept if own else F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int" + (",match:string>>" if own else ">>"))
+    return F.when(F.rlike(text, F.lit(pattern)), kept).otherwise(none)
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """The tokens (sorted, disjoint) that overlap no base span, by one walk over both in order of their starts."""
+    row = lambda s, text: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), text.alias("match"))
+    both = F.array_sort(F.concat(F.transform(base, lambda s: row(s, F.lit(""))), tokens))
+    far = F.lit(2**31 - 1)
+
+    def bounds(b: Column) -> Column:
+        ends = scanned(F.transform(b, lambda s: F.when(s["kind"] < 3, s["end"]).otherwise(0)), F.lit(0), F.greatest)
+        starts = F.reverse(scanned(F.reverse(F.transform(b, lambda s: F.when(s["kind"] < 3, s["start"]).otherwise(far))), far, F.least))
+        return F.zip_with(b, F.arrays_zip(ends.alias("e"), starts.alias("s")), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+
+    marked = let(both, bounds)
+    return F.transform(F.filter(marked, lambda m: (m["x"]["kind"] == 3) & (m["y"]["e"] <= m["x"]["start"]) & (m["y"]["s"] >= m["x"]["end"])), lambda m: m["x"])
 
 
 def find(docs: DataFrame, model: list[float], text: str = "text", out: str = "secrets", threshold: float = THRESHOLD) -> DataFrame:
@@ -129,17 +164,11 @@ def find(docs: DataFrame, model: list[float], text: str = "text", out: str = "se
         _spans(t, HEX, 2, yes),
     )
     mixed = lambda m: F.rlike(m, F.lit("[0-9]")) & F.rlike(m, F.lit("[A-Za-z]"))
-    tokens = _spans(t, TOKEN, 3, mixed)
-
-    def random(s: Column, found: Column) -> Column:
-        apart = ~F.exists(found, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        token = F.substring(t, s["start"] + 1, s["end"] - s["start"])
-        return F.when(apart, ratio(token, model) > threshold).otherwise(False)
-
-    out_base, out_tokens = "_base_spans", "_token_spans"
-    docs = docs.withColumns({out_base: base, out_tokens: tokens})
-    more = F.filter(F.col(out_tokens), lambda s: random(s, F.col(out_base)))
-    return docs.withColumn(out, F.array_sort(F.concat(F.col(out_base), more))).drop(out_base, out_tokens)
+    docs = docs.withColumns({"__base": base, "__tokens": _spans(t, TOKEN, 3, mixed, own=True)})
+    judged = F.when(F.size("__tokens") > 0, apart(F.col("__tokens"), F.col("__base"))).otherwise(F.col("__tokens"))
+    passed = F.filter(judged, lambda s: ratio(s["match"], model) > threshold)
+    more = F.transform(passed, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+    return docs.withColumn(out, F.array_sort(F.concat("__base", more))).drop("__base", "__tokens")
 
 
 def listed(spans: Column) -> Column:
@@ -150,12 +179,12 @@ def listed(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans replaced by a mark."""
-    first = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+    before = scanned(F.transform(spans, lambda s: s["end"]), F.lit(0), F.greatest)
+    before = F.concat(F.array(F.lit(0)), before)  # the end of what comes before each span; the last: of all
 
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(text, acc["pos"] + 1, s["start"] - acc["pos"])
-        added = F.when(s["start"] >= acc["pos"], F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), added.alias("out"))
+    def joined(chars: Column) -> Column:
+        cut = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
+        piece = lambda s, a: F.when(s.isNull(), cut(a, F.greatest(a, F.size(chars)))).when(s["start"] >= a, F.concat(cut(a, s["start"]), F.lit(mark))).otherwise("")
+        return F.array_join(F.zip_with(spans, before, piece), "")
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["pos"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, step, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.filter(F.split(text, ""), lambda c: c != ""), joined)).otherwise(text)
