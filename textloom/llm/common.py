@@ -85,14 +85,15 @@ def frugal(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return run
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000, least: int = 32, salts: int = 64) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", share: int = 1000, least: int = 32, salts: int = 64, counts: DataFrame | None = None) -> DataFrame:
     """left.join(right, keys) where one key, or null, may hold any part of left's rows; right has few rows of each key.
 
     Keys with a thousandth of left's rows (so a thousand at most, which are collected) are dealt to `salts` tasks each.
-    left should be a stored table, so that its rows have the same salts in a repeated task.
+    left should be a stored table, so that its rows have the same salts in a repeated task. counts: left's rows by key, as
+    (keys, n), where they are known.
     """
     total = left.count()
-    counts = left.groupBy(*keys).agg(F.count("*").alias("__n")).where((F.col("__n") * share >= total) & (F.col("__n") >= least)).drop("__n")
+    counts = (left.groupBy(*keys).agg(F.count("*").alias("__n")) if counts is None else counts.select(*keys, F.col("n").alias("__n"))).where((F.col("__n") * share >= total) & (F.col("__n") >= least)).drop("__n")
     rows = counts.collect()
     if not rows:
         return left.join(right, keys, how)

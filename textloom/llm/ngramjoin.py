@@ -475,7 +475,7 @@ def _task(*columns: str) -> Column:
 def _first_members(units: DataFrame, groups: DataFrame, classes: DataFrame) -> DataFrame:
     """(task, node, label): each group's classes in its largest list, within packs; every class is its own label."""
     size = units.join(groups.select("grp", "m"), "grp").groupBy("list").agg(F.sum("m").alias("size"))
-    sized = units.join(size, "list")
+    sized = salted_join(units, size, ["list"])
     own = sized.groupBy("grp").agg(F.max_by(F.struct("list", "many", "pack", "slots"), F.struct("size", "list", "pack")).alias("u")).select("grp", "u.*")
     members = classes.select("grp", "node").join(own, "grp").withColumn("slot", F.pmod("node", "slots"))
     return members.select(_task("pack", "slot").alias("task"), "node", F.col("node").alias("label"))
@@ -489,7 +489,7 @@ def _second_members(units: DataFrame, classes: DataFrame, labels: DataFrame, blo
     labelled = stored(classes.select("grp", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
     bounds = labelled.groupBy("grp").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     divided = units.join(bounds, "grp").groupBy("list").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("list")
-    left = units.select("list", "many", "grp").distinct().join(divided, "list", "left_semi")
+    left = salted_join(units, divided, ["list"], "left_semi").select("list", "many", "grp").distinct()
     left = stored(left.join(labelled, "grp").select("list", "many", "node", "label"))
     few = left.where("NOT many").select(_task().alias("task"), "node", "label")
     many = left.where("many")

@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, frugal, salted_join, stored
@@ -94,19 +95,25 @@ def repeated_starts(text: np.ndarray, start: np.ndarray, weight: np.ndarray, len
 
 
 def _records(docs: DataFrame, text: str, length: int, gram: int) -> DataFrame:
-    """(id, th, low, high, anchor, window) of all windows; starts are bytes of the text."""
+    """(uid, id, th, low, high, anchor, window) of all windows; starts are bytes of the text.
+
+    uid is a number of the row; only its first window has id and th, which name the row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(SEGMENT + 2 * length)
+        hasher, rows = Hasher(SEGMENT + 2 * length), TaskContext.get().partitionId() << 33
         for table in blocks(batches, text, TEXTS):
             doc, low, high, anchor, window = windows(*(found := data_of(table.column(2))), length, gram, hasher)
+            rows, base = rows + table.num_rows, rows
             if not len(doc):
                 continue
             begin = found[1][doc]
-            columns = [table.column(0).take(pa.array(doc)), table.column(1).take(pa.array(doc)), pa.array(low - begin, pa.int32()), pa.array(high - begin, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(window.view(np.int64))]
-            yield from pa.table(columns, ["id", "th", "low", "high", "anchor", "window"]).to_batches(65536)
+            first = np.concatenate([[True], doc[1:] != doc[:-1]])
+            names = [table.column(i).take(pa.array(doc, mask=~first)) for i in range(2)]
+            columns = [pa.array(doc + base), *names, pa.array(low - begin, pa.int32()), pa.array(high - begin, pa.int32()), pa.array(anchor.view(np.int64)), pa.array(window.view(np.int64))]
+            yield from pa.table(columns, ["uid", "id", "th", "low", "high", "anchor", "window"]).to_batches(65536)
 
-    return docs.select("id", "th", text).mapInArrow(frugal(run), "id long, th long, low int, high int, anchor long, window long")
+    return docs.select("id", "th", text).mapInArrow(frugal(run), "uid long, id long, th long, low int, high int, anchor long, window long")
 
 
 def _items(texts: DataFrame, length: int, shards: int) -> DataFrame:
@@ -204,13 +211,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     """
     named = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), F.col(text).alias("_text"))
     records = stored(_records(named, "_text", length, gram))
-    place = F.struct("id", "th", "low", "high")
-    distinct = records.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(place).alias("at"))
-    anchors = distinct.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("d")).where("total >= 2").drop("total")
-    again = stored(distinct.join(anchors, "anchor").select("anchor", "window", "n", "d", "at.*"))
+    names = stored(records.where("th IS NOT NULL").select("uid", "id", "th"))
+    counts = stored(records.groupBy("anchor").agg(F.count("*").alias("n")).where("n >= 2"))
+    rows = stored(salted_join(records.drop("id", "th"), counts.select("anchor"), ["anchor"], counts=counts))
+    discard(records, counts)
+    place = F.struct("uid", "low", "high")
+    distinct = stored(rows.groupBy("anchor", "window").agg(F.count("*").alias("n"), F.min(place).alias("at")))
+    kinds = distinct.groupBy("anchor").agg(F.count("*").alias("d"))
+    again = stored(distinct.join(kinds, "anchor").select("anchor", "window", "n", "d", "at.*"))
+    discard(distinct)
     total = again.agg(F.sum(F.when(F.col("d") > 1, F.col("high") - F.col("low") + length).otherwise(F.col("high") - F.col("low") + 20))).first()[0] or 0
     shards = int(total // shard_bytes) + 1
-    wanted = again.groupBy("id", "th").agg(F.collect_list(F.struct("low", "high", "anchor", "window", "n", "d")).alias("wanted"))
+    wanted = again.groupBy("uid").agg(F.collect_list(F.struct("low", "high", "anchor", "window", "n", "d")).alias("wanted")).join(names, "uid").drop("uid")
     texts = _by_row(named, wanted)
     items = _items(texts, length, shards)
     if again.where(F.col("d") > hot).limit(1).count():
@@ -221,12 +233,12 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
     found = stored(found.groupBy("anchor", "window").agg(F.max("runs").alias("runs")))
     discard(again)
     # every window like it loses the same strings
-    hits = salted_join(records.select("id", "th", "low", "anchor", "window"), found, ["anchor", "window"]).groupBy("id", "th").agg(F.collect_list(F.struct("low", "runs")).alias("hits"))
+    hits = salted_join(rows.select("uid", "low", "anchor", "window"), found, ["anchor", "window"]).groupBy("uid").agg(F.collect_list(F.struct("low", "runs")).alias("hits"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = []
-            for hit in batch.column(2).to_pylist():
+            for hit in batch.column(1).to_pylist():
                 pairs = sorted((h["low"] + a, h["low"] + b - 1 + length) for h in hit for a, b in zip(h["runs"][::2], h["runs"][1::2]))
                 out: list[int] = []
                 for a, b in pairs:
@@ -235,10 +247,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
                     else:
                         out += [a, b]
                 spans.append(out)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.int32()))], ["id", "th", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(pa.int32()))], ["uid", "spans"])
 
-    out = stored(hits.mapInArrow(frugal(merge), "id long, th long, spans array<int>"))
-    discard(records, found)
+    spans = hits.mapInArrow(frugal(merge), "uid long, spans array<int>").join(names, "uid")
+    out = stored(spans.groupBy("id", "th").agg(F.first("spans").alias("spans")))  # equal rows have equal spans
+    discard(rows, found, names)
     return out
 
 
