@@ -29,10 +29,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import frugal
+from .common import frugal, trim
 from .words import blocks, chunks, data_of
 
-KEPT, BLOCK_BYTES = 250_000, 8_000_000  # chunks that a table keeps; bytes of text encoded at once
+KEPT, BLOCK_BYTES, PART = 200_000, 6_000_000, 20_000  # chunks that a table keeps; bytes of text encoded, chunks learned at once
 #: The usual split pattern for texts below U+0250, with its classes written out for the faster `re` module.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
@@ -203,14 +203,19 @@ class Vocabulary:
         if len(self.number) > self.most:
             self.clear()
         codes, distinct, each = chunks(data, cuts)
-        names = np.fromiter(map(self.number.__getitem__, distinct.to_pylist()), np.int32, len(distinct))
+        names = np.empty(len(distinct), np.int32)
+        for i in range(0, len(distinct), PART):  # in parts, as Python objects take much memory
+            part = distinct.slice(i, PART).to_pylist()
+            names[i : i + len(part)] = np.fromiter(map(self.number.__getitem__, part), np.int32, len(part))
         known = len(self.size)
         if len(self.number) > known:
-            split = [self.find(x.decode("utf-8", "replace")) for x in islice(self.number, known, None)]
-            used = np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int32)
+            new, used, each_split = islice(self.number, known, None), [], []
+            while split := [self.find(x.decode("utf-8", "replace")) for x in islice(new, PART)]:
+                used.append(np.fromiter(map(self.pieces.__getitem__, chain.from_iterable(split)), np.int32))
+                each_split.append(np.fromiter(map(len, split), np.int64, len(split)))
             ids, counts = self.learn(list(islice(self.pieces, len(self.piece_size), None)))
             self.piece_flat, self.piece_size = np.concatenate([self.piece_flat, ids]), np.concatenate([self.piece_size, counts])
-            flat, size = joined(self.piece_flat, self.piece_size, used, np.fromiter(map(len, split), np.int64, len(split)))
+            flat, size = joined(self.piece_flat, self.piece_size, np.concatenate(used), np.concatenate(each_split))
             self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
         return joined(self.flat, self.size, names[codes], each)
 
@@ -312,6 +317,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
             ids, counts = encoder.encode(*data_of(table.column(text)))
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             yield from _with(table, out, pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype(np.int32))))
+            trim()
         encoder.clear()
 
     return docs.mapInArrow(frugal(run), _schema(docs, out, ArrayType(IntegerType())))
@@ -356,6 +362,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, key: str, text: str = "
             said = [hashlib.sha256(",".join(map(str, ids[a:b].tolist())).encode()).hexdigest() for a, b in zip([0, *ends], ends)]
             columns = [table.column(key).combine_chunks(), pa.array(counts, pa.int64()), pa.array(said), pa.array(decoded)]
             yield from pa.table(columns, ["key", "n_tokens", "ids_sha256", "decoded_sha256"]).to_batches()
+            trim()
         encoder.clear()
 
     fields = [StructField("key", docs.schema[key].dataType), StructField("n_tokens", LongType()), StructField("ids_sha256", StringType())]

@@ -27,7 +27,7 @@ from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, St
 from tokenizers import Tokenizer
 
 from .bpe import BLOCK_BYTES, LONG, Ranks, Vocabulary, _L, _N, _S, replay, replay_long
-from .common import checkpoint, frugal
+from .common import checkpoint, frugal, trim
 from .words import blocks, data_of
 
 LENGTH = 4096
@@ -111,6 +111,7 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
             columns = [table.column(key).combine_chunks(), pa.array(np.full(len(counts), part, np.int32)), pa.array(before + starts), pa.array(counts), data]
             before += int(ends[-1]) if len(ends) else 0
             yield from pa.table(columns, ["key", "part", "before", "n_tokens", "ids"]).to_batches()
+            trim()
         tokenizer.vocabulary.clear()
 
     fields = [("part", IntegerType()), ("before", LongType()), ("n_tokens", LongType()), ("ids", BinaryType())]

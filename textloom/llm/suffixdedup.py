@@ -29,7 +29,7 @@ from .common import discard, frugal, salted_join, stored
 from .suffixsort import common_prefixes, suffix_array
 from .words import blocks, data_of, mixed
 
-LENGTH, GRAM, HOT, SHARD_BYTES, SEGMENT, TEXTS = 400, 200, 4096, 1_500_000, 1 << 20, 2_000_000
+LENGTH, GRAM, HOT, SHARD_BYTES, SEGMENT, TEXTS = 400, 200, 4096, 1_000_000, 1 << 20, 2_000_000
 _SEED = np.arange(1, 257, dtype=np.uint64)
 
 
