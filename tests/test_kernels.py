@@ -27,3 +27,21 @@ def test_kinds():
 def test_chain_is_longest():
     assert k.increasing([(0, 3), (1, 1), (2, 2), (3, 5), (4, 4)]) == [(1, 1), (2, 2), (4, 4)]
     assert k.increasing([]) == []
+
+
+def test_edit_table_and_closest_pairs():
+    random.seed(4)
+    words = ["".join(random.choice("abcé") for _ in range(random.randint(0, 6))) for _ in range(40)]
+    assert [[k.edits(a, b) for b in words] for a in words] == k.edit_table(words, words).tolist()
+    for _ in range(60):
+        tokens = [random.choice(words[:12]) or "a" for _ in range(random.randint(2, 30))]
+        cut = random.randint(1, len(tokens) - 1)
+        left, free = list(range(cut)), list(range(cut, len(tokens)))
+        scored = sorted((k.edits(k.plain(tokens[i]), k.plain(tokens[j])) / (max(len(k.plain(tokens[i])), len(k.plain(tokens[j]))) or 1), i, j) for i in left for j in free)
+        want, a, b = [], set(left), set(free)
+        for _, i, j in scored:
+            if i in a and j in b:
+                want.append((i, j))
+                a.discard(i)
+                b.discard(j)
+        assert k._closest(left, free, tokens.__getitem__) == want

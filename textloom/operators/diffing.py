@@ -1,16 +1,16 @@
 """Pairing of versions and word diffs.
 
-Line pairs that are equal never reach Python; the others are diffed in Arrow batches and classified in the same pass.
+Texts are diffed in Arrow batches and classified in the same pass, spread over all tasks of a shuffle.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.text import display_tokens
 from . import kernels
 
 TOKEN = "array<struct<value:string,op:string,kind:string>>"
@@ -24,24 +24,47 @@ def pair_positions(left: DataFrame, right: DataFrame, keys: list[str], order: st
     return both.select(*keys, "rn", F.coalesce("left_text", F.lit("")).alias("left_text"), F.coalesce("right_text", F.lit("")).alias("right_text"))
 
 
+def _spread(pairs: DataFrame) -> DataFrame:
+    """Dealt to as many tasks as a shuffle has: diffs are work, not data, so small inputs must not end in one task."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pairs.columns)
+
+
 def with_diff(pairs: DataFrame, left: str = "left_text", right: str = "right_text", out: str = "tokens") -> DataFrame:
-    """Adds the classified diff of two texts as an array of (value, op, kind) (D-1, D-2, D-5)."""
-    a, b = display_tokens(F.col(left)), display_tokens(F.col(right))
-    pairs = pairs.withColumns({"_a": a, "_b": b})
-    same = F.transform("_a", lambda t: F.struct(t.alias("value"), F.lit("eq").alias("op"), F.lit(None).cast("string").alias("kind")))
-    equal = pairs.where(F.col("_a") == F.col("_b")).withColumn(out, same).drop("_a", "_b")
-    kept = [c for c in pairs.columns if c not in ("_a", "_b")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema if f.name in kept) + f", {out} {TOKEN}"
+    """Adds the classified diff of two texts as an array of (value, op, kind) (D-1, D-2, D-5), in one pass."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + f", {out} {TOKEN}"
     kind = pa.list_(pa.struct([("value", pa.string()), ("op", pa.string()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = batch.column(len(kept)).to_pylist(), batch.column(len(kept) + 1).to_pylist()
-            tokens = [[{"value": v, "op": o, "kind": k} for v, o, k in kernels.classified(kernels.diff(p, q))] for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(tokens, kind)], [*kept, out])
+            x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (left, right))
+            tokens = [[{"value": v, "op": o, "kind": k} for v, o, k in kernels.classified(kernels.diff(kernels.display(p), kernels.display(q)))] for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, kind)], [*batch.schema.names, out])
+
+    return _spread(pairs).mapInArrow(run, schema)
+
+
+def diff_counts(pairs: DataFrame, keys: list[str], left: str = "left_text", right: str = "right_text") -> DataFrame:
+    """Per row the keys, has_left, has_right, runs of changes (W1) and the changed tokens of each kind (D-5).
+
+    Equal texts reach the kernel as nulls, and no tokens leave it.
+    """
+    same = F.col(left) == F.col(right)
+    sides = [(F.length(c) > 0).alias(n) for c, n in ((left, "has_left"), (right, "has_right"))]
+    rows = pairs.select(*keys, *sides, *(F.when(~same, F.col(c)).alias(n) for c, n in ((left, "_x"), (right, "_y"))))
+    names = [*keys, "has_left", "has_right"]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in names) + ", runs int, kinds map<string,bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            runs, kinds = [], []
+            for x, y in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
+                tokens = kernels.classified(kernels.diff(kernels.display(x), kernels.display(y))) if x is not None else []
+                runs.append(kernels.runs([o for _, o, _ in tokens]))
+                kinds.append(list(Counter(k for _, o, k in tokens if o != "eq").items()))
+            columns = [*batch.columns[: len(names)], pa.array(runs, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, [*names, "runs", "kinds"])
 
-    changed = pairs.where(F.col("_a") != F.col("_b")).select(*kept, "_a", "_b").mapInArrow(run, schema)
-    return equal.select(*kept, out).unionByName(changed)
+    return _spread(rows).mapInArrow(run, schema)
 
 
 def changed_runs(tokens: str = "tokens"):
@@ -53,24 +76,21 @@ def changed_runs(tokens: str = "tokens"):
 
 def chapter_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Variants, changed verses and all verses of each chapter (A1); chapters with an empty side are left out."""
-    runs = with_diff(pairs).withColumn("_runs", changed_runs())
-    sums = [F.sum("_runs").alias("variant_count"), F.sum((F.col("_runs") > 0).cast("int")).alias("changed_verse_count"), F.count("*").alias("total_verse_count")]
-    sides = [F.max((F.length(c) > 0).cast("int")).alias(f"_{c}") for c in ("left_text", "right_text")]
-    return runs.groupBy(*keys).agg(*sums, *sides).where("_left_text = 1 AND _right_text = 1").drop("_left_text", "_right_text")
+    sums = [F.sum("runs").alias("variant_count"), F.sum((F.col("runs") > 0).cast("int")).alias("changed_verse_count"), F.count("*").alias("total_verse_count")]
+    sides = [F.max(c).alias(f"_{c}") for c in ("has_left", "has_right")]
+    return diff_counts(pairs, keys).groupBy(*keys).agg(*sums, *sides).where("_has_left AND _has_right").drop("_has_left", "_has_right")
 
 
-def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = 40, band: int = 50, across: bool = True) -> DataFrame:
+def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = 40, band: int = 50) -> DataFrame:
     """Two versions of a text: each document with the next longer one of the same opening (a, b).
 
     Rows are paired with their successor only, so a common opening costs no more than a sort of its ids. The sort is split
     by bands of length, whose ends are then joined. A text shorter than the prefix is its own opening: it pairs with equal
-    texts only. Null ids and texts have no pair. across=False leaves the ends of the bands and such short texts unpaired.
+    texts only. Null ids and texts have no pair.
     """
     rows = docs.select(key, F.xxhash64(F.substring(text, 1, prefix)).alias("_p"), F.length(text).alias("_n"))
-    rows = (rows.where(F.col(key).isNotNull() & F.col("_n").isNotNull()) if across else rows.where(F.col("_n") >= prefix)).withColumn("_band", F.floor(F.col("_n") / band))
+    rows = rows.where(F.col(key).isNotNull() & F.col("_n").isNotNull()).withColumn("_band", F.floor(F.col("_n") / band))
     within = rows.withColumn("b", F.lead(key).over(Window.partitionBy("_p", "_band").orderBy("_n", key))).where("b IS NOT NULL").select(F.col(key).alias("a"), "b")
-    if not across:
-        return within
     at = F.struct("_n", key)
     ends = rows.groupBy("_p", "_band").agg(F.min(at)[key].alias("first"), F.max(at)[key].alias("a"))
     ends = ends.withColumn("b", F.lead("first").over(Window.partitionBy("_p").orderBy("_band"))).where("b IS NOT NULL")

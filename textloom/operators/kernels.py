@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -15,6 +16,11 @@ _KNOWN = {frozenset(p) for p in VARIANTS}
 _WORDLIKE = re.compile(r"[a-zA-Z&()<]")
 
 
+def display(text: str) -> list[str]:
+    """Display tokens (F1)."""
+    return DISPLAY.findall(text)
+
+
 def diff(old: list[str], new: list[str]) -> list[tuple[str, str]]:
     """(value, op) with op eq, del or ins: fewest insertions and deletions, deletions first (D-1).
 
@@ -82,6 +88,31 @@ def edits(a: str, b: str) -> int:
     return row[-1]
 
 
+def edit_table(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distances of all pairs, a row for each word of a: all words of b are compared with it at once."""
+    size = np.array([len(w) for w in b], np.int32)
+    width = int(size.max(initial=0))
+    codes = np.zeros((len(b), width), np.int32)
+    for i, w in enumerate(b):
+        codes[i, : len(w)] = [ord(c) for c in w]
+    at = np.arange(width + 1, dtype=np.int32)
+    out = np.empty((len(a), len(b)), np.int32)
+    known: dict[str, int] = {}
+    for i, w in enumerate(a):
+        if w in known:
+            out[i] = out[known[w]]
+            continue
+        known[w] = i
+        row = np.broadcast_to(at, (len(b), width + 1))
+        for j, c in enumerate(w, 1):
+            new = np.empty((len(b), width + 1), np.int32)
+            new[:, 0] = j
+            new[:, 1:] = np.minimum(row[:, :-1] + (codes != ord(c)), row[:, 1:] + 1)
+            row = np.minimum.accumulate(new - at, axis=1) + at
+        out[i] = row[np.arange(len(b)), size]
+    return out
+
+
 def is_punctuation(token: str) -> bool:
     return not _WORDLIKE.search(token)
 
@@ -126,6 +157,27 @@ def classified(tokens: list[tuple[str, str]]) -> list[tuple[str, str, str | None
     return [(v, o, k) for (v, o), k in zip(tokens, kinds)]
 
 
+def _closest(left: list[int], free: list[int], value: Callable[[int], str]) -> list[tuple[int, int]]:
+    """Pairs of both lists, the closest pair of all first, then the one of the first words."""
+    if not left or not free:
+        return []
+    x, y = [plain(value(i)) for i in left], [plain(value(j)) for j in free]
+    longest = np.maximum.outer([len(w) for w in x], [len(w) for w in y])
+    score = edit_table(x, y) / np.maximum(longest, 1)
+    order = np.argsort(score, axis=None, kind="stable")
+    out, wanted = [], min(len(x), len(y))
+    rows, columns = np.ones(len(x), bool), np.ones(len(y), bool)
+    while len(out) < wanted:  # of a lot the pairs whose words are both free, in turn
+        for k in order[: 4 * len(y) + 64].tolist():
+            i, j = divmod(k, len(y))
+            if rows[i] and columns[j]:
+                rows[i] = columns[j] = False
+                out.append((left[i], free[j]))
+        order = order[4 * len(y) + 64 :]
+        order = order[rows[order // len(y)] & columns[order % len(y)]]
+    return out
+
+
 def _pair(tokens: list[tuple[str, str]], gone: list[int], come: list[int], kinds: list[str | None]) -> None:
     value = lambda i: tokens[i][0]
     spelled = lambda ids: re.sub(r"[\W_]", "", "".join(map(value, ids)).lower())
@@ -143,13 +195,9 @@ def _pair(tokens: list[tuple[str, str]], gone: list[int], come: list[int], kinds
         else:
             del free[best]
             pairs.append((i, best))
-    scored = sorted((edits(plain(value(i)), plain(value(j))) / (max(len(plain(value(i))), len(plain(value(j)))) or 1), i, j) for i in left for j in free)
-    used: set[int] = set()
-    for _, i, j in scored:  # the closest pair of all first
-        if i not in used and j in free:
-            used.add(i)
-            del free[j]
-            pairs.append((i, j))
+    pairs += _closest(left, list(free), value)
+    for _, j in pairs:
+        free.pop(j, None)
     for i, j in pairs:
         kinds[i] = kinds[j] = substitution(value(i), value(j))
     for i in left:
@@ -159,20 +207,27 @@ def _pair(tokens: list[tuple[str, str]], gone: list[int], come: list[int], kinds
 
 
 def lcs_latest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence, met from the end, the first side giving way on ties (Q2)."""
+    """Index pairs of a longest common subsequence, met from the end, the first side giving way on ties (Q2).
+
+    One bit of each cell is kept: whether the first side may give way.
+    """
     n, m = len(a), len(b)
-    size = np.zeros((n + 1, m + 1), np.int32)
-    for i in range(1, n + 1):
-        same = np.array([a[i - 1] == w for w in b])
-        best = np.where(same, size[i - 1, :-1] + 1, size[i - 1, 1:])
-        size[i, 1:] = np.maximum.accumulate(best) if m else 0
+    codes: dict[str, int] = {}
+    p, q = (np.array([codes.setdefault(w, len(codes)) for w in side], np.int64) for side in (a, b))
+    size = np.zeros(m + 1, np.int32)
+    bits = []
+    for i in range(n):
+        now = np.zeros(m + 1, np.int32)
+        now[1:] = np.maximum.accumulate(np.where(q == p[i], size[:-1] + 1, size[1:])) if m else 0
+        bits.append(np.packbits(size[1:] >= now[:-1]))
+        size = now
     out = []
     i, j = n, m
     while i and j:
         if a[i - 1] == b[j - 1]:
             i, j = i - 1, j - 1
             out.append((i, j))
-        elif size[i - 1, j] >= size[i, j - 1]:
+        elif bits[i - 1][(j - 1) >> 3] >> (7 - (j - 1 & 7)) & 1:
             i -= 1
         else:
             j -= 1

@@ -64,20 +64,23 @@ def anchors(source: DataFrame, target: DataFrame, source_key: str, target_key: s
 def interpolated(df: DataFrame, keys: list[str], position: str, anchor: str, out: str) -> DataFrame:
     """Anchors where given, between them linear, outside with the slope of the nearest pair (1 if single); half up."""
     w = Window.partitionBy(*keys).orderBy(position)
-    whole = Window.partitionBy(*keys)
     p, known = F.col(position), F.col(anchor).isNotNull()
     pair = F.when(known, F.struct(p.alias("s"), F.col(anchor).alias("t")))
     prev = F.last(pair, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     following = F.first(pair, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    ordered = F.array_sort(F.collect_list(pair).over(whole))
-    df = df.withColumns({"_prev": prev, "_next": following, "_all": ordered})
-    n = F.size("_all")
-    slope = lambda i, j: (F.get("_all", j)["t"] - F.get("_all", i)["t"]) / (F.get("_all", j)["s"] - F.get("_all", i)["s"])
-    first, last = F.when(n < 2, 1.0).otherwise(slope(F.lit(0), F.lit(1))), F.when(n < 2, 1.0).otherwise(slope(n - 2, n - 1))
+    # the slopes at both ends: of the first and of the last two anchors of each key
+    after, before = F.lead(pair).over(w), F.lag(pair).over(w)
+    ends = df.where(known).withColumns({"_pair": pair, "_after": after, "_before": before})
+    rise = lambda a, b: (b["t"] - a["t"]) / (b["s"] - a["s"])
+    low = F.min_by(rise(F.col("_pair"), F.col("_after")), p).alias("_first")
+    high = F.max_by(rise(F.col("_before"), F.col("_pair")), p).alias("_last")
+    ends = ends.groupBy(*keys).agg(low, high)
+    df = df.withColumns({"_prev": prev, "_next": following}).join(ends, keys, "left")
+    first, last = F.coalesce("_first", F.lit(1.0)), F.coalesce("_last", F.lit(1.0))
     inner = F.col("_prev.t") + (p - F.col("_prev.s")) * (F.col("_next.t") - F.col("_prev.t")) / (F.col("_next.s") - F.col("_prev.s"))
     value = F.when(known, F.col(anchor).cast("double")).when(F.col("_prev").isNull(), F.col("_next.t") - (F.col("_next.s") - p) * first)
     value = value.when(F.col("_next").isNull(), F.col("_prev.t") + (p - F.col("_prev.s")) * last).otherwise(inner)
-    return df.withColumn(out, F.floor(value + 0.5)).drop("_prev", "_next", "_all")
+    return df.withColumn(out, F.floor(value + 0.5)).drop("_prev", "_next", "_first", "_last")
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFrame:

@@ -10,8 +10,8 @@ from .common import Registry, table
 
 query = Registry()
 PAIRS = r"""
-WITH d AS (SELECT doc_id, text, substr(text, 1, 40) AS p, length(text) AS n FROM documents WHERE length(text) >= 40),
-q AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY p, n // 50 ORDER BY n, doc_id) AS b FROM d),
+WITH d AS (SELECT doc_id, text, substr(text, 1, 40) AS p, length(text) AS n FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+q AS (SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY p ORDER BY n, doc_id) AS b FROM d),
 pr AS (SELECT a, b FROM q WHERE b IS NOT NULL),
 x AS (SELECT a, b, l.text AS lt, r.text AS rt FROM pr JOIN documents l ON l.doc_id = a JOIN documents r ON r.doc_id = b),
 ll AS (SELECT a, b, unnest(string_split(lt, chr(10))) AS t, generate_subscripts(string_split(lt, chr(10)), 1) AS rn FROM x),
@@ -20,10 +20,10 @@ z AS (SELECT a, b, rn::INTEGER AS rn, coalesce(ll.t, '') AS left_text, coalesce(
 """
 
 
-def pairs(spark: SparkSession, sf_dir: str, across: bool = False) -> DataFrame:
-    """As PAIRS, within bands of length; across: all pairs, for the queries without SQL."""
+def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As PAIRS."""
     docs = table(spark, sf_dir, "documents")
-    return diffing.line_pairs(docs, diffing.near_pairs(docs, across=across))
+    return diffing.line_pairs(docs, diffing.near_pairs(docs))
 
 
 @query(PAIRS + "SELECT a, b, rn, md5(left_text) AS left_md5, md5(right_text) AS right_md5 FROM z")
@@ -50,14 +50,14 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def variant_stats_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants (runs of changed tokens), changed lines and lines of each pair of versions (D-2, W1, A1)."""
-    return diffing.chapter_stats(pairs(spark, sf_dir, across=True), ["a", "b"])
+    return diffing.chapter_stats(pairs(spark, sf_dir), ["a", "b"])
 
 
 @query()
 def diff_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed tokens of each pair by kind (D-5, P7)."""
-    tokens = diffing.with_diff(pairs(spark, sf_dir, across=True).where("left_text <> right_text")).select("a", "b", F.explode("tokens").alias("t"))
-    return tokens.where("t.op <> 'eq'").groupBy("a", "b", F.col("t.kind").alias("kind")).agg(F.count("*").alias("tokens"))
+    kinds = diffing.diff_counts(pairs(spark, sf_dir), ["a", "b"]).select("a", "b", F.explode("kinds").alias("kind", "n"))
+    return kinds.groupBy("a", "b", "kind").agg(F.sum("n").alias("tokens"))
 
 
 def _words(n: str) -> str:

@@ -168,7 +168,7 @@ def duplicate_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH ov AS (SELECT row_number() OVER (ORDER BY c_custkey) AS idx, c_nationkey AS page, c_custkey % 4 + 1 AS line, c_custkey AS target FROM customer WHERE c_custkey % 3 = 0),
+WITH ov AS (SELECT row_number() OVER (ORDER BY c_custkey) AS idx, c_nationkey AS page, c_custkey % 4 + 1 AS line, c_custkey AS target FROM customer),
 w AS (SELECT l_orderkey, l_linenumber, l_suppkey % 25 AS page, l_linenumber AS line, l_partkey FROM lineitem),
 b AS (SELECT page, line, arg_max(target, idx) AS target FROM ov GROUP BY page, line)
 SELECT l_orderkey, l_linenumber, l_partkey, coalesce(b.target, -1)::BIGINT AS assigned FROM w LEFT JOIN b ON b.page = w.page AND b.line = w.line
@@ -178,7 +178,7 @@ def overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Overrides are reduced to one for each place first; a hint would only repeat what the planner sees from sizes.
     """
-    ov = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("idx"), F.col("c_nationkey").cast("long").alias("page"), (F.col("c_custkey") % 4 + 1).cast("long").alias("line"))
+    ov = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("idx"), F.col("c_nationkey").cast("long").alias("page"), (F.col("c_custkey") % 4 + 1).cast("long").alias("line"))
     best = ov.groupBy("page", "line").agg(F.max("idx").alias("target"))
     w = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_suppkey") % 25).alias("page"), F.col("l_linenumber").cast("long").alias("line"))
     return w.join(best, ["page", "line"], "left").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce("target", F.lit(-1)).cast("long").alias("assigned"))

@@ -5,10 +5,10 @@ A "version" is a document, a "verse" a line; keys of the star schema stand for b
 
 from __future__ import annotations
 
-from . import corpus, formats, limits, orders, texts
+from . import corpus, formats, limits, orders, review, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (texts, corpus, orders, limits, formats):
+for _m in (texts, corpus, orders, limits, formats, review):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -10,6 +10,7 @@ from .common import Registry, table
 query = Registry()
 TOKEN = T.TOKEN.replace("'", "''")
 #: DuckDB: adjacent ASCII words of the benchmark passages, each pair once.
+_VARIANTS = "[" + ", ".join(f"'{min(p)} {max(p)}'" for p in T.VARIANTS) + "]"
 ADJACENT = """
 WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS i FROM benchmark),
 p AS (SELECT DISTINCT a.w AS a, b.w AS b FROM w a JOIN w b ON a.item_id = b.item_id AND b.i = a.i + 1)
@@ -80,10 +81,10 @@ def match_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     ADJACENT
-    + """
+    + f"""
 , k AS (SELECT a, b, lower(a) AS x, lower(b) AS y, greatest(length(a), length(b)) AS hi FROM p)
 SELECT kind, count(*) AS pairs, sum(floor(1000 * ratio + 0.5))::BIGINT AS ratio_sum FROM (SELECT levenshtein(x, y) / hi AS ratio, CASE WHEN x = y THEN 'capitalization'
-    WHEN hi >= 5 AND levenshtein(x, y) <= 3 AND levenshtein(x, y) / hi <= 0.34 THEN 'spelling' ELSE 'wordChange' END AS kind FROM k) GROUP BY kind
+    WHEN x <> y AND list_contains({_VARIANTS}, least(x, y) || ' ' || greatest(x, y)) THEN 'spelling' WHEN hi >= 5 AND levenshtein(x, y) <= 3 AND levenshtein(x, y) / hi <= 0.34 THEN 'spelling' ELSE 'wordChange' END AS kind FROM k) GROUP BY kind
 """
 )
 def substitution_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,13 +107,14 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH d AS (SELECT doc_id, string_split(text, chr(10))[1] AS line FROM documents)
-SELECT doc_id, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml,
+WITH d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS verse FROM documents)
+SELECT doc_id, verse, replace(replace(replace(replace(replace(line, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&apos;') AS xml,
   CASE WHEN length(line) > 450 THEN substr(line, 1, 450) || '…' ELSE line END AS preview FROM d
 """)
 def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.split("text", "\n", -1)[0]
-    return table(spark, sf_dir, "documents").select("doc_id", T.escaped_xml(line).alias("xml"), T.shortened(line, 450).alias("preview"))
+    """Every line of a text (a verse, by its number), escaped, and its preview of 450 characters."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
+    return lines.select("doc_id", (F.col("i") + 1).alias("verse"), T.escaped_xml(F.col("line")).alias("xml"), T.shortened(F.col("line"), 450).alias("preview"))
 
 
 @query()
@@ -124,13 +126,13 @@ def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH t AS (SELECT conv_id, turn FROM conversations), r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn FROM t WHERE turn % 3 <> 1)),
+WITH t AS (SELECT conv_id, turn, text FROM conversations), r AS (SELECT conv_id, turn, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS g FROM (SELECT DISTINCT conv_id, turn FROM t WHERE length(text) > 60)),
 i AS (SELECT conv_id, min(turn) AS a, max(turn) AS b FROM r GROUP BY conv_id, g)
 SELECT conv_id, string_agg(CASE WHEN a = b THEN a::VARCHAR ELSE a || '-' || b END, ',' ORDER BY a) AS marks FROM i GROUP BY conv_id
 """)
 def verse_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns of a conversation as marked verses: 0,2-3,5 (W9); the marked ones are those not following a multiple of 3."""
-    turns = table(spark, sf_dir, "conversations").where("turn % 3 <> 1")
+    """Turns of a conversation as marked verses: 0,2-3,5 (W9); the marked ones are those of more than 60 characters."""
+    turns = table(spark, sf_dir, "conversations").where("length(text) > 60")
     return turns.groupBy("conv_id").agg(F.collect_set("turn").alias("t")).select("conv_id", T.marks(F.col("t")).alias("marks"))
 
 
