@@ -93,7 +93,7 @@ def replay(words: list[bytes], table: Ranks) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b"".join(words), np.uint8)
     token = table.byte[data]
     word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
-    after, before = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
+    after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
     last = ends[sizes > 0] - 1
     token[last] = table.final[data[last]]
     after[last] = -1
@@ -293,8 +293,10 @@ def joined(flat: np.ndarray, size: np.ndarray, names: np.ndarray, each: np.ndarr
 def ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """values[start:start + size] of each run, one after another."""
     total = int(size.sum())
-    ends = np.cumsum(size)
-    return values[np.arange(total) + np.repeat(start - (ends - size), size)]
+    kind = np.int32 if max(total, len(values)) < 1 << 31 else np.int64
+    at = np.repeat((start - (np.cumsum(size) - size)).astype(kind), size)
+    at += np.arange(total, dtype=kind)
+    return values[at]
 
 
 def _with(table: pa.Table, name: str, column: pa.Array) -> Iterator[pa.RecordBatch]:

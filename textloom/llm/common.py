@@ -8,6 +8,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -33,10 +34,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "textloom-checkpoints"))
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of fewer rows for the jobs run within: with long texts, JVM and Python hold several batches a task."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    old = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(old)) if int(old) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: lineage ends at files in the shared folder, so a lost executor costs no recomputation."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with small_batches(df.sparkSession):
+        return df.checkpoint(eager=True)
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -50,7 +64,8 @@ def stored(df: DataFrame) -> DataFrame:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     path = f"{base}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()  # lets the context cleaner drop shuffle files that are no longer needed
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
