@@ -13,6 +13,7 @@ packed one by one; other columns are not carried.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
@@ -85,7 +86,7 @@ class WordTokenizer:
 
 @lru_cache(maxsize=1)
 def tokenizer_of(path: str) -> WordTokenizer:
-    """A worker's tokenizer: tasks that it runs one after another share the merges; each empties the table of pieces."""
+    """The tokenizer of a task, which drops it at its end."""
     return WordTokenizer(path)
 
 
@@ -113,6 +114,9 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
             yield from pa.table(columns, ["key", "part", "before", "n_tokens", "ids"]).to_batches()
             trim()
         tokenizer.vocabulary.clear()
+        del tokenizer
+        tokenizer_of.cache_clear()  # idle workers would keep its tables
+        gc.collect()
 
     fields = [("part", IntegerType()), ("before", LongType()), ("n_tokens", LongType()), ("ids", BinaryType())]
     schema = StructType([StructField("key", docs.schema[key].dataType), *(StructField(*x) for x in fields)])
