@@ -32,7 +32,7 @@ from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, Stri
 from .common import frugal, trim
 from .words import blocks, chunks, data_of
 
-KEPT, BLOCK_BYTES, PART = 120_000, 6_000_000, 20_000  # chunks that a table keeps; bytes of text encoded, chunks learned at once
+KEPT, BLOCK_BYTES, PART = 250_000, 8_000_000, 20_000  # chunks that a table keeps; bytes of text encoded, chunks learned at once
 #: The usual split pattern for texts below U+0250, with its classes written out for the faster `re` module.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+").findall
