@@ -1,11 +1,18 @@
+import base64
 import hashlib
 import html
 import random
 import re
 import string
+import struct
+import zlib
 
+import duckdb
+import public_tokenizers
 import pyarrow.dataset as ds
 import pytest
+import tiktoken
+import tokenizers
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -114,3 +121,58 @@ def test_pipeline_stages(spark):
     assert not docs.where(docs.text.rlike("AKIA[A-Z0-9]{16}")).count()
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["op6_url_filter", "op10_embedding_dups"])
+def test_queries_with_sql(spark, name):
+    con = duckdb.connect()
+    for t in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    df = entry.queries()[name](spark, SF)
+    columns = sorted(df.columns)
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
+    assert sorted(map(str, (tuple(r) for r in df.select(*columns).collect()))) == sorted(map(str, want))
+
+
+def test_html_without_marking_tags():
+    for p in ds.dataset(f"{SF}/pages.parquet").to_table().to_pylist():
+        plain = p["html"].replace("article>", "div>").replace("h1>", "p>")
+        assert htmltext.main_text(plain) == htmltext.main_text(p["html"])
+
+
+def test_ids_of_the_query_are_those_of_the_library(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table().to_pylist()}
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    library = tiktoken.Encoding("multi", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in entry.queries()["op3_byte_bpe"](spark, "/root/testdata/sf0.001").collect():
+        ids = library.encode_ordinary(docs[r["doc_id"]])
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_pieces_are_those_of_the_library(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in ds.dataset("/root/testdata/sf0.001/documents.parquet").to_table().to_pylist()}
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.encode_special_tokens = True
+    rows = entry.queries()["op2_packing"](spark, "/root/testdata/sf0.001").collect()
+    at, ids = {}, {k: [*library.encode(t, add_special_tokens=False).ids, 2] for k, t in docs.items()}
+    for r in sorted(rows, key=lambda r: (r["doc_id"], r["start"])):
+        assert r["start"] == at.get(r["doc_id"], 0) and r["doc_tokens"] == len(ids[r["doc_id"]])
+        at[r["doc_id"]] = r["start"] + r["length"]
+        assert r["ids_crc32"] == zlib.crc32(struct.pack(f"<{r['length']}I", *ids[r["doc_id"]][r["start"] : at[r["doc_id"]]]))
+    assert at == {k: len(v) for k, v in ids.items()}
+    used = {}
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == used.get(r["sequence_id"], 0)
+        used[r["sequence_id"]] = r["offset"] + r["length"]
+    assert all(n == 4096 for s, n in used.items() if s != max(used)) and max(used.values()) <= 4096
+
+
+def test_secrets_in_long_texts(spark, model):
+    random.seed(8)
+    drawn = ["".join(random.choice(string.ascii_letters + string.digits) for _ in range(32)) for _ in range(3000)]
+    text = " ".join(drawn) + " " + "".join(random.choice(string.ascii_letters + string.digits) for _ in range(200_000))
+    df = spark.createDataFrame([(1, text, "x"), (1, text, "y")], "doc_id long, text string, kind string")
+    for r in secrets.find(df, model).collect():
+        spans = [tuple(s) for s in r["secrets"]]
+        assert [s for s in spans if s[1] < 3] == brute_base(text) and len(spans) > 2900 and spans[-1][2] == len(text)
