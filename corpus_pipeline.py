@@ -55,7 +55,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; the tests compare the passage stage with a brute-force version, the others by their operators.
+#: SQL can express neither the classifier nor the tokenizer; tests compare the passage stage with a brute-force version, the others are tested as operators.
 ORACLE_SQL = None
 
 
