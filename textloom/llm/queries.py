@@ -7,7 +7,7 @@ import re
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, embeddups, fingerprints, htmltext, ngramjoin, packing, quality, secrets, suffixdedup, urlfilter
+from . import bpe, collocations, embeddups, fingerprints, htmltext, mixing, ngramjoin, packing, quality, secrets, suffixdedup, urlfilter, whitening
 from .common import table
 
 
@@ -67,6 +67,19 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddups.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.col("copies") * F.col("size")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).drop("deviation_exact")
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
@@ -78,6 +91,9 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_embedding_dups": op10_embedding_dups,
+    "op11_collocations": op11_collocations,
+    "op12_mixing": op12_mixing,
+    "op13_whitening": op13_whitening,
 }
 
 
@@ -129,5 +145,47 @@ SELECT page_id, host, path, rule,
     WHEN pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
   CASE WHEN rule IS NULL THEN pattern END AS pattern
 FROM r
+""",
+    "op11_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^ \x09]+') AS w FROM p
+), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 5) AS r(k)
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30
+), s AS (
+  SELECT c.lang, c.phrase, c.a, cut, x.f AS l, y.f AS r, (2000000 * c.a::HUGEINT // (x.f + y.f))::BIGINT AS score FROM c, range(1, 4) AS t(cut)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:], ' ')
+  WHERE cut < c.k
+), b AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), i AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS around FROM c, range(2, 4) AS t(m), range(1, 4) AS u(i) WHERE m < k AND i + m - 1 <= k GROUP BY ALL
+), o AS (SELECT b.* FROM b LEFT JOIN i USING (lang, phrase) WHERE around IS NULL OR 100 * around < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM o
+) JOIN n USING (lang) WHERE rank <= 2000
+""",
+    "op12_mixing": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s AS (
+  SELECT source, sum(size)::HUGEINT AS source_size, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::HUGEINT AS w FROM d GROUP BY source
+), a AS (SELECT list({'z': source_size, 'w': w}) AS l, sum(source_size)::HUGEINT AS z FROM s
+), r AS (
+  SELECT 0 AS step, 3 * z AS high, 2 * list_sum(list_transform(l, lambda x: x.w))::HUGEINT AS low FROM a
+  UNION ALL
+  SELECT step + 1, 3 * z - 4 * list_sum(list_transform(l, lambda x: CASE WHEN 2 * x.z * low < x.w * high THEN x.z ELSE 0 END))::HUGEINT,
+    2 * list_sum(list_transform(l, lambda x: CASE WHEN 2 * x.z * low < x.w * high THEN 0 ELSE x.w END))::HUGEINT FROM r, a WHERE step < 30
+), e AS (SELECT high, low FROM r ORDER BY step DESC LIMIT 1
+), t AS (
+  SELECT source, source_size, CASE WHEN 2 * source_size * low < w * high THEN (2 * source_size)::DOUBLE ELSE w::DOUBLE * high::DOUBLE / low::DOUBLE END AS target,
+    ('0x' || substr(md5('13:' || coalesce('s' || source, 't')), 1, 6))::BIGINT AS off FROM s, e
+), c AS (
+  SELECT doc_id, size, source_size, target, off, least(CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE * 16777216 + 0.5)::BIGINT ELSE 0 END, 33554432) AS p,
+    row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (((k * p + off) // 16777216 - ((k - 1) * p + off) // 16777216) * size)::BIGINT AS taken FROM c
 """,
 }
