@@ -62,16 +62,3 @@ def test_markup(spark):
     assert al.markup("a ~~b c")[-1]["kind"] == "deleted"
     out = al.with_markup(spark.createDataFrame([("[a]",), (None,)], "t string"), "t").collect()
     assert out[0]["markup"][0]["kinds"] == ["inserted"] and out[1]["markup"] == []
-
-
-def test_scaffold():
-    verses = [("a", [f"w{10 * k + i}" for i in range(10)]) for k in range(6)]
-    whole = [w for _, v in verses for w in v]
-    words = whole[3:18] + ["noise"] * 2 + whole[41:59]
-    out = al.scaffold(words, [0] * len(words), verses)
-    assert out[:15] == [0] * 7 + [1] * 8 and out[17:] == [4] * 9 + [5] * 9
-    assert al.scaffold([], [], verses) == [] and al.scaffold(["x"], [0], []) == [0]
-    assert al.gram_anchors("a b c a b c d".split(), "x c d".split(), 2) == [(5, 1)]
-    assert al.placed([(2, 4)], 5, 20).tolist() == [2, 3, 4, 5, 6] and al.placed([], 2, 10).tolist() == [0, 5]
-    assert al.placed([(1, 10), (3, 14)], 6, 17).tolist() == [8, 10, 12, 14, 16, 16]
-    assert al.without_sparse([1, 1, 1, 2, 4, 4, 4], 3) == [1, 1, 1, 1, 4, 4, 4]

@@ -1,7 +1,7 @@
 """Alignment of page transcripts to a canonical verse grid, its repair and its audit.
 
-A version is one sequence whose place in the canon depends on all before, so it is walked in one task per version
-(`align`); everything before and after is relational. The audit works by chapter, one bounded group each (`chapter_reports`).
+A version of a complete transcript is one sequence whose place in the canon depends on all before, so it is walked in one
+task per version (`align`); everything before and after is relational, as are fragmentary transcripts (`scaffold`). The audit works by chapter, one bounded group each (`chapter_reports`).
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import kernels
+from .matching import Matcher
 
 
 @dataclass(frozen=True)
@@ -32,56 +33,8 @@ class Walk:
     tail_most_match: float = 0.7
     skip_below: float = 0.0
     ratio: float | None = None
-
-
-class Matcher:
-    """Whether a transcript word stands for a canonical one: equal, same ends, few edits, or by a dictionary."""
-
-    def __init__(self, dictionary: dict[str, str] | None = None):
-        self.dictionary = dictionary or {}
-        self.known: dict[tuple[str, str], bool] = {}
-        self.shapes: dict[str, tuple[int, int, int, int]] = {}
-
-    def __call__(self, a: str, b: str) -> bool:
-        key = (a, b)
-        if key not in self.known:
-            if len(self.known) > 1_000_000:
-                self.known.clear()
-            self.known[key] = self.direct(a, b) or a in self.dictionary and self.direct(self.dictionary[a], b)
-        return self.known[key]
-
-    def table(self, window: list[str], verse: list[str]) -> np.ndarray:
-        """Matches of all pairs; only pairs that could be within the edit limit are compared letter by letter."""
-        (la, fa, za, ma), (lb, fb, zb, mb) = ([np.array(x) for x in zip(*map(self.shape, w))] for w in (window, verse))
-        low, high = np.minimum.outer(la, lb), np.maximum.outer(la, lb)
-        same = np.equal.outer(np.array(window, object), np.array(verse, object)).astype(bool) & (low > 0)
-        same |= (low >= 5) & (high - low <= 2) & np.equal.outer(fa, fb) & np.equal.outer(za, zb)
-        limit = np.where(high <= 5, 1, np.where(high <= 9, 2, 3))
-        near = ~same & (low >= 4) & (high - low <= limit) & (np.bitwise_count(np.bitwise_xor.outer(ma, mb)) <= 2 * limit)
-        if self.dictionary:
-            near[[a in self.dictionary for a in window]] = True
-        for i, j in zip(*np.nonzero(near & ~same)):
-            same[i, j] = self(window[i], verse[j])
-        return same
-
-    def shape(self, word: str) -> tuple[int, int, int, int]:
-        """Length, first and last letter, and the set of letters as bits: each edit changes two bits at most."""
-        if word not in self.shapes:
-            bits = 0
-            for c in word:
-                bits |= 1 << ord(c) % 61
-            self.shapes[word] = (len(word), ord(word[0]) if word else -1, ord(word[-1]) if word else -2, bits)
-        return self.shapes[word]
-
-    @staticmethod
-    def direct(a: str, b: str) -> bool:
-        if not a or not b or a == b:
-            return bool(a) and a == b
-        low, high = sorted((len(a), len(b)))
-        if low >= 5 and high - low <= 2 and (a[0], a[-1]) == (b[0], b[-1]):
-            return True
-        limit = 1 if high <= 5 else 2 if high <= 9 else 3
-        return low >= 4 and high - low <= limit and kernels.edits(a, b) <= limit
+    anchor_words: int = 0
+    anchor_ahead: int = 3
 
 
 def earliest(window: list[str], verse: list[str], match: Matcher) -> list[int]:
@@ -127,6 +80,36 @@ def merged_breaks(words: list[str], lines: list[int], canon: set[str]) -> list[l
     return out
 
 
+def best_start(window: list[str], verses: list[tuple[str, list[str]]], low: int, high: int, match: Matcher, ahead: int) -> int:
+    """Of the verses low..high-1 the first whose words, with those of the verses after it, have most in common with a window.
+
+    `ahead` verses are taken together. Lengths of common subsequences come from one addition of whole numbers a word, a bit
+    for each canonical word; which words match is one table for all verses.
+    """
+    if not window or low >= high:
+        return low
+    vocabulary = sorted({w for _, v in verses[low:high] for w in v})
+    if not vocabulary:
+        return low
+    place = {w: i for i, w in enumerate(vocabulary)}
+    distinct = sorted(set(window))
+    same = match.table(distinct, vocabulary)[[distinct.index(w) for w in window]]
+    same = same[:, [place[w] for _, v in verses[low:high] for w in v]]
+    begin = np.concatenate([[0], np.cumsum([len(v) for _, v in verses[low:high]])])
+    best, most = low, -1
+    for j in range(high - low):
+        a, b = begin[j], begin[min(j + max(1, ahead), high - low)]
+        every = (1 << int(b - a)) - 1
+        free = every
+        for row in np.packbits(same[:, a:b], axis=1, bitorder="little"):
+            hit = free & int.from_bytes(row.tobytes(), "little")
+            free = (free + hit | free - hit) & every
+        score = int(b - a) - free.bit_count()
+        if score > most:
+            best, most = low + j, score
+    return best
+
+
 def walk(words: list[str], lines: list[int], starts: dict[int, str | None], verses: list[tuple[str, list[str]]], config: Walk = Walk(), match: Matcher | None = None) -> list[int]:
     """Verse index of each transcript word.
 
@@ -155,6 +138,8 @@ def walk(words: list[str], lines: list[int], starts: dict[int, str | None], vers
         if jumps[s] is not None:
             at = max(at, jumps[s])
         limit = next((j for j in jumps[s + 1 :] if j is not None), len(verses))
+        if config.anchor_words > 0 and at < limit:
+            at = best_start(text[first : min(end, first + config.anchor_words)], verses, at, limit, match, config.anchor_ahead)
         here = first
         while here < end and at < limit:
             verse = verses[at][1]
@@ -186,94 +171,53 @@ def walk(words: list[str], lines: list[int], starts: dict[int, str | None], vers
     return result
 
 
-def gram_anchors(source: list[str], target: list[str], n: int) -> list[tuple[int, int]]:
-    """Places of n-grams that occur once on either side."""
-
-    def single(words: list[str]) -> dict[tuple[str, ...], int]:
-        grams = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
-        often = Counter(grams)
-        return {g: i for i, g in enumerate(grams) if often[g] == 1}
-
-    there = single(target)
-    return sorted((i, there[g]) for g, i in single(source).items() if g in there)
-
-
-def placed(anchors: list[tuple[int, int]], n: int, m: int) -> np.ndarray:
-    """Target index of each of n source words: linear between anchors, the outer pair's slope beyond, half up, clamped."""
-    at = np.arange(n)
-    if not anchors:
-        out = at * (m / n)
-    else:
-        s, t = np.array(anchors, float).T
-        out = np.interp(at, s, t)
-        ends = ((s[:2], t[:2], at < s[0], 0), (s[-2:], t[-2:], at > s[-1], -1))
-        for x, y, where, k in ends:
-            slope = (y[1] - y[0]) / (x[1] - x[0]) if len(s) > 1 else 1.0
-            out = np.where(where, y[k] + (at - x[k]) * slope, out)
-    return np.floor(np.clip(out, 0, m - 1) + 0.5).astype(int)
-
-
-def without_sparse(verse: list[int], least: int) -> list[int]:
-    """Words of verses with fewer than `least` words go to the nearer kept neighbour, the earlier one on ties."""
-    count = Counter(verse)
-    keep = [count[v] >= least for v in verse]
-    if not any(keep):
-        return verse
-    n, out = len(verse), list(verse)
-    before, after = [None] * n, [None] * n
-    for i in range(n):
-        before[i] = verse[i] if keep[i] else before[i - 1] if i else None
-    for i in range(n - 1, -1, -1):
-        after[i] = verse[i] if keep[i] else after[i + 1] if i + 1 < n else None
-    for i, v in enumerate(verse):
-        if not keep[i]:
-            a, b = before[i], after[i]
-            out[i] = b if a is None else a if b is None or v - a <= b - v else b
-    return out
-
-
-def scaffold(words: list[str], lines: list[int], verses: list[tuple[str, list[str]]], sizes: tuple[int, ...] = (6, 4, 3), least: int = 3) -> list[int]:
-    """Verse index of each word of a fragmentary transcript, by unique n-grams as a scaffold (L9, without its word-by-word refinement).
-
-    Longer n-grams first; after each length the anchors are cut to a longest increasing chain.
-    """
-    target = [w for _, v in verses for w in v]
-    if not words or not target:
-        return [0] * len(words)
-    owner = [k for k, (_, v) in enumerate(verses) for _ in v]
-    units = merged_breaks(words, lines, set(target))
-    text = ["".join(words[i] for i in u) for u in units]
-    anchors: list[tuple[int, int]] = []
-    for n in sizes:
-        taken = {s for s, _ in anchors} if anchors else set()
-        anchors = kernels.increasing(sorted({*anchors, *(a for a in gram_anchors(text, target, n) if a[0] not in taken)}))
-    verse = without_sparse([owner[t] for t in placed(anchors, len(text), len(target))], least)
-    out = [0] * len(words)
-    for unit, v in zip(units, verse):
-        for i in unit:
-            out[i] = v
-    return out
-
-
-def align(words: DataFrame, canon: DataFrame, config: Walk = Walk(), dictionary: dict[str, str] | None = None, fragmentary: bool = False) -> DataFrame:
-    """(version, pos, verse_ord) of transcript words, by the walk or, for fragmentary transcripts, by the scaffold.
+def align(words: DataFrame, canon: DataFrame, config: Walk = Walk(), dictionary: dict[str, str] | None = None) -> DataFrame:
+    """(version, pos, verse_ord) of transcript words by the walk.
 
     words: version, pos, norm, line_no, heading (null, or the heading of a line at its first word), book (that the heading
-    names, or null). canon: ord, book, norms, the whole grid; it is sent to every version, and is a fixed book, not data.
+    names, or null). canon: ord, book, norms. A walk depends on all that it has passed, so a version is walked by one task,
+    which holds it and the canon; versions are dealt to as many lots as there are shuffle partitions, and each lot gets the
+    canon by the shuffle, ahead of its versions.
     """
-    verses = [(r["book"], list(r["norms"])) for r in canon.orderBy("ord").collect()]
-    sent = words.sparkSession.sparkContext.broadcast(verses)
+    spark = words.sparkSession
+    lots = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = words.select(
+        F.pmod(F.xxhash64("version"), F.lit(lots)).cast("int").alias("lot"), F.lit(1).alias("kind"), "version", F.col("pos").cast("long").alias("pos"),
+        "norm", F.col("line_no").cast("long").alias("line_no"), "heading", "book", F.lit(None).cast("array<string>").alias("norms"),
+    )
+    none = F.lit(None).cast("string")
+    grid = canon.select(
+        F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).alias("lot"), F.lit(0), none, F.col("ord").cast("long"), none, F.lit(None).cast("long"), none, "book", F.col("norms"),
+    )
+    rows = own.unionAll(grid).repartition("lot").sortWithinPartitions("lot", "kind", "version", "pos")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher(dictionary)
+        lot, verses, ords, version, held = None, [], [], None, []
 
-    def run(keys: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("pos")
-        if fragmentary:
-            found = scaffold(frame["norm"].tolist(), frame["line_no"].tolist(), sent.value)
-            return pd.DataFrame({"version": keys[0], "pos": frame["pos"], "verse_ord": np.array(found, np.int64)})
-        heads = {i: (b if isinstance(b, str) else None) for i, (h, b) in enumerate(zip(frame["heading"], frame["book"])) if isinstance(h, str)}
-        found = walk(frame["norm"].tolist(), frame["line_no"].tolist(), heads, sent.value, config, Matcher(dictionary))
-        return pd.DataFrame({"version": keys[0], "pos": frame["pos"], "verse_ord": np.array(found, np.int64)})
+        def walked() -> Iterator[pa.RecordBatch]:
+            if held:
+                heads = {i: book for i, (_, _, _, heading, book) in enumerate(held) if heading is not None}
+                found = walk([x[1] for x in held], [x[2] for x in held], heads, verses, config, match)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([version] * len(held), pa.string()), pa.array([x[0] for x in held], pa.int64()), pa.array([ords[v] for v in found], pa.int64())], ["version", "pos", "verse_ord"])
 
-    return words.groupBy("version").applyInPandas(run, "version string, pos long, verse_ord long")
+        for batch in batches:
+            for at, kind, name, pos, norm, line, heading, book, norms in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (at != lot or name != version or not kind):
+                    yield from walked()
+                    held = []
+                if at != lot:
+                    lot, verses, ords = at, [], []
+                if kind:
+                    version = name
+                    held.append((pos, norm, line, heading, book))
+                else:
+                    verses.append((book, norms))
+                    ords.append(pos)
+        yield from walked()
+
+    return rows.mapInArrow(run, "version string, pos long, verse_ord long")
 
 
 def lines_of_verses(words: DataFrame) -> DataFrame:
@@ -289,14 +233,29 @@ def lines_of_verses(words: DataFrame) -> DataFrame:
     return lines.select("version", "verse_ord", "line_no", "first", text.alias("text"), name.alias("id"))
 
 
-def with_overrides(words: DataFrame, overrides: DataFrame) -> DataFrame:
-    """verse_ord replaced by overrides (idx, page, line, low, high, target): by word range or whole line, the last one winning."""
+def _overridden(words: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Every (version, pos) with an override that takes it."""
     at = (F.col("o.page") == F.col("w.page")) & (F.col("o.line") == F.col("w.line"))
     inside = F.col("o.low").isNull() | F.col("w.word").between(F.col("o.low"), F.col("o.high"))
-    best = words.alias("w").join(overrides.alias("o"), at & inside).groupBy("w.version", "w.pos").agg(F.max_by("o.target", "o.idx").alias("_target"))
+    if "words" in overrides.columns:  # single words win over a range
+        inside = F.coalesce(F.array_contains("o.words", F.col("w.word")), inside)
+    return words.alias("w").join(overrides.alias("o"), at & inside).select("w.version", "w.pos", "o.idx", "o.target")
+
+
+def with_overrides(words: DataFrame, overrides: DataFrame) -> DataFrame:
+    """verse_ord replaced by overrides, the last one winning (J7): by single words, a word range or the whole line.
+
+    overrides: idx, page, line, low, high, target and maybe words, an array of places in the line.
+    """
+    best = _overridden(words, overrides).groupBy("version", "pos").agg(F.max_by("target", "idx").alias("_target"))
     return words.join(best, ["version", "pos"], "left").withColumn("verse_ord", F.coalesce("_target", "verse_ord")).drop("_target")
 
 
+def unmatched_overrides(words: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Overrides that take no word."""
+    return overrides.join(_overridden(words, overrides).select("idx").distinct(), "idx", "left_anti")
+
+
 # --- audit ------------------------------------------------------------------------------------------------------------
 
 
@@ -455,11 +414,3 @@ def with_markup(df: DataFrame, text: str, out: str = "markup") -> DataFrame:
         return texts.map(lambda t: markup(t or ""))
 
     return df.withColumn(out, parse(F.col(text)))
-
-
-def headings(line: Column, books: list[tuple[str, str]]) -> Column:
-    """Book that a heading line names, by the first pattern that fits its heading text (F19); patterns are the caller's."""
-    out = F.lit(None).cast("string")
-    for pattern, book in reversed(books):
-        out = F.when(F.rlike(line, F.lit(pattern)), F.lit(book)).otherwise(out)
-    return out
