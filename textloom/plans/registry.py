@@ -5,10 +5,10 @@ A "version" is a document, a "verse" a line; keys of the star schema stand for b
 
 from __future__ import annotations
 
-from . import chain, corpus, formats, limits, orders, review, texts
+from . import chain, corpus, formats, intake, limits, orders, review, texts
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (texts, corpus, orders, limits, formats, review, chain):
+for _m in (texts, corpus, orders, limits, formats, review, chain, intake):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
