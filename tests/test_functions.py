@@ -29,7 +29,9 @@ def test_match_levels(spark):
 def test_spacing_marks_and_wrap(spark):
     assert values(spark, T.space_between(F.col("a"), F.col("b")), [("a", "b"), ("a", ","), ("(", "b"), ("x-", "y"), ("", "b")], "a string, b string") == [" ", "", "", "", ""]
     assert values(spark, T.marks(F.col("n")), [([5, 1, 2, 3, 3],), ([],)], "n array<int>") == ["1-3,5", ""]
-    assert values(spark, T.parsed_marks(F.col("t")), [("1-3,5",), ("1-2-9",), ("3-1",), ("x",)], "t string") == [[1, 2, 3, 5], [1, 2], None, None]
+    assert values(spark, T.parsed_marks(F.col("t")), [("1-3,5",), ("1-2-9",), ("3-1",), ("x",), ("0",), ("0-3",), ("1234567",), ("-5",), ("5-",), ("",), (None,), ("2, 1 - 2",), ("1,",), ("2.0,1e1",), ("1.5",), ("1-999999999",)], "t string") == [
+        [1, 2, 3, 5], [1, 2], None, None, None, None, [1234567], None, None, None, None, [1, 2], None, [2, 10], None, None,
+    ]
     line = "the quick brown fox jumps over a lazy dog and then some more words follow here"
     assert values(spark, T.wrapped(F.col("t"), 20), [(line,)], "t string") == [textwrap.wrap(line, 20)]
 
@@ -113,6 +115,6 @@ def test_wrapped_lines_has_every_line(spark, tmp_path):
     expected = {}
     for i, t in enumerate(texts):
         for n, line in enumerate([None] if t is None else t.split("\n"), 1):
-            lines = None if line is None else textwrap.wrap(line, 43)
-            expected[i, n if t is not None else None] = (None, None) if lines is None else (lines[:8], len(lines))
+            lines = None if line is None else [w.removeprefix("###") for w in textwrap.wrap(line, 43, initial_indent="###")]
+            expected[i, n if t is not None else None] = (None, None) if lines is None else ("\n".join(lines[:8]), len(lines))
     assert {k: v if k[1] else (None, None) for k, v in got.items()} == expected

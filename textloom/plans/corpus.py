@@ -47,13 +47,83 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("a", "b").agg(F.count("*").alias("total_verse_count"), F.count_if(F.col("x") != F.col("y")).alias("changed_verse_count"), *sums, F.count_if(empty).alias("one_sided"))
 
 
-@query()
+#: The diff by its definition: common ends set aside, the table of common subsequences row by row, and the way back through it.
+DIFFS = (
+    PAIRS.replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+    + f""", t AS (SELECT a, b, rn, left_text, right_text, regexp_extract_all(left_text, '{T.TOKEN}') AS x, regexp_extract_all(right_text, '{T.TOKEN}') AS y FROM z),
+h AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i]), TRUE), least(len(x), len(y)) + 1) - 1 AS p FROM t WHERE left_text <> right_text),
+g AS (SELECT *, coalesce(list_position(list_transform(range(0, least(len(x), len(y)) - p), lambda i: x[len(x) - i] <> y[len(y) - i]), TRUE), least(len(x), len(y)) - p + 1) - 1 AS s FROM h),
+m AS (SELECT row_number() OVER () AS id, a, b, rn, x[p + 1:len(x) - s] AS x, y[p + 1:len(y) - s] AS y FROM g),
+c AS (
+  SELECT id, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: 0) AS l, x, y FROM m
+  UNION ALL
+  SELECT id, i + 1, [0] || list_transform(range(1, len(y) + 1), lambda j: list_max(base[1:j])), x, y
+  FROM (SELECT *, list_transform(range(1, len(y) + 1), lambda j: CASE WHEN y[j] = x[i + 1] THEN l[j] + 1 ELSE l[j + 1] END) AS base FROM c WHERE i < len(x))
+),
+w AS (
+  SELECT id, len(x) AS i, len(y) AS j, 0 AS step, NULL::VARCHAR AS op, NULL::VARCHAR AS value, x, y FROM m
+  UNION ALL
+  SELECT id, CASE WHEN op IN ('eq', 'del') THEN i - 1 ELSE i END, CASE WHEN op IN ('eq', 'ins') THEN j - 1 ELSE j END, step + 1, op, CASE WHEN op = 'ins' THEN y[j] ELSE x[i] END, x, y
+  FROM (SELECT w.id, w.i, w.j, w.step, w.x, w.y, CASE WHEN w.i > 0 AND w.j > 0 AND w.x[w.i] = w.y[w.j] THEN 'eq' WHEN w.i > 0 AND (w.j = 0 OR up.l[w.j + 1] > here.l[w.j]) THEN 'del' ELSE 'ins' END AS op
+    FROM w JOIN c here ON here.id = w.id AND here.i = w.i LEFT JOIN c up ON up.id = w.id AND up.i = w.i - 1 WHERE w.i > 0 OR w.j > 0)
+),
+n AS (SELECT id, step, op, value, op <> 'eq' AND coalesce(lag(op) OVER (PARTITION BY id ORDER BY step DESC), 'eq') = 'eq' AS begins FROM w WHERE step > 0)
+"""
+)
+
+
+@query(
+    DIFFS
+    + """, k AS (SELECT id, count(*) FILTER (begins) AS runs FROM n GROUP BY id)
+SELECT z.a, z.b, sum(coalesce(runs, 0))::BIGINT AS variant_count, count(*) FILTER (runs > 0) AS changed_verse_count, count(*) AS total_verse_count
+FROM z LEFT JOIN m ON m.a = z.a AND m.b = z.b AND m.rn = z.rn LEFT JOIN k USING (id) GROUP BY z.a, z.b HAVING bool_or(left_text <> '') AND bool_or(right_text <> '')"""
+)
 def variant_stats_by_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variants (runs of changed tokens), changed lines and lines of each pair of versions (D-2, W1, A1)."""
     return diffing.chapter_stats(pairs(spark, sf_dir), ["a", "b"])
 
 
-@query()
+_KNOWN = "[" + ", ".join(f"'{min(x)} {max(x)}'" for x in T.VARIANTS) + "]"
+
+
+def _variant(a: str, b: str) -> str:
+    return f"({a} <> {b} AND list_contains({_KNOWN}, least({a}, {b}) || ' ' || greatest({a}, {b})))"
+
+
+def _letters(words: str) -> str:
+    return f"regexp_replace(lower(array_to_string({words}, '')), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+_PLAIN = "lambda x: lower(regexp_replace(x, '^[^\\p{L}\\p{N}&]+|[^\\p{L}\\p{N}&]+$', '', 'g'))"
+_WORD = "regexp_matches(value, '[a-zA-Z&()<]')"
+
+
+@query(
+    DIFFS
+    + f""", q5 AS (SELECT id, op, value, sum(begins::INT) OVER (PARTITION BY id ORDER BY step DESC) AS run, step FROM n),
+u5 AS (SELECT id, run, count(*) FILTER (NOT {_WORD}) AS signs, coalesce(list(value ORDER BY step DESC) FILTER (op = 'del' AND {_WORD}), []) AS g, coalesce(list(value ORDER BY step DESC) FILTER (op = 'ins' AND {_WORD}), []) AS c FROM q5 WHERE op <> 'eq' GROUP BY id, run),
+v5 AS (SELECT *, list_transform(g, {_PLAIN}) AS pg, list_transform(c, {_PLAIN}) AS pc, len(g) > 0 AND len(c) > 0 AND len(g) <> len(c) AND {_letters("g")} = {_letters("c")} AS divided FROM u5),
+s5 AS (
+  SELECT id, run, 1 AS k, g, c, pg, pc, range(1, len(c) + 1) AS free, []::BIGINT[] AS rest, []::STRUCT(i BIGINT, j BIGINT)[] AS pairs FROM v5 WHERE NOT divided
+  UNION ALL
+  SELECT id, run, k + 1, g, c, pg, pc, list_filter(free, lambda f: f IS DISTINCT FROM best), CASE WHEN best IS NULL THEN rest || [k::BIGINT] ELSE rest END, CASE WHEN best IS NULL THEN pairs ELSE pairs || [{{'i': k::BIGINT, 'j': best}}] END
+  FROM (SELECT *, coalesce(list_filter(free, lambda f: {_variant("pg[k]", "pc[f]")})[1], list_filter(free, lambda f: lower(g[k]) = lower(c[f]))[1]) AS best FROM s5 WHERE k <= len(g))
+),
+b5 AS (
+  SELECT id, run, g, c, pg, pc, pairs, flatten(list_transform(rest, lambda i: list_transform(free, lambda j: {{'s': levenshtein(pg[i], pc[j]) / greatest(length(pg[i]), length(pc[j]), 1), 'i': i, 'j': j}}))) AS near FROM s5 WHERE k = len(g) + 1
+  UNION ALL
+  SELECT id, run, g, c, pg, pc, pairs || [{{'i': best.i, 'j': best.j}}], list_filter(near, lambda x: x.i <> best.i AND x.j <> best.j) FROM (SELECT *, list_min(near) AS best FROM b5 WHERE len(near) > 0)
+),
+e5 AS (SELECT id, run, g, c, pg, pc, pairs, unnest(pairs) AS p FROM b5 WHERE len(near) = 0),
+k5 AS (
+  SELECT id, 'punctuation' AS kind, signs AS n FROM v5
+  UNION ALL SELECT id, 'spelling', len(g) + len(c) FROM v5 WHERE divided
+  UNION ALL SELECT id, 'omission', len(g) - len(pairs) FROM b5 WHERE len(near) = 0
+  UNION ALL SELECT id, 'addition', len(c) - len(pairs) FROM b5 WHERE len(near) = 0
+  UNION ALL SELECT id, CASE WHEN lower(g[p.i]) = lower(c[p.j]) THEN 'capitalization' WHEN {_variant("pg[p.i]", "pc[p.j]")} OR greatest(length(pg[p.i]), length(pc[p.j])) >= 5 AND levenshtein(pg[p.i], pc[p.j]) <= 3 AND levenshtein(pg[p.i], pc[p.j]) / greatest(length(pg[p.i]), length(pc[p.j])) <= 0.34 THEN 'spelling' ELSE 'wordChange' END, 2 FROM e5
+)
+SELECT a, b, kind, sum(k5.n)::BIGINT AS tokens FROM k5 JOIN m USING (id) WHERE k5.n > 0 GROUP BY a, b, kind"""
+)
 def diff_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changed tokens of each pair by kind (D-5, P7)."""
     kinds = diffing.diff_counts(pairs(spark, sf_dir), ["a", "b"]).select("a", "b", F.explode("kinds").alias("kind", "n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
+from ..operators import bans
 from .common import Registry, table
 
 query = Registry()
@@ -117,12 +118,23 @@ def card_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("i") + 1).alias("verse"), T.escaped_xml(F.col("line")).alias("xml"), T.shortened(F.col("line"), 450).alias("preview"))
 
 
-@query()
+@query(r"""
+WITH RECURSIVE v AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS verse, generate_subscripts(string_split(text, chr(10)), 1)::INTEGER AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, line, list_filter(regexp_split_to_array(verse, '\s+'), lambda x: x <> '') AS w FROM v),
+r AS (
+  SELECT doc_id, line, 1 AS i, w, []::VARCHAR[] AS done, '' AS now FROM w
+  UNION ALL
+  SELECT doc_id, line, i + 1, w, CASE WHEN fits THEN done ELSE done || [now] END, CASE WHEN NOT fits OR now = '' THEN w[i] ELSE now || ' ' || w[i] END
+  FROM (SELECT *, now = '' OR length(now) + 1 + length(w[i]) <= CASE WHEN len(done) = 0 THEN 40 ELSE 43 END AS fits FROM r WHERE i <= len(w))
+), f AS (SELECT doc_id, line, CASE WHEN now = '' THEN done ELSE done || [now] END AS lines FROM r WHERE i = len(w) + 1)
+SELECT doc_id, line, array_to_string(lines[:8], chr(10)) AS lines, len(lines)::INTEGER AS n_lines FROM f
+UNION ALL SELECT doc_id, NULL, NULL, NULL FROM documents WHERE text IS NULL
+""")
 def wrapped_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every line of a text (a verse, by its number) in lines of 43 characters, the first eight of them (F36, O8); tests compare with textwrap."""
+    """Every line of a text (a verse, by its number) in lines of 43 characters, the first of 40 as it has the number, eight at most."""
     verses = table(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n", -1)).alias("i", "verse"))
-    line = T.wrapped(F.col("verse"), 43)
-    return verses.select("doc_id", (F.col("i") + 1).alias("line"), F.slice(line, 1, 8).alias("lines"), F.size(line).alias("n_lines"))
+    rows = verses.withColumn("lines", T.wrapped(F.col("verse"), 43, 40))
+    return rows.select("doc_id", (F.col("i") + 1).alias("line"), F.array_join(F.slice("lines", 1, 8), "\n").alias("lines"), F.when(F.col("lines").isNotNull(), F.size("lines")).alias("n_lines"))
 
 
 @query("""
@@ -136,44 +148,55 @@ def verse_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.collect_set("turn").alias("t")).select("conv_id", T.marks(F.col("t")).alias("marks"))
 
 
-@query("""
-WITH m AS (SELECT conv_id, min(turn) AS a, max(turn) AS b, count(*) AS n FROM conversations GROUP BY conv_id)
-SELECT conv_id, CASE WHEN n % 5 <> 4 THEN (b - a + 1 + CASE WHEN n % 5 = 3 THEN 1 ELSE 0 END)::BIGINT END AS verses FROM m
+_MARKS = """CASE n % 8 WHEN 0 THEN a || '-' || b WHEN 1 THEN (a + 1) || '-' || (b + 1) || '-99' WHEN 2 THEN (a + 1) || ' - ' || (b + 1) || ', ' || (b + 7) || ',' || (a + 1) WHEN 3 THEN (b + 1) || ',x'
+  WHEN 4 THEN (b + 2) || '-' || (a + 1) WHEN 5 THEN '1234567,' || (b + 1) || '.0' WHEN 6 THEN (a + 1) || ',0' ELSE (a + 1) || '-' || (b + 1) || ',2.5' END"""
+
+
+@query(f"""
+WITH m AS (SELECT conv_id, min(turn) AS a, max(turn) AS b, conv_id + count(*) AS n FROM conversations GROUP BY conv_id),
+s AS (SELECT *, {_MARKS} AS marks FROM m)
+SELECT conv_id, marks, CASE WHEN n % 8 = 0 AND a >= 1 OR n % 8 = 1 THEN array_to_string(range(CASE WHEN n % 8 = 1 THEN a + 1 ELSE a END, CASE WHEN n % 8 = 1 THEN b + 2 ELSE b + 1 END), ',')
+  WHEN n % 8 = 2 THEN array_to_string(range(a + 1, b + 2) || [b + 7], ',') WHEN n % 8 = 5 THEN (b + 1) || ',1234567' END AS verses FROM s
 """)
 def parsed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks written in several ways, some broken, and read again."""
-    m = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"), F.count("*").alias("n"))
-    span = F.concat_ws("-", F.col("a").cast("string"), F.col("b").cast("string"))
-    text = F.when(F.col("n") % 5 == 4, F.concat(span, F.lit(",x"))).when(F.col("n") % 5 == 3, F.concat(span, F.lit(", "), (F.col("b") + 7).cast("string"))).otherwise(F.concat(span, F.lit("-99")))
-    text = F.when(F.col("n") % 5 == 2, F.concat_ws(",", span, F.col("a").cast("string"))).otherwise(text)
-    return m.select("conv_id", F.size(T.parsed_marks(text)).cast("long").alias("verses")).withColumn("verses", F.when(F.col("verses") >= 0, F.col("verses")))
+    """Marks written in several ways and read again: from 0, backwards, with fractions, letters and long numbers."""
+    m = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min("turn").alias("a"), F.max("turn").alias("b"), (F.col("conv_id") + F.count("*")).alias("n"))
+    m = m.select("conv_id", F.expr(_MARKS).alias("marks"))
+    numbers = T.parsed_marks(F.col("marks"))
+    return m.withColumn("verses", F.array_join(F.transform(numbers, lambda x: x.cast("string")), ","))
 
 
 @query(r"""
-SELECT page_id, regexp_matches(lower(url), '(\.php|\.env|wp-admin|/\.git|ads-track)') AS probe, regexp_extract(url, '://([^/?#]+)', 1) AS host,
-  TRY_CAST(regexp_extract(url, '://[^/]+/[a-z]+/([0-9]+)', 1) AS INTEGER) AS chapter, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS book,
-  coalesce(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS v1
-FROM pages
+WITH u AS (SELECT page_id, url, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+q AS (SELECT *, [path, path || '/.env', '/api' || path, '/%2Egit' || path, path || '%zz', '/Config' || path][1 + page_id % 6] AS asked FROM u)
+SELECT page_id, asked, list_bool_or(list_transform(['/\.env', '/\.git', '/\.npmrc', '/\.yarn', '/\.ssh', '/\.aws', '/\.docker', '/\.stripe', '/\.bash_history', '/\.netrc', '/\.htpasswd', '(?i)config', '^/api/', '^/backend/', '/wp-', '/phpmy'],
+  lambda r: regexp_matches(asked, r) OR regexp_matches(url_decode(asked), r))) AS probe, regexp_extract(url, '://([^/?#]+)', 1) AS host,
+  TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]+)/?$', 1) AS BIGINT) AS chapter, regexp_extract(path, '^/([^/]+)/[0-9]+/?$', 1) AS book
+FROM q
 """)
 def navigation_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Book, chapter and versions of page addresses."""
-    u = F.col("url")
-    part = lambda p: F.regexp_extract(u, p, 1)
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.rlike(F.lower(u), F.lit(r"(\.php|\.env|wp-admin|/\.git|ads-track)")).alias("probe"), part("://([^/?#]+)").alias("host"),
-        part("://[^/]+/[a-z]+/([0-9]+)").try_cast("int").alias("chapter"), part("://[^/]+/([a-z]+)/").alias("book"), part("[?&]page=([^&#]*)").alias("v1"),
-    )
+    """Paths of page addresses as they are and as probes would ask for them, and the chapters that they name."""
+    path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)", 1)
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", path.alias("path"))
+    p = F.col("path")
+    asked = F.get(F.array(p, F.concat(p, F.lit("/.env")), F.concat(F.lit("/api"), p), F.concat(F.lit("/%2Egit"), p), F.concat(p, F.lit("%zz")), F.concat(F.lit("/Config"), p)), (F.col("page_id") % 6).cast("int"))
+    place = lambda i: F.regexp_extract(p, "^/([^/]+)/([0-9]+)/?$", i)
+    return rows.select("page_id", asked.alias("asked"), bans.is_probe(asked).alias("probe"), F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), place(2).try_cast("bigint").alias("chapter"), place(1).alias("book"))
 
 
 @query(r"""
-WITH p AS (SELECT regexp_extract(url, '://([^/?#]+)', 1) AS v1, regexp_extract(url, '://[^/]+/([a-z]+)/', 1) AS v2, TRY_CAST(regexp_extract(url, '://[^/]+/[a-z]+/([0-9]+)', 1) AS INTEGER) AS chapter, page_id FROM pages)
-SELECT v1, v2, count(*) AS entries, md5(string_agg(chapter::VARCHAR, ',' ORDER BY chapter, page_id)) AS chapters_md5, min(page_id) AS first_seen FROM p WHERE chapter IS NOT NULL AND v2 <> '' GROUP BY v1, v2
+WITH u AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)', 1) AS search FROM pages),
+p AS (SELECT page_id, regexp_extract(path, '^/([^/]+)/[0-9]+/?$', 1) AS book, TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]+)/?$', 1) AS BIGINT) AS chapter, regexp_extract(search, '[?&]page=([^&]*)', 1) AS v1, regexp_extract(search, '[?&]ref=([^&]*)', 1) AS v2, path || search AS href FROM u)
+SELECT v1, v2, count(*) AS entries, md5(string_agg(href, ' ' ORDER BY CASE book WHEN 'en' THEN 1 WHEN 'fr' THEN 2 ELSE 3 END, chapter, page_id)) AS hrefs_md5, min(page_id) AS first_seen
+FROM p WHERE book IN ('en', 'fr', 'de') AND v1 <> '' AND v2 <> '' GROUP BY v1, v2
 """)
 def cached_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages grouped by version pair, entries sorted, groups known by their first page."""
-    p = navigation_urls(spark, sf_dir).where("chapter IS NOT NULL AND book <> ''")
-    entries = F.transform(F.array_sort(F.collect_list(F.struct("chapter", "page_id"))), lambda x: x["chapter"].cast("string"))
-    return p.groupBy(F.col("host").alias("v1"), F.col("book").alias("v2")).agg(F.count("*").alias("entries"), F.md5(F.array_join(entries, ",")).alias("chapters_md5"), F.min("page_id").alias("first_seen"))
+    """Addresses of comparisons grouped by their pair of versions, by order of books and chapter, groups known by their first page."""
+    order = ["en", "fr", "de"]
+    p = table(spark, sf_dir, "pages").select("page_id", T.cached_entry(F.col("url"), order, "page", "ref").alias("e")).where("e IS NOT NULL").select("page_id", "e.*")
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("book"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "chapter", "page_id", "href"))), lambda x: x["href"])
+    return p.groupBy("v1", "v2").agg(F.count("*").alias("entries"), F.md5(F.array_join(entries, " ")).alias("hrefs_md5"), F.min("page_id").alias("first_seen"))
 
 
 @query("""
