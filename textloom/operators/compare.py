@@ -47,6 +47,53 @@ def chapter_diff(chapters: DataFrame, left: str = "left", right: str = "right",
     return chapters.mapInArrow(run, schema)
 
 
+def row_spans(ops: list[str], left: list[int], right: list[int], start: int = 0) -> list[tuple[str, int, int, int]]:
+    """(side, verse from 1, row, end) of the verses of a chapter's two sides in a grid of rows (D-7).
+
+    ops: of the whole-chapter diff; left, right: tokens of each verse. The rows of both sides advance apart, a verse being
+    placed at its last token; where the numbers of verses differ the side that is behind catches up. A right verse that
+    ends on a row that the left side has left reaches to the row of the last token that the current left verse shares.
+    """
+    rows, verse, token = [start + 1, start + 1], [0, 0], [0, 0]
+    sizes, apart = (left, right), len(left) != len(right)
+    shared: int | None = None
+    out: list[tuple[str, int, int, int]] = []
+    for op in ops:
+        token[0] += op != "ins"
+        token[1] += op != "del"
+        if op == "eq":
+            shared = rows[0]
+        for side in (0, 1):
+            if verse[side] < len(sizes[side]) and token[side] == sizes[side][verse[side]]:
+                row = rows[side]
+                end = (shared if shared is not None else row) if side and row < rows[0] else row
+                out.append(("right" if side else "left", verse[side] + 1, row, end))
+                token[side], verse[side] = 0, verse[side] + 1
+                rows[side] += 1
+                if apart:
+                    rows[side] = max(rows)
+                if not side:
+                    shared = None
+    return out
+
+
+def chapter_rows(chapters: DataFrame, left: str = "left", right: str = "right", out: str = "rows") -> DataFrame:
+    """Adds the rows of both sides' verses, an array of (side, verse, row, end), from a whole-chapter diff (D-3, D-7)."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chapters.schema) + f", {out} array<struct<side:string,verse:int,row:int,end:int>>"
+    kind = pa.list_(pa.struct([("side", pa.string()), ("verse", pa.int32()), ("row", pa.int32()), ("end", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for pair in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (left, right))):
+                texts = [[kernels.display(t or "") for t in side or []] for side in pair]
+                ops = [op for _, op in kernels.diff(*([t for verse in side for t in verse] for side in texts))]
+                found.append([dict(zip(("side", "verse", "row", "end"), x)) for x in row_spans(ops, *([len(v) for v in side] for side in texts))])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, out])
+
+    return chapters.mapInArrow(run, schema)
+
+
 def side(tokens: Column, absent: str) -> Column:
     """Tokens of one side: without insertions (absent="ins") the old one, without deletions ("del") the new one."""
     return F.filter(tokens, lambda t: t["op"] != absent)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import chain, diffing, output, scaffold, segments
+from ..operators import cards, chain, compare, diffing, output, scaffold, segments
 from .common import Registry, table
-from .corpus import PAIRS
+from .corpus import DIFF_STEPS, PAIRS
 
 query = Registry()
 BOOKS = ("nephi", "alma", "helaman")
@@ -236,4 +236,74 @@ def aligned_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("version", "ord", "verse", F.size("lines").alias("n_lines"), F.md5(F.array_join(F.transform("lines", lambda x: F.concat_ws("|", x["id"], x["text"])), "")).alias("lines_md5"))
 
 
+# --- rows of a chapter ------------------------------------------------------------------------------------------------
+
+_ROWS = (
+    """
+WITH RECURSIVE u AS (SELECT conv_id, list(text ORDER BY turn, text) FILTER (role = 'user') AS l, list(text ORDER BY turn, text) FILTER (role = 'assistant') AS r FROM conversations GROUP BY conv_id),
+z AS (SELECT conv_id AS a, 0 AS b, 0 AS rn, array_to_string(l, chr(10)) AS left_text, array_to_string(r, chr(10)) AS right_text FROM u WHERE len(l) > 0 AND len(r) > 0)"""
+    + DIFF_STEPS
+    + f""", ops AS (SELECT m.a, list_transform(range(0, m.p), lambda i: 'eq') || coalesce(mid, []) || list_transform(range(0, m.s), lambda i: 'eq') AS ops FROM m LEFT JOIN (SELECT id, list(op ORDER BY step DESC) AS mid FROM n GROUP BY id) USING (id)),
+st AS (SELECT a, ops, list_transform(l, lambda v: len(regexp_extract_all(v, '{T.TOKEN}'))) AS ls, list_transform(r, lambda v: len(regexp_extract_all(v, '{T.TOKEN}'))) AS rs FROM ops JOIN u ON u.conv_id = a),
+f AS (
+  SELECT a, ops, ls, rs, 1 AS i, 1 AS row1, 1 AS row2, 1 AS v1, 1 AS v2, 0 AS t1, 0 AS t2, NULL::INTEGER AS shared, NULL::INTEGER AS left_at, NULL::INTEGER AS right_at, NULL::INTEGER AS right_end FROM st
+  UNION ALL
+  SELECT a, ops, ls, rs, i + 1, nrow1, CASE WHEN e2 AND len(ls) <> len(rs) THEN greatest(nrow1, row2 + 1) WHEN e2 THEN row2 + 1 ELSE row2 END, CASE WHEN e1 THEN v1 + 1 ELSE v1 END, CASE WHEN e2 THEN v2 + 1 ELSE v2 END,
+    CASE WHEN e1 THEN 0 ELSE n1 END, CASE WHEN e2 THEN 0 ELSE n2 END, nshared, CASE WHEN e1 THEN row1 END, CASE WHEN e2 THEN row2 END, CASE WHEN e2 THEN CASE WHEN row2 < nrow1 THEN coalesce(nshared, row2) ELSE row2 END END
+  FROM (SELECT *, CASE WHEN e1 AND len(ls) <> len(rs) THEN greatest(row1 + 1, row2) WHEN e1 THEN row1 + 1 ELSE row1 END AS nrow1, CASE WHEN e1 THEN NULL WHEN ops[i] = 'eq' THEN row1 ELSE shared END AS nshared
+    FROM (SELECT *, n1 = coalesce(ls[v1], -1) AS e1, n2 = coalesce(rs[v2], -1) AS e2
+      FROM (SELECT *, t1 + CASE WHEN ops[i] <> 'ins' THEN 1 ELSE 0 END AS n1, t2 + CASE WHEN ops[i] <> 'del' THEN 1 ELSE 0 END AS n2 FROM f WHERE i <= len(ops))))
+)
+SELECT a AS conv_id, 'left' AS side, (v1 - 1)::INTEGER AS verse, left_at AS row, left_at AS "end" FROM f WHERE left_at IS NOT NULL
+UNION ALL SELECT a, 'right', (v2 - 1)::INTEGER, right_at, right_end FROM f WHERE right_at IS NOT NULL
+"""
+)
+
+
+@query(_ROWS)
+def chapter_row_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of questions and answers, as the two sides of a chapter with unequal verses (D-3, D-7)."""
+    c = table(spark, sf_dir, "conversations")
+    texts = lambda role, name: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"]).alias(name)
+    both = c.groupBy("conv_id").agg(texts("user", "left"), texts("assistant", "right")).where("size(left) > 0 AND size(right) > 0")
+    return compare.chapter_rows(both).select("conv_id", F.inline("rows"))
+
+
+# --- cards ------------------------------------------------------------------------------------------------------------
+
+_CARDS = rf"""
+WITH RECURSIVE c AS (SELECT conv_id, turn, role, text || ' 7 & "8"' AS text FROM conversations),
+k AS (SELECT *, regexp_extract_all(text, '{T.TOKEN}') AS v FROM c),
+o AS (SELECT *, list_transform(v, lambda x: CASE WHEN length(x) % 4 = 0 THEN 'del' WHEN length(x) % 7 = 0 THEN 'ins' ELSE 'eq' END) AS op FROM k),
+w AS (SELECT conv_id, turn, role, list_filter(range(1, len(v) + 1), lambda i: op[i] <> 'ins') AS keep, v, op FROM o),
+s AS (SELECT conv_id, turn, role, list_transform(keep, lambda i: v[i]) AS v, list_transform(keep, lambda i: op[i] = 'del') AS hit, list_position(list_transform(keep, lambda i: v[i]), '7') AS mark FROM w),
+g AS (SELECT *, list_transform(range(1, len(v) + 1), lambda i: CASE WHEN i = 1 THEN '' WHEN i = mark THEN ' ' WHEN regexp_matches(v[i - 1], '[<(\[]') OR ends_with(v[i - 1], '-') THEN '' WHEN regexp_matches(v[i], '[\x{{05D0}}-\x{{05EA}}a-zA-Z&()<]') THEN ' ' ELSE '' END) AS gap FROM s),
+r AS (
+  SELECT conv_id, turn, role, 0 AS i, 0 AS size, 1 AS line, '' AS txt, v, hit, mark, gap FROM g
+  UNION ALL
+  SELECT conv_id, turn, role, i + 1, CASE WHEN fits THEN size + length(gap[i + 1]) + length(v[i + 1]) ELSE length(v[i + 1]) END, CASE WHEN fits THEN line ELSE line + 1 END, CASE WHEN fits THEN gap[i + 1] ELSE '' END || v[i + 1], v, hit, mark, gap
+  FROM (SELECT *, size = 0 OR size + length(gap[i + 1]) + length(v[i + 1]) <= CASE WHEN line = 1 AND turn > 0 THEN 40 ELSE 43 END AS fits FROM r WHERE i < len(v))
+),
+a AS (SELECT conv_id, turn, role, i, line, txt, i = mark AS marker, hit[i] AND i <> coalesce(mark, 0) AS hit FROM r WHERE i > 0 AND line <= 8),
+b AS (SELECT *, (hit IS DISTINCT FROM lag(hit) OVER q OR marker IS DISTINCT FROM lag(marker) OVER q)::INT AS fresh FROM a WINDOW q AS (PARTITION BY conv_id, turn, role, line ORDER BY i)),
+d AS (SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn, role, line ORDER BY i) AS run FROM b),
+e AS (SELECT conv_id, turn, role, line, run, bool_or(marker) AS marker, bool_or(hit) AS hit, string_agg(txt, '' ORDER BY i) AS txt FROM d GROUP BY ALL),
+f AS (SELECT *, replace(replace(replace(replace(replace(CASE WHEN marker THEN trim(txt) ELSE txt END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '\'', '&#39;') AS said, CASE WHEN marker THEN ' font-size="27" fill="#F4F0E8"' WHEN hit THEN ' fill="#E8A030"' ELSE '' END AS style FROM e)
+SELECT conv_id, turn, role, '<text font-family="Cormorant Garamond, serif" font-size="27" fill="#E8E0D0">' || string_agg(
+  CASE WHEN line = 1 AND run = 1 THEN '<tspan x="52" y="232" font-size="27" fill="#F4F0E8">[' || turn || ']</tspan><tspan y="240" dx="6"' || style WHEN run = 1 THEN '<tspan x="52" dy="44"' || style ELSE '<tspan' || style || CASE WHEN marker THEN ' dx="5"' ELSE '' END END
+  || '>' || CASE WHEN marker THEN '[' || said || ']' ELSE said END || '</tspan>', '' ORDER BY line, run) || '</text>' AS svg
+FROM f GROUP BY conv_id, turn, role
+""".replace("\\'", "''")
+
+
+@query(_CARDS)
+def verse_card_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as coloured, wrapped SVG text with a verse number inside (F37, K11); a word's length stands for what became of it."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.concat("text", F.lit(' 7 & "8"')).alias("text"))
+    op = lambda x: F.when(F.length(x) % 4 == 0, "del").when(F.length(x) % 7 == 0, "ins").otherwise("eq")
+    tokens = F.transform(T.display_tokens(F.col("text")), lambda x: F.struct(x.alias("value"), op(x).alias("op")))
+    lines = cards.wrapped(cards.segments(tokens, "ins", F.array(F.lit(7))), F.col("turn") > 0)
+    return c.select("conv_id", "turn", "role", cards.svg_block(lines, F.col("turn"), 52, 240).alias("svg"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -48,12 +48,11 @@ def changed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The diff by its definition: common ends set aside, the table of common subsequences row by row, and the way back through it.
-DIFFS = (
-    PAIRS.replace("WITH d AS", "WITH RECURSIVE d AS", 1)
-    + f""", t AS (SELECT a, b, rn, left_text, right_text, regexp_extract_all(left_text, '{T.TOKEN}') AS x, regexp_extract_all(right_text, '{T.TOKEN}') AS y FROM z),
+#: Reads z (a, b, rn, left_text, right_text).
+DIFF_STEPS = f""", t AS (SELECT a, b, rn, left_text, right_text, regexp_extract_all(left_text, '{T.TOKEN}') AS x, regexp_extract_all(right_text, '{T.TOKEN}') AS y FROM z),
 h AS (SELECT *, coalesce(list_position(list_transform(range(1, least(len(x), len(y)) + 1), lambda i: x[i] <> y[i]), TRUE), least(len(x), len(y)) + 1) - 1 AS p FROM t WHERE left_text <> right_text),
 g AS (SELECT *, coalesce(list_position(list_transform(range(0, least(len(x), len(y)) - p), lambda i: x[len(x) - i] <> y[len(y) - i]), TRUE), least(len(x), len(y)) - p + 1) - 1 AS s FROM h),
-m AS (SELECT row_number() OVER () AS id, a, b, rn, x[p + 1:len(x) - s] AS x, y[p + 1:len(y) - s] AS y FROM g),
+m AS (SELECT row_number() OVER () AS id, a, b, rn, p, s, x[p + 1:len(x) - s] AS x, y[p + 1:len(y) - s] AS y FROM g),
 c AS (
   SELECT id, 0 AS i, list_transform(range(0, len(y) + 1), lambda j: 0) AS l, x, y FROM m
   UNION ALL
@@ -69,7 +68,7 @@ w AS (
 ),
 n AS (SELECT id, step, op, value, op <> 'eq' AND coalesce(lag(op) OVER (PARTITION BY id ORDER BY step DESC), 'eq') = 'eq' AS begins FROM w WHERE step > 0)
 """
-)
+DIFFS = PAIRS.replace("WITH d AS", "WITH RECURSIVE d AS", 1) + DIFF_STEPS
 
 
 @query(
