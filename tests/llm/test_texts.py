@@ -5,6 +5,7 @@ import random
 import re
 import string
 import struct
+import time
 import zlib
 
 import duckdb
@@ -176,3 +177,37 @@ def test_secrets_in_long_texts(spark, model):
     for r in secrets.find(df, model).collect():
         spans = [tuple(s) for s in r["secrets"]]
         assert [s for s in spans if s[1] < 3] == brute_base(text) and len(spans) > 2900 and spans[-1][2] == len(text)
+
+
+def test_density_finds_the_article_without_lists(monkeypatch):
+    """Menus, headers, footers, asides and forms as plain <div> without classes: nearly all articles are still found alone."""
+    monkeypatch.setattr(htmltext, "DROPPED", htmltext.DROPPED - {"nav", "header", "footer", "aside", "form"})
+    found, n = 0, 0
+    for p in ds.dataset(f"{SF}/pages.parquet").to_table().to_pylist():
+        bare = re.sub(r"<(/?)(?:nav|header|footer|aside|form|article)\b", r"<\1div", re.sub(r' (?:class|id|role)="[^"]*"', "", p["html"]))
+        body = re.search(r"<article>(.*?)</article>", p["html"], re.S)[1]
+        blocks = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", x))).strip() for x in re.split(r"</?(?:p|h1)>", body)]
+        n, found = n + 1, found + (htmltext.main_text(bare) == "\n\n".join(x for x in blocks if x))
+    assert found >= 0.97 * n
+
+
+def test_comments_are_no_core():
+    comments = "".join(f"<div class='comment'><p>{'a long remark of a reader ' * 9}</p></div>" for _ in range(40))
+    page = f"<body><div><h2>Title of it</h2><p>{'text ' * 40}</p><p>{'more ' * 30}</p></div><section id=comments>{comments}</section></body>"
+    assert htmltext.main_text(page) == f"Title of it\n\n{('text ' * 40).strip()}\n\n{('more ' * 30).strip()}"
+    two = f"<body><div>{'<p>first part of it all</p>' * 9}</div><ul><li><a href=x>link one</a></li></ul><div>{'<p>second part of it all</p>' * 9}</div></body>"
+    assert htmltext.main_text(two).count("part of it") == 18 and "link" not in htmltext.main_text(two)
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>", "<!x ", "<a \"'>", "<ul><li>", "<p>x", "<!--", "<div></b>", "<h1>x", "</title ", "<title>x</title "])
+def test_broken_pages_take_time_in_proportion(piece):
+    page = "<b><article>" + piece * (1_000_000 // len(piece))
+    began = time.time()
+    htmltext.main_text(page)
+    assert time.time() - began < 30
+
+
+def test_html_of_repeated_and_no_rows(spark):
+    df = spark.createDataFrame([(1, "<p>a", 5)] * 3, "page_id long, html string, n_chars int")
+    assert [(r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()] == [("a", 1)] * 3
+    assert htmltext.extract(df.limit(0)).count() == 0

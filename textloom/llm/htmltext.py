@@ -1,22 +1,28 @@
 """Main text of HTML pages by composite text density.
 
-A page is parsed into a tree with implied end tags; elements that are never main text (menus, forms, notices, adverts and
-so on, by tag, role or class words) are left out. For every node a composite density is computed: characters per tag,
-adjusted by the share of linked characters and link tags; tags that only format a phrase within a block, line breaks
-included, are not counted. The densities of a node's children are summed; the node with the largest sum is the core of the
-page. The smallest density on the path from it to the body is the threshold: each subtree whose root reaches it gives its
-own node of the largest sum. No tag marks the core: pages give the same text with <article> renamed.
-
-A pass without a shuffle; a page is one row, and its tree the only state.
+A page is parsed into a tree with implied end tags. For every node but those that hold no text to read (scripts, styles and
+so on) a composite density is computed: characters per tag, adjusted by the share of linked characters and link tags; tags
+that only format a phrase within a block, line breaks included, are not counted. The densities of a node's children are
+summed; the node with the largest sum is the core of the page. The page itself, or a wrapper of nine tenths of its
+characters, gives way to the child whose sum reaches half its own, as short articles have few children to sum. The smallest
+sum on the path from the core to the body is the threshold: beside that path each subtree with a node whose sum reaches it
+gives the one of the largest sum. No tag marks the core: pages give the same text with <article> renamed, and nearly all do
+with menus, headers, footers and so on as plain <div> without classes.
+
+Elements that are never main text (menus, forms, notices, adverts, comments and so on, by tag, role or class words) count
+for the densities, but are no core, and are left out of what the core holds.
+
+A pass without a shuffle; a page is one row, and its tree the only state. Parsing takes time in proportion to the page,
+broken ones included: open elements are found by their tag, not by walking up the tree.
 Edge cases: null and empty pages give an empty text; broken markup is read leniently and never fails; repeated rows are
-read one by one; other columns pass through, those named as the results are replaced.
+read one by one; other columns pass through, those named as the results are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -50,6 +56,8 @@ WORDS = set(
     "subscribe subscription share sharing social related recommended recommendations comment comments commentlist disqus replies respond "
     "pagination pager toolbar login signup skip widget widgets".split()
 )
+#: Elements without text to read.
+MUTE = set("head title script style noscript template textarea iframe object svg canvas xmp noembed noframes audio video map select button".split())
 KEPT = {"html", "body", "main", "article"}
 SPACE = re.compile(r"\s+")
 
@@ -81,12 +89,38 @@ def dropped(tag: str, attributes: str) -> bool:
     return not WORDS.isdisjoint(re.findall("[a-z]+", words))
 
 
+class Open:
+    """The open elements, and for each tag the places of those that have it."""
+
+    def __init__(self, root: Node):
+        self.stack = [root]
+        self.places: dict[str, list[int]] = {}
+        self.kept: list[int] = [0]
+
+    def nearest(self, tags: Iterable[str]) -> int:
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag in KEPT:
+            self.kept.append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, place: int) -> None:
+        for node in self.stack[place:]:
+            self.places[node.tag].pop()
+            if node.tag in KEPT:
+                self.kept.pop()
+        del self.stack[place:]
+
+
 def parse(html: str) -> Node:
     root = Node("html", None, False)
-    stack = [root]
-    at, n = 0, len(html)
+    open_ = Open(root)
+    stack = open_.stack
+    at, n = 0, html.rfind(">") + 1  # what follows is text, but for a comment that is never closed
     while at < n:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, n)
         end = m.start() if m else n
         if end > at:
             stack[-1].children.append(html[at:end])
@@ -98,58 +132,58 @@ def parse(html: str) -> Node:
             continue
         tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in KEPT and tag not in KEPT and tag not in BLOCK:
-                    break
+            place = open_.nearest((tag,))
+            if place and (tag in KEPT or tag in BLOCK or place > open_.kept[-1]):
+                open_.cut(place)
             continue
-        if tag == "html":
-            continue
-        if tag == "body" and any(x.tag == "body" for x in stack):
+        if tag == "html" or tag == "body" and open_.nearest(("body",)):
             continue
         if tag == "body":
-            del stack[1:]
+            open_.cut(1)
         if rule := CLOSES.get(tag):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in rule[1]:
-                    break
-                if stack[i].tag in rule[0]:
-                    del stack[i:]
-                    break
+            place = open_.nearest(rule[0])
+            if place > open_.nearest(rule[1]):
+                open_.cut(place)
         node = Node(tag, stack[-1], dropped(tag, attributes), at)
         stack[-1].children.append(node)
         if tag in ("article", "main", "h1"):
-            for x in stack:
-                x.holds = True
+            above: Node | None = stack[-1]
+            while above is not None and not above.holds:
+                above.holds, above = True, above.parent
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK and tag not in RAW and tag != "a":
             continue
         if tag in RAW:  # text up to its own end tag
-            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+            stop = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at, n)
             node.children.append(html[at : stop.start() if stop else n])
-            at = stop.end() if stop else n
+            at = stop.end() if stop else len(html)
             continue
-        stack.append(node)
+        open_.push(node)
+    rest = html[max(at, n) :].split("<!--", 1)[0]
+    if rest:
+        stack[-1].children.append(rest)
     return root
 
 
+def _below(node: Node) -> list[Node]:
+    return [c for c in node.children if isinstance(c, Node) and c.tag not in MUTE]
+
+
 def _measure(root: Node) -> list[Node]:
-    """Counts and densities of all nodes kept, bottom up; returned: the nodes, parents first."""
+    """Counts and densities of all nodes with text to read, bottom up; returned: the nodes, parents first."""
     order, todo = [], [(root, False)]
     linked: dict[int, bool] = {}
     while todo:
         node, link = todo.pop()
         order.append(node)
         linked[id(node)] = link = link or node.tag == "a"
-        todo += [(c, link) for c in node.children if isinstance(c, Node) and not left_out(c)]
+        todo += [(c, link) for c in _below(node)]
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, str):
                 size = len("".join(c.split()))
                 node.chars += size
                 node.links += size if linked[id(node)] else 0
-            elif not left_out(c):
+            elif c.tag not in MUTE:
                 node.chars += c.chars
                 node.links += c.links
                 node.tags += c.tags + (c.tag not in PHRASE)
@@ -157,10 +191,10 @@ def _measure(root: Node) -> list[Node]:
     body = root
     for node in reversed(order):
         c, lc, t, lt = node.chars, node.links, max(1, node.tags), max(1, node.link_tags)
-        if c:
+        if c > 1:
             base = math.log(c / max(1, c - lc) * lc + body.links / max(1, body.chars) * c + math.e)
-            node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / max(base, 1.0) if c > 1 else 0.0
-        node.total = sum(x.density for x in node.children if isinstance(x, Node) and not left_out(x))
+            node.density = c / t * math.log(max(1.0, c / max(1, lc) * t / lt)) / max(base, 1.0)
+        node.total = sum(x.density for x in _below(node) if x.tag not in PHRASE)
     return order
 
 
@@ -171,31 +205,40 @@ def left_out(node: Node) -> bool:
 def core(root: Node) -> list[Node]:
     """Roots of the subtrees that hold the main text, in page order."""
     order = _measure(root)
-    best = max(order, key=lambda x: x.total)  # of equal sums the one nearest to the root
-    if not best.total:
-        best = root
-    threshold, node = math.inf, best
+    out: set[int] = set()  # what the lists leave out, and all below
+    for node in order:
+        if left_out(node) or node.parent is not None and id(node.parent) in out:
+            out.add(id(node))
+    of_sum = lambda x: x.total
+    fit = lambda nodes: [x for x in nodes if id(x) not in out]
+    best = max(fit(order), key=of_sum)  # of equal sums the one nearest to the root
+    page: Node | None = root
+    while page is not None:
+        if page is best:
+            inner = max(fit(_below(best)), key=of_sum, default=None)
+            if inner is None or not inner.total or 2 * inner.total < best.total:
+                break
+            best = inner
+        page = next((c for c in fit(_below(page)) if c.tag == "body" or c.chars >= 0.9 * page.chars), None)
+    threshold, node = math.inf, best.parent
+    path = {id(best)}
     while node is not None:
-        threshold, node = min(threshold, node.density), node.parent
-    marked: dict[int, Node] = {id(best): best}
-    inside: dict[int, bool] = {}
+        path.add(id(node))
+        threshold, node = min(threshold, node.total or math.inf), node.parent
     top: dict[int, Node] = {}
     for node in reversed(order):
-        below = [top[id(c)] for c in node.children if isinstance(c, Node) and id(c) in top]
-        top[id(node)] = max([node, *below], key=lambda x: x.total)
-    for node in order:
-        up = node.parent is not None and inside.get(id(node.parent), False)
-        inside[id(node)] = up or id(node) in marked
-        if not up and node.parent is not None and node.density >= threshold > 0:
-            marked[id(top[id(node)])] = top[id(node)]
-    roots = []
-    for node in sorted(marked.values(), key=lambda x: x.place):
-        p = node.parent
-        while p is not None and id(p) not in marked:
-            p = p.parent
-        if p is None:
-            roots.append(node)
-    return roots
+        if id(node) not in out:
+            top[id(node)] = max([node, *(top[id(c)] for c in fit(_below(node)))], key=of_sum)
+    roots, todo = [best], [root]
+    while todo:
+        node = todo.pop()
+        if node is best:
+            continue
+        if id(node) in path:
+            todo += fit(_below(node))
+        elif top[id(node)].total >= threshold:
+            roots.append(top[id(node)])
+    return sorted(roots, key=lambda x: x.place)
 
 
 def blocks_of(root: Node) -> list[str]:
