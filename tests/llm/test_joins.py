@@ -200,6 +200,17 @@ def test_embeddings(spark):
     assert embeddups.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    """Each length is searched, and no vector links with one of another length."""
+    rng = np.random.default_rng(5)
+    vectors = [rng.normal(size=n) for n in (2, 3, 8) for _ in range(60)] + [np.array([1.0, 0.0]), np.array([1.0, 0.0, 0.0]), np.array([2.0, 0.0, 0.0])]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(3)
+    unit = [v / np.linalg.norm(v) for v in vectors]
+    want = [sum(len(a) == len(b) and i != j and a @ b >= 0.9 for j, b in enumerate(unit)) for i, a in enumerate(unit)]
+    got = {r["vec_id"]: r["n_links"] for r in embeddups.near_duplicates(df, cell=10, block=16, probes=None).collect()}
+    assert [got[i] for i in range(len(vectors))] == want and want[-1] >= 1
+
+
 def test_embeddings_link_through_null_ids(spark):
     at = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
     data = [(None, at(0)), (7, at(1)), (3, at(2)), (9, at(25)), (None, at(60)), (8, at(80)), (6, at(40)), (None, at(120)), (4, at(180)), (4, at(240)), (5, at(242))]

@@ -1,6 +1,6 @@
 """Near-duplicate embeddings: spherical k-means cells and blocked cosine products within them.
 
-Equal vectors are one row with a weight. All rows form one cell; a cell with more than `cell` rows at the start, or more
+Equal vectors are one row with a weight. All rows of one length form one cell; a cell with more than `cell` rows at the start, or more
 than BLOCK later, is split into at most FAN cells by spherical k-means on a sample of PER rows for each, so cells stay small
 at any size of the table. Cells whose centroids are linked themselves are joined again: what lies that close is mostly
 linked, and is compared in blocks. A row belongs to its nearest cell and visits those whose border is within a margin.
@@ -13,10 +13,10 @@ counted in the first.
 
 Each cell, or pair of blocks of a cell, is one task: it multiplies them in double precision, adds up each row's links and
 gives a spanning forest of what is linked, never the pairs themselves. Components are found over row numbers.
-Edge cases: vectors that are null, empty, zero, hold null or non-finite components, or have not the table's most common
-length (of equally common ones the shortest) link with nothing and are their own component. Rows that share an id are
-counted one by one and share its component; a null id counts as a vector and links others, with a null component itself.
-Ids are integers. Other columns are not carried.
+Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are their own
+component; vectors of different lengths do not link with each other. Rows that share an id are counted one by one and share
+its component; a null id counts as a vector and links others, with a null component itself. Ids are integers. Other columns
+are not carried.
 """
 
 from __future__ import annotations
@@ -162,7 +162,7 @@ def _placed(now: DataFrame, fitted: list) -> DataFrame:
 
 def _cells(reps: DataFrame, cell: int, block: int, least: float, probes: float | None) -> DataFrame:
     """(uid, cell) of all rows (uid, weight, vector)."""
-    now, done, room, old = reps.select("uid", F.lit("0").alias("cell"), F.lit(None).cast("long").alias("was"), "weight", "vector"), None, cell, []
+    now, done, room, old = reps.select("uid", F.size("vector").cast("string").alias("cell"), F.lit(None).cast("long").alias("was"), "weight", "vector"), None, cell, []
     while True:
         sizes = now.groupBy("cell").agg(F.count("*").alias("n"), F.max("was").alias("was"))
         # a cell that has kept most rows of the one before is not split again
@@ -228,9 +228,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     """One row per vector: key, n_links, component_id and kept (whether it is its component's representative)."""
     v = F.col("vector")
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vector"))
-    sizes = rows.where(F.size(v) > 0).groupBy(F.size(v).alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = F.coalesce((F.size(v) == (sizes["size"] if sizes else -1)) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
+    usable = F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0), F.lit(False))
     named = rows.select("id", F.when(usable, F.xxhash64(v)).alias("h"), F.when(usable, F.xxhash64(v, F.lit(1))).alias("g"), F.when(usable, v).alias("vector"))
     members = stored(named.select("id", "h", "g"))
     reps = named.where("vector IS NOT NULL").groupBy("h", "g").agg(F.first("vector").alias("vector"), F.count("*").alias("weight"), F.min("id").alias("least_id"))
