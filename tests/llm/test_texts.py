@@ -211,3 +211,20 @@ def test_html_of_repeated_and_no_rows(spark):
     df = spark.createDataFrame([(1, "<p>a", 5)] * 3, "page_id long, html string, n_chars int")
     assert [(r["text"], r["n_chars"]) for r in htmltext.extract(df).collect()] == [("a", 1)] * 3
     assert htmltext.extract(df.limit(0)).count() == 0
+
+
+def test_quality_takes_whole_rows_within_its_bounds(spark):
+    """What marks a label may lie anywhere in a long text; a bound leaves out rows, never parts of one."""
+    random.seed(6)
+    noise = lambda n: "".join(random.choices("abcdefghij ", k=n))
+    rows = [(i, noise(9_000) + ("good sign of quality " if i % 2 else "cheap buy now click ") * 40 + noise(9_000), i % 2) for i in range(24)]
+    docs = spark.createDataFrame([(i, t, 0.5) for i, t, _ in rows] + [(None, None, None), (99, None, None)], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (99, 1), (3, 5), (3, None)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert b"good sign of quality" in model.good and b"cheap buy now" in model.bad
+    out = quality.score(docs, model).where("doc_id < 99").collect()
+    assert sum((r["score"] > 0.5) == (r["doc_id"] % 2 == 1) for r in out) >= 20
+    few = quality.train(docs, labels, most=1)
+    assert few.prior == 0.5
+    assert quality.train(docs.limit(0), labels).prior == 0.5
+    assert quality.score(docs.limit(0), model).count() == 0 and {r["score"] for r in quality.score(docs.where("text is null"), model).collect()} == {model.prior}

@@ -5,9 +5,9 @@ each; the difference of the total sizes by its bytes is turned into a probabilit
 labelled rows that the dictionaries have not seen. Scoring is a pass without a shuffle; the dictionaries (bounded size)
 travel with the tasks.
 
-Training takes a bounded sample of the labelled rows: the SAMPLE rows of each label with the smallest hash of their id. Of
-a text of more than SPREAD windows it takes SPREAD, evenly spread from its start to its end. Nothing else is sampled: every
-text is scored as a whole.
+Training takes a bounded sample of the labelled rows: of each label the SAMPLE rows with the smallest hash of their id, or
+the first of these that have BYTES bytes together (one at least). Each is taken as a whole, and every text is scored as a
+whole.
 Edge cases: null and empty texts get the share of good rows in the sample as their score; labels other than 0 and 1, null
 ids and further rows of an id are left out in training, and an id with both labels counts as 0; where a label is missing
 altogether, every score is the share of good rows (0.5 without any rows); where a label has less text than zstandard trains
@@ -24,12 +24,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import frugal
 
-SAMPLE, SPREAD, WINDOW, DICTIONARY, LEVEL = 3000, 40, 512, 112_640, 3
+SAMPLE, BYTES, WINDOW, DICTIONARY, LEVEL = 3000, 32_000_000, 512, 112_640, 3
 
 
 @dataclass(frozen=True)
@@ -88,25 +88,23 @@ def fit(rows: list[tuple[bytes, int]], window: int = WINDOW, size: int = DICTION
     return Model(prior, known[1], known[0], float(a[0] / (x.std() or 1.0)), float(a[1]), window)
 
 
-def spread(text: Column, windows: int = SPREAD, window: int = WINDOW) -> Column:
-    """The text, or windows of it at even distances, the first at its start and the last at its end."""
-    room = F.length(text) - window
-    at = F.sequence(F.lit(0), F.lit(windows - 1))
-    parts = F.transform(at, lambda i: F.substring(text, F.floor(i * room / (windows - 1)).cast("int") + 1, F.lit(window)))
-    return F.when(F.length(text) <= windows * window, text).otherwise(F.array_join(parts, ""))
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, most: int = BYTES) -> Model:
+    """Learns from the labelled rows given; the caller leaves out those that are held out.
 
-
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learns from the labelled rows given; the caller leaves out those that are held out."""
+    Null ids, labels other than 0 and 1 and further rows of an id are left out; null texts are empty; without rows the score
+    is 0.5. At most 2 * sample rows and 2 * most bytes (or one text of each label) reach the driver.
+    """
     spark = docs.sparkSession
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("_id")).agg(F.min(label).cast("int").alias("_y"))
     ids = [r for y in (0, 1) for r in known.where(f"_y = {y}").orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()]
     if not ids:
         return Model(0.5)
     chosen = spark.createDataFrame([tuple(r) for r in ids], known.schema)
-    # at most 2 * sample rows are broadcast and collected
-    texts = docs.select(F.col(key).alias("_id"), spread(F.coalesce(F.col(text), F.lit(""))).alias("_text"))
-    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id").collect()
+    texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
+    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
+    fits = (F.sum(F.octet_length("_text")).over(order) <= most) | (F.row_number().over(order) == 1)
+    rows = texts.withColumn("_fits", fits).where("_fits").orderBy(F.xxhash64("_id"), "_id").select("_id", "_y", "_text").collect()
     return fit([(r["_text"].encode(), r["_y"]) for r in rows])
 
 
