@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions import text as T
 from . import diffing, kernels
 
 TOKENS = "array<struct<value:string,op:string,kind:string,left_verse:int,right_verse:int,match:int>>"
@@ -132,6 +133,14 @@ def compared(verses: DataFrame, v1: str, v2: str, book: str | None = None, chapt
     return tokens.select("book", "chapter", F.when(F.col("t.op") != "ins", F.col("rn")).alias("left_verse"), F.when(F.col("t.op") != "del", F.col("rn")).alias("right_verse"), "place", "t.value", "t.op", "t.kind")
 
 
+def specimen(verses: DataFrame, v1: str, v2: str, book: str, chapter: int, verse: int) -> DataFrame:
+    """left, right: tokens (value, op, kind) of both sides of one verse, without editors' marks; no row where either lacks it."""
+    at = (F.col("book") == book) & (F.col("chapter") == chapter) & (F.col("verse") == verse)
+    one = lambda v, name: verses.where((F.col("version") == v) & at).orderBy("pos").limit(1).select(F.lit(1).alias("k"), T.without_markup(F.coalesce("markdown", "text")).alias(name))
+    tokens = diffing.with_diff(one(v1, "left_text").join(one(v2, "right_text"), "k"))
+    return tokens.select(side(F.col("tokens"), "ins").alias("left"), side(F.col("tokens"), "del").alias("right"))
+
+
 def overlaid(tokens: DataFrame, marked: DataFrame, keys: list[str]) -> DataFrame:
     """The k-th token of a side with the k-th token of its marked-up text (D-6).
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import text as T
+from ..functions import titles
 from .common import Registry, table
 
 query = Registry()
@@ -87,4 +89,61 @@ def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.size("r").cast("long").alias("crumbs"), trail.alias("trail"))
 
 
+SITE = titles.Site("Comparison of Old Books", "Draft of the Printer", "Edition of Today")
+_STATS = """
+WITH c AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'First' WHEN 'O' THEN 'Other' ELSE 'The Book of Pending and of Many More Things to Come' END AS book, month(o_orderdate)::INTEGER AS chapter,
+  count(*) FILTER (o_totalprice > 200000) * CASE WHEN month(o_orderdate) = 7 THEN 0 ELSE 1 END AS n, count(*) AS v FROM orders GROUP BY o_orderstatus, month(o_orderdate)),
+s AS (SELECT *, format('{:,}', n) AS ns, format('{:,}', v) || CASE WHEN v = 1 THEN ' verse' ELSE ' verses' END AS vs, CASE WHEN n = 1 THEN '' ELSE 's' END AS e FROM c)"""
+
+
+def _stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.when(F.col("o_orderstatus") == "F", "First").when(F.col("o_orderstatus") == "O", "Other").otherwise("The Book of Pending and of Many More Things to Come")
+    c = table(spark, sf_dir, "orders").groupBy(names.alias("book"), F.month("o_orderdate").alias("chapter")).agg(F.count_if(F.col("o_totalprice") > 200000).alias("n"), F.count("*").alias("v"))
+    return c.withColumn("n", F.when(F.col("chapter") == 7, 0).otherwise(F.col("n")).cast("long"))
+
+
+@query(
+    _STATS
+    + """, t AS (SELECT *, CASE WHEN n = 0 THEN book || ' ' || chapter || ' — No Textual Variants' ELSE book || ' ' || chapter || ' — ' || ns || ' Textual Variant' || e END AS core,
+  CASE WHEN n = 0 THEN book || ' ' || chapter || ' has no textual variants between the Draft of the Printer and the Edition of Today across its ' || vs ELSE book || ' ' || chapter || ' has ' || ns || ' textual variant' || e || ' across its ' || vs || ' between the Draft of the Printer and the Edition of Today' END AS body FROM s)
+SELECT book, chapter, CASE WHEN length(core || ' — Comparison of Old Books') <= 60 THEN core || ' — Comparison of Old Books' ELSE core END AS title,
+  CASE WHEN length(body || ', including spelling and punctuation.') <= 155 THEN body || ', including spelling and punctuation.' ELSE body || '.' END AS description,
+  CASE WHEN n = 0 THEN 'No textual variants between the Draft of the Printer and the Edition of Today in this chapter.' ELSE ns || ' textual variant' || e || ' across ' || vs || ' between the Draft of the Printer and the Edition of Today, including spelling, capitalization, and punctuation.' END AS sentence FROM t"""
+)
+def chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, descriptions and sentences of chapters, the longest wording that fits."""
+    book, chapter, n, v = (F.col(c) for c in ("book", "chapter", "n", "v"))
+    return _stats(spark, sf_dir).select("book", "chapter", titles.chapter_title(book, chapter, n, SITE).alias("title"), titles.chapter_description(book, chapter, n, v, SITE).alias("description"), titles.chapter_sentence(n, v, SITE).alias("sentence"))
+
+
+@query(
+    _STATS
+    + """, b AS (SELECT book, sum(n)::BIGINT AS n, sum(v)::BIGINT AS v, count(*) AS k, max(n) AS m, arg_max(chapter, n * 100 - chapter) AS busy FROM c GROUP BY book),
+f AS (SELECT *, book || ' has ' || format('{:,}', n) || ' textual variant' || CASE WHEN n = 1 THEN '' ELSE 's' END || ' across ' || k || CASE WHEN k = 1 THEN ' chapter' ELSE ' chapters' END AS head FROM b),
+g AS (SELECT *, head || ', compared verse by verse between the Draft of the Printer and the Edition of Today.' AS whole, book || ' — Textual Variants by Chapter' AS core FROM f),
+h AS (SELECT *, CASE WHEN length(whole) <= 155 THEN whole ELSE head || '.' END AS description, CASE WHEN length(core || ' — Comparison of Old Books') <= 60 THEN core || ' — Comparison of Old Books' ELSE core END AS title FROM g)
+SELECT book, title, description, book || ' carries ' || format('{:,}', n) || ' textual variants across ' || k || ' chapters when the Draft of the Printer is set against the Edition of Today, including spelling, capitalization, and punctuation. Chapter ' || busy || ' varies most, with ' || format('{:,}', m)
+  || '; across the book that is an average of ' || format('{:,}', floor(n / k + 0.5)::BIGINT) || ' variants per chapter.' AS sentences,
+  '{"@context":"https://schema.org","@graph":[{"@type":"CollectionPage","name":"' || title || '","description":"' || description || '","url":"https://example.org/\\u003c' || book || '"}]}' AS json_ld FROM h"""
+)
+def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, descriptions, sentences and structured data of books."""
+    best = F.max_by(F.col("chapter"), F.struct("n", -F.col("chapter")))
+    b = _stats(spark, sf_dir).groupBy("book").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.count("*").alias("k"), F.max("n").alias("m"), best.alias("busy"))
+    book, n, v, k, m, busy = (F.col(c) for c in ("book", "n", "v", "k", "m", "busy"))
+    b = b.withColumns({"title": titles.book_title(book, SITE), "description": titles.book_description(book, n, k, SITE), "sentences": F.array_join(titles.book_sentences(book, n, v, k, busy, m, SITE), " ")})
+    page = titles.structured("CollectionPage", site=SITE, site_url="https://example.org", name=F.col("title"), description=F.col("description"), url=F.concat(F.lit("https://example.org/<"), book))
+    return b.select("book", "title", "description", "sentences", titles.graph(page).alias("json_ld"))
+
+
+@query("""
+WITH e AS (SELECT event_id, (user_id % 9)::INTEGER AS a, CASE WHEN event_type = 'view' THEN NULL ELSE (event_id % 7)::INTEGER END AS f FROM events)
+SELECT event_id, CASE WHEN a = 0 THEN '' WHEN coalesce(f, 0) = 0 THEN a::STRING ELSE array_to_string(range(least(a, f), greatest(a, f) + 1), ',') END AS verses FROM e
+""")
+def verse_selections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verses between the two ends of a selection."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 9).cast("int").alias("a"), F.when(F.col("event_type") != "view", F.col("event_id") % 7).cast("int").alias("f"))
+    return e.select("event_id", F.array_join(T.selected_verses(F.col("a"), F.col("f")).cast("array<string>"), ",").alias("verses"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

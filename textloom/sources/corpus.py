@@ -39,6 +39,14 @@ def raw_lines(spark: SparkSession, root: str) -> DataFrame:
     return df.withColumn("pos", pos).select("version", "page", "pos", F.col("verse").alias("line"), "text", "markdown", "source")
 
 
+def raw_pages(raw: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (version, page and any other columns) with the entries of that page in order; none where it is missing."""
+    entry = F.struct("pos", "line", "text", "markdown", "source")
+    pages = raw.join(wanted.select("version", "page").distinct(), ["version", "page"], "left_semi").groupBy("version", "page").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    out = wanted.join(pages, ["version", "page"], "left")
+    return out.withColumn("entries", F.coalesce("entries", F.slice(F.array(F.lit(None).cast(dict(pages.dtypes)["entries"][6:-1])), 1, 0)))
+
+
 def versions(verses: DataFrame, known: list[str]) -> DataFrame:
     """Versions, the known ones in their order, then the others by name."""
     rank = F.array_position(F.array(*map(F.lit, known)), F.col("version")) if known else F.lit(0)
