@@ -118,3 +118,12 @@ def test_report_files(spark, tmp_path):
     assert reports.registry([reports.Adapter("a"), reports.Adapter("b")]).keys() == {"a", "b"}
     with pytest.raises(ValueError):
         reports.registry([reports.Adapter("a"), reports.Adapter("a")])
+
+
+def test_known_words_beyond_a_broadcast(spark):
+    docs = spark.createDataFrame([("s", ["a", "b", "a"]), ("s", []), (None, None), ("s", ["a", "b", "a"])], "source string, w array<string>")
+    vocabulary = spark.createDataFrame([("a", 1), ("z", 1)], "w string, known int")
+    want = [("None", 0, 0), ("s", 0, 0), ("s", 3, 2), ("s", 3, 2)]
+    for most in (10, 1):
+        out = review.known_words(docs, vocabulary, most=most).collect()
+        assert sorted((str(r["source"]), r["tokens"], r["matched"]) for r in out) == want

@@ -134,3 +134,17 @@ def resolved_lines(findings: DataFrame, lines: DataFrame, keys: list[str]) -> Da
     w = Window.partitionBy(*keys, "verse", "into", "tokens").orderBy(F.desc("_whole"), "_near")
     best = rows.withColumn("_k", F.row_number().over(w)).where("_k = 1")
     return best.select(*findings.columns, "page", "line", "word_range")
+
+
+def known_words(docs: DataFrame, vocabulary: DataFrame, others: str = "source", words: str = "w", most: int = 1_000_000) -> DataFrame:
+    """others, tokens, matched of each row: how many of its words the vocabulary (w, known) has.
+
+    A vocabulary of up to `most` words is broadcast, and each row's words are looked up and summed where they are. Beyond
+    that they are counted by row and word, so that frequent words travel as one row of a document, and joined.
+    """
+    rows = docs.withColumn("_row", F.monotonically_increasing_id()).select("_row", others, F.explode_outer(words).alias("w"))
+    if vocabulary.limit(most + 1).count() <= most:
+        found = rows.join(F.broadcast(vocabulary), "w", "left").withColumn("n", F.when(F.col("w").isNotNull(), 1).otherwise(0))
+    else:
+        found = rows.groupBy("_row", others, "w").agg(F.count("w").alias("n")).join(vocabulary, "w", "left")
+    return found.groupBy("_row", others).agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("matched")).drop("_row")

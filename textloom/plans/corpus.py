@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import text as T
-from ..operators import alignment, diffing, sequences
+from ..operators import alignment, diffing, review, sequences
 from .common import Registry, table
 
 query = Registry()
@@ -169,10 +169,8 @@ def purity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a document's tokens that the passages' vocabulary has, by source, in six buckets."""
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
     vocabulary = table(spark, sf_dir, "benchmark").select(F.explode(words("text")).alias("w")).distinct().withColumn("known", F.lit(1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words("text").alias("w"))
-    # counted per document and word before the join, so frequent words are not carried one by one
-    counts = docs.select("doc_id", "source", F.explode_outer("w").alias("w")).groupBy("doc_id", "source", "w").agg(F.count("w").alias("n"))
-    per = counts.join(vocabulary, "w", "left").groupBy("doc_id", "source").agg(F.sum("n").alias("tokens"), F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)).alias("matched"))
+    docs = table(spark, sf_dir, "documents").select("source", words("text").alias("w"))
+    per = review.known_words(docs, vocabulary)
     r = F.when(F.col("tokens") > 0, F.col("matched") / F.col("tokens"))
     per = per.withColumn("r", r)
     ratio = F.when(F.sum("tokens") == 0, F.lit(0)).otherwise(F.floor(10000 * F.sum("matched") / F.sum("tokens") + 0.5)).cast("long")
