@@ -4,10 +4,11 @@ A source's target is its weight's share of the mix, at most `most` times its siz
 by weight until none is above. A document is expected target / source size times. These expected copies are added up
 within the source, documents ordered by size, one random offset is added, and a document is emitted once for each integer
 that the sum crosses at it. As neighbours in that order have about one size, a source's words miss its target by less than
-its largest document's (a source of one document can miss it by half of that, as copies are whole).
+its largest document's. Of CANDIDATES random offsets a source takes the one whose words come nearest to its target, which
+counts where a source has few documents (one of a single document can miss it by half, as copies are whole).
 
 Expected copies are whole multiples of 2^-24, so sums are exact whatever the partitions, no document is emitted more than
-`most` times, and reruns agree. The offset comes from the seed and the source's name.
+`most` times, and reruns agree. The offsets come from the seed and the source's name.
 
 Running sums are taken in two passes: rows are dealt by ranges of (source, size, id, hash of the text), each range sums its
 own, and the ranges' totals, one row for each source in each range, give the offsets. So a source may hold all rows.
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import salted_join, stored
 
-WEIGHTS, UNIT = (3, 1, 2), 1 << 24
+WEIGHTS, UNIT, CANDIDATES = (3, 1, 2), 1 << 24, 16
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -86,13 +87,18 @@ def mix(docs: DataFrame, seed: int = 13, share: Sequence[int] = (3, 2), weights:
     base = stored(base)
     wanted = targets(base.groupBy("key").agg(F.sum("size").alias("source_size")), share, weights, most)
     expected = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size") * UNIT + 0.5)).otherwise(0).cast("long")
-    wanted = wanted.select("key", "source_size", "target", F.least(expected, F.lit(most * UNIT)).alias("expected"))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), lambda j: F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(":"), F.col("key"))), 1, 6), 16, 10).cast("long"))
+    wanted = wanted.select("key", "source_size", "target", F.least(expected, F.lit(most * UNIT)).alias("expected"), drawn.alias("offsets"))  # below UNIT
     rows = salted_join(base, wanted, ["key"]).withColumn("row", F.monotonically_increasing_id())
     order = [F.col("size"), F.col("id"), F.col("hash"), F.col("row")]
-    summed = running_totals(rows, ["key"], order, "expected", "before")
-    offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("key"))), 1, 6), 16, 10).cast("long")  # below UNIT
-    crossed = lambda x: F.shiftright(x + offset, 24)
-    copies = crossed(F.col("before") + F.col("expected")) - crossed(F.col("before"))
+    summed = stored(running_totals(rows, ["key"], order, "expected", "before"))
+    crossed = lambda x, offset: F.shiftright(x + offset, 24)
+    copies_at = lambda offset: crossed(F.col("before") + F.col("expected"), offset) - crossed(F.col("before"), offset)
+    words_at = [F.sum(copies_at(F.get("offsets", j)) * F.col("size")).alias(f"w{j}") for j in range(CANDIDATES)]
+    sums = summed.groupBy("key").agg(F.first("target").alias("target"), F.first("offsets").alias("offsets"), *words_at)
+    misses = F.array(*(F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), F.get("offsets", j).alias("offset")) for j in range(CANDIDATES)))
+    summed = salted_join(summed.drop("offsets"), sums.select("key", F.array_min(misses)["offset"].alias("offset")), ["key"])
+    copies = copies_at(F.col("offset"))
     return summed.select(F.col("id").alias(key), "source", "size", "source_size", "target", copies.alias("copies"))
 
 

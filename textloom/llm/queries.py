@@ -181,11 +181,13 @@ WITH RECURSIVE d AS (
 ), e AS (SELECT high, low FROM r ORDER BY step DESC LIMIT 1
 ), t AS (
   SELECT source, source_size, CASE WHEN 2 * source_size * low < w * high THEN (2 * source_size)::DOUBLE ELSE w::DOUBLE * high::DOUBLE / low::DOUBLE END AS target,
-    ('0x' || substr(md5('13:' || coalesce('s' || source, 't')), 1, 6))::BIGINT AS off FROM s, e
+    list_transform(range(16), lambda j: ('0x' || substr(md5('13:' || j || ':' || coalesce('s' || source, 't')), 1, 6))::BIGINT) AS offs FROM s, e
 ), c AS (
-  SELECT doc_id, size, source_size, target, off, least(CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE * 16777216 + 0.5)::BIGINT ELSE 0 END, 33554432) AS p,
+  SELECT doc_id, d.source, size, source_size, target, offs, least(CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE * 16777216 + 0.5)::BIGINT ELSE 0 END, 33554432) AS p,
     row_number() OVER (PARTITION BY d.source ORDER BY size, doc_id NULLS FIRST) AS k FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), j AS (SELECT source, j, any_value(offs[j + 1]) AS off, abs(sum(((k * p + offs[j + 1]) // 16777216 - ((k - 1) * p + offs[j + 1]) // 16777216) * size) - any_value(target)) AS miss FROM c, range(16) AS x(j) GROUP BY source, j
+), o AS (SELECT source, arg_min(off, {'miss': miss, 'j': j}) AS off FROM j GROUP BY source
 )
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (((k * p + off) // 16777216 - ((k - 1) * p + off) // 16777216) * size)::BIGINT AS taken FROM c
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (((k * p + off) // 16777216 - ((k - 1) * p + off) // 16777216) * size)::BIGINT AS taken FROM c JOIN o ON c.source IS NOT DISTINCT FROM o.source
 """,
 }
