@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import frugal
@@ -101,10 +101,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         return Model(0.5)
     chosen = spark.createDataFrame([tuple(r) for r in ids], known.schema)
     texts = docs.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    texts = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
-    order = Window.partitionBy("_y").orderBy(F.xxhash64("_id"), "_id")
-    fits = (F.sum(F.octet_length("_text")).over(order) <= most) | (F.row_number().over(order) == 1)
-    rows = texts.withColumn("_fits", fits).where("_fits").orderBy(F.xxhash64("_id"), "_id").select("_id", "_y", "_text").collect()
+    # the bytes of the sampled rows, numbers only, tell which of them fit
+    sizes = {r["_id"]: r["n"] for r in texts.select("_id", F.octet_length("_text").alias("n")).join(F.broadcast(chosen), "_id").groupBy("_id").agg(F.max("n").alias("n")).collect()}
+    held, fitting = [0, 0], []
+    for r in ids:
+        held[r["_y"]] += sizes.get(r["_id"], 0)
+        if r["_id"] in sizes and (held[r["_y"]] <= most or held[r["_y"]] == sizes[r["_id"]]):
+            fitting.append(tuple(r))
+    chosen = spark.createDataFrame(fitting, known.schema)
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).orderBy(F.xxhash64("_id"), "_id").collect()
     return fit([(r["_text"].encode(), r["_y"]) for r in rows])
 
 
