@@ -214,10 +214,15 @@ def alignment_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.report_summary(alignment.chapter_reports(aligned, canon))
 
 
-@query()
+@query(f"""
+WITH t AS (SELECT conv_id, unnest(regexp_extract_all(text, '{T.TOKEN}')) AS t FROM conversations),
+k AS (SELECT conv_id, CASE WHEN t = 'the' THEN 'deleted' WHEN t = 'de' THEN 'unclear' WHEN regexp_matches(t, '^[A-Za-z0-9_]+ti[A-Za-z0-9_]+$') THEN 'inserted' ELSE 'normal' END AS kind FROM t)
+SELECT conv_id, kind, count(*) AS tokens, count(*) FILTER (kind = 'inserted') AS mixed FROM k GROUP BY conv_id, kind
+""")
 def markup_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of marked-up texts by kind (F16): brackets in page addresses and texts as they come."""
-    marked = F.regexp_replace("text", r"(\w+)ti(\w+)", "$1[ti]$2")
+    """Tokens of marked-up texts by kind (F16): two words struck out or unclear, a part of others inserted; marks leave the tokens as they were."""
+    alone = lambda c, word, mark: F.regexp_replace(c, f"(?<![A-Za-z0-9_]){word}(?![A-Za-z0-9_])", mark)
+    marked = alone(alone(F.regexp_replace("text", r"(\w+)ti(\w+)", "$1[ti]$2"), "the", "~~the~~"), "de", "{{de}}")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", marked.alias("m"))
     tokens = alignment.with_markup(rows, "m").select("conv_id", F.explode("markup").alias("t"))
     return tokens.groupBy("conv_id", F.col("t.kind").alias("kind")).agg(F.count("*").alias("tokens"), F.count_if(F.col("t.segments").isNotNull()).alias("mixed"))
