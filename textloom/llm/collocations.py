@@ -119,9 +119,8 @@ def sketch(texts: DataFrame, cells: int, least: int, longest: int) -> np.ndarray
 
 def candidates(codes: np.ndarray, distinct: pa.Array, number: np.ndarray, seed: int, bits: np.ndarray, cells: int, longest: int) -> list[tuple[int, str]]:
     """(words, phrase) of a block's distinct phrases whose cell has the bit, as have the cells of all their parts."""
-    names = distinct.to_pylist()
-    names = [x.decode() for x in names]
-    out, own, ids = [], np.zeros(0, bool), np.zeros(0, np.int64)
+    names = [x.decode() for x in distinct.to_pylist()]
+    out, own, ids, shorter = [], np.zeros(0, bool), np.zeros(0, np.int64), names
     for n, at, h in phrases(hashes(distinct)[codes], number, seed, longest):
         cell = (h & np.uint64(cells - 1)).astype(np.int64)
         passed = at[(bits[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1).astype(bool)]
@@ -131,7 +130,12 @@ def candidates(codes: np.ndarray, distinct: pa.Array, number: np.ndarray, seed:
         here[passed] = True
         key = codes[passed].astype(np.int64) if n == 1 else ids[passed] << 32 | codes[passed + n - 1]
         _, place, exact[passed] = np.unique(key, return_index=True, return_inverse=True)
-        out += [(n, " ".join([names[c] for c in codes[i : i + n]])) for i in passed[place].tolist()]
+        first = passed[place]
+        if n == 1:
+            shorter = [names[c] for c in codes[first].tolist()]
+        else:  # one word more than a phrase that is known
+            shorter = [f"{shorter[i]} {names[c]}" for i, c in zip(ids[first].tolist(), codes[first + n - 1].tolist())]
+        out += [(n, x) for x in shorter]
         own, ids = here, exact
     return out
 
