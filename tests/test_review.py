@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import compare, kernels, markers, review
+from textloom.operators import compare, diffing, kernels, markers, review
 from textloom.sources import reports
 
 
@@ -127,3 +127,19 @@ def test_known_words_beyond_a_broadcast(spark):
     for most in (10, 1):
         out = review.known_words(docs, vocabulary, most=most).collect()
         assert sorted((str(r["source"]), r["tokens"], r["matched"]) for r in out) == want
+
+
+def test_sides_without_kinds(spark):
+    """Sides read back need no kinds of changes: verses of one pass are those of the classified tokens."""
+    df = spark.createDataFrame([(["a b", "", "c d e"], ["a x", "c d", "e f", ""]), ([], ["z"]), (None, [None])], "left array<string>, right array<string>")
+    tokens, sides = compare.chapter_diff(df).collect(), compare.chapter_verses(df).collect()
+    for t, s in zip(tokens, sides):
+        for side, at in (("left", "left_verse"), ("right", "right_verse")):
+            want = {}
+            for x in t["tokens"]:
+                if x[at] is not None:
+                    want.setdefault(x[at], []).append(x["value"])
+            assert want == {x["verse"]: x["values"] for x in s["sides"] if x["side"] == side}
+    rows = spark.createDataFrame([("a b c", "a x c"), ("", ""), ("q", "")], "left_text string, right_text string")
+    with_, without = (sorted((r["left_text"], [(t["value"], t["op"]) for t in r["tokens"]], any(t["kind"] for t in r["tokens"])) for r in diffing.with_diff(rows, kinds=k).collect()) for k in (True, False))
+    assert [x[:2] for x in with_] == [x[:2] for x in without] and any(x[2] for x in with_) and not any(x[2] for x in without)

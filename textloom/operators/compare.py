@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -13,41 +15,68 @@ from . import diffing, kernels
 TOKENS = "array<struct<value:string,op:string,kind:string,left_verse:int,right_verse:int,match:int>>"
 
 
-def chapter_tokens(left: list[str], right: list[str]) -> list[dict]:
-    """The classified diff of all verses at once, each token with the verse of either side that it falls to (from 1).
+FIELDS = ("value", "op", "kind", "left_verse", "right_verse", "match")
 
-    match numbers the tokens that both sides have (J13); a side's verse is null for a token that it lacks.
-    """
+
+def _cut(left: list[str], right: list[str], kinds: bool) -> list[tuple]:
+    """FIELDS of each token of the diff of all verses at once."""
     sides = [[kernels.display(v) for v in verses] for verses in (left, right)]
     place = [[i for i, tokens in enumerate(side, 1) for _ in tokens] for side in sides]
-    out, at, match = [], [0, 0], 0
-    for value, op, kind in kernels.classified(kernels.diff(*([t for tokens in side for t in tokens] for side in sides))):
-        row = {"value": value, "op": op, "kind": kind, "left_verse": None, "right_verse": None, "match": None}
-        for side, name, absent in ((0, "left_verse", "ins"), (1, "right_verse", "del")):
-            if op != absent:
-                row[name] = place[side][at[side]]
-                at[side] += 1
+    found = kernels.diff(*([t for tokens in side for t in tokens] for side in sides))
+    out, x, y, match = [], 0, 0, 0
+    for value, op, kind in kernels.classified(found) if kinds else ((v, o, None) for v, o in found):
+        a = b = m = None
+        if op != "ins":
+            a, x = place[0][x], x + 1
+        if op != "del":
+            b, y = place[1][y], y + 1
         if op == "eq":
-            match += 1
-            row["match"] = match
-        out.append(row)
+            m = match = match + 1
+        out.append((value, op, kind, a, b, m))
     return out
 
 
-def chapter_diff(chapters: DataFrame, left: str = "left", right: str = "right", out: str = "tokens") -> DataFrame:
-    """Adds the tokens of a whole-chapter diff; left and right are arrays of verse texts, null ones empty."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chapters.schema) + f", {out} {TOKENS}"
-    kind = pa.list_(pa.struct([("value", pa.string()), ("op", pa.string()), ("kind", pa.string()), *((x, pa.int32()) for x in ("left_verse", "right_verse", "match"))]))
+def chapter_tokens(left: list[str], right: list[str]) -> list[dict]:
+    """The classified diff of all verses at once, each token with the verse of either side that it falls to (from 1).
+
+    match numbers the tokens that both sides have (J13); a side's verse is null for a token that it lacks.
+    """
+    return [dict(zip(FIELDS, t)) for t in _cut(left, right, True)]
+
+
+def _mapped(chapters: DataFrame, left: str, right: str, out: str, type_: str, made: Callable[[list[list[str]], list[list[str]]], pa.Array]) -> DataFrame:
+    """Adds what is made of both sides' verses, null ones empty."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chapters.schema) + f", {out} {type_}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (left, right))
-            tokens = [chapter_tokens(*([t or "" for t in side or []] for side in pair)) for pair in zip(*sides)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, kind)], [*batch.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*batch.columns, made(*([[t or "" for t in verses or []] for verses in side] for side in sides))], [*batch.schema.names, out])
 
     return chapters.mapInArrow(run, schema)
 
 
+def chapter_diff(chapters: DataFrame, left: str = "left", right: str = "right", out: str = "tokens") -> DataFrame:
+    """Adds the tokens of a whole-chapter diff; left and right are arrays of verse texts, null ones empty."""
+    kind = pa.struct([("value", pa.string()), ("op", pa.string()), ("kind", pa.string()), *((x, pa.int32()) for x in ("left_verse", "right_verse", "match"))])
+    return _mapped(chapters, left, right, out, TOKENS, lambda a, b: diffing.token_lists([_cut(x, y, True) for x, y in zip(a, b)], kind))
+
+
+def sides_of(tokens: list[tuple]) -> list[tuple[str, int, list[str]]]:
+    """(side, verse, values) of the verses with tokens, read back from a whole-chapter diff."""
+    out = []
+    for name, at in (("left", 3), ("right", 4)):
+        for verse, own in groupby((t for t in tokens if t[at] is not None), key=itemgetter(at)):
+            out.append((name, verse, [t[0] for t in own]))
+    return out
+
+
+def chapter_verses(chapters: DataFrame, left: str = "left", right: str = "right", out: str = "sides") -> DataFrame:
+    """Adds both sides' verses with their tokens (side, verse, values), read back from a whole-chapter diff (D-3, P6)."""
+    kind = pa.struct([("side", pa.string()), ("verse", pa.int32()), ("values", pa.list_(pa.string()))])
+    return _mapped(chapters, left, right, out, "array<struct<side:string,verse:int,values:array<string>>>", lambda a, b: diffing.token_lists([sides_of(_cut(x, y, False)) for x, y in zip(a, b)], kind))
+
+
 def row_spans(ops: list[str], left: list[int], right: list[int], start: int = 0) -> list[tuple[str, int, int, int]]:
     """(side, verse from 1, row, end) of the verses of a chapter's two sides in a grid of rows (D-7).
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -29,22 +30,34 @@ def _spread(pairs: DataFrame) -> DataFrame:
     return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *pairs.columns)
 
 
-def with_diff(pairs: DataFrame, left: str = "left_text", right: str = "right_text", out: str = "tokens") -> DataFrame:
-    """Adds the classified diff of two texts as an array of (value, op, kind) (D-1, D-2, D-5), in one pass."""
+def token_lists(tokens: list[list[tuple]], kind: pa.DataType) -> pa.ListArray:
+    """Arrow lists of structs from lists of tuples."""
+    flat = list(zip(*(t for row in tokens for t in row))) or [()] * kind.num_fields
+    fields = [kind.field(i) for i in range(kind.num_fields)]
+    structs = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(flat, fields)], fields=fields)
+    return pa.ListArray.from_arrays(pa.array(list(accumulate(map(len, tokens), initial=0)), pa.int32()), structs)
+
+
+def with_diff(pairs: DataFrame, left: str = "left_text", right: str = "right_text", out: str = "tokens", kinds: bool = True) -> DataFrame:
+    """Adds the classified diff of two texts as an array of (value, op, kind) (D-1, D-2, D-5), in one pass.
+
+    Without kinds, which cost the most, kind is null.
+    """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema) + f", {out} {TOKEN}"
-    kind = pa.list_(pa.struct([("value", pa.string()), ("op", pa.string()), ("kind", pa.string())]))
+    kind = pa.struct([("value", pa.string()), ("op", pa.string()), ("kind", pa.string())])
+    named = kernels.classified if kinds else lambda found: [(v, o, None) for v, o in found]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (left, right))
-            tokens = [[{"value": v, "op": o, "kind": k} for v, o, k in kernels.classified(kernels.diff(kernels.display(p), kernels.display(q)))] for p, q in zip(x, y)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, kind)], [*batch.schema.names, out])
+            tokens = [named(kernels.diff(kernels.display(p), kernels.display(q))) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, token_lists(tokens, kind)], [*batch.schema.names, out])
 
     return _spread(pairs).mapInArrow(run, schema)
 
 
-def diff_counts(pairs: DataFrame, keys: list[str], left: str = "left_text", right: str = "right_text") -> DataFrame:
-    """Per row the keys, has_left, has_right, runs of changes (W1) and the changed tokens of each kind (D-5).
+def diff_counts(pairs: DataFrame, keys: list[str], left: str = "left_text", right: str = "right_text", kinds: bool = True) -> DataFrame:
+    """Per row the keys, has_left, has_right, runs of changes (W1) and the changed tokens of each kind (D-5), null without kinds.
 
     Equal texts reach the kernel as nulls, and no tokens leave it.
     """
@@ -56,12 +69,12 @@ def diff_counts(pairs: DataFrame, keys: list[str], left: str = "left_text", righ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            runs, kinds = [], []
+            runs, counts = [], []
             for x, y in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist()):
-                tokens = kernels.classified(kernels.diff(kernels.display(x), kernels.display(y))) if x is not None else []
-                runs.append(kernels.runs([o for _, o, _ in tokens]))
-                kinds.append(list(Counter(k for _, o, k in tokens if o != "eq").items()))
-            columns = [*batch.columns[: len(names)], pa.array(runs, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))]
+                tokens = kernels.diff(kernels.display(x), kernels.display(y)) if x is not None else []
+                runs.append(kernels.runs([o for _, o in tokens]))
+                counts.append(list(Counter(k for _, o, k in kernels.classified(tokens) if o != "eq").items()) if kinds else None)
+            columns = [*batch.columns[: len(names)], pa.array(runs, pa.int32()), pa.array(counts, pa.map_(pa.string(), pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "runs", "kinds"])
 
     return _spread(rows).mapInArrow(run, schema)
@@ -78,7 +91,7 @@ def chapter_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
     """Variants, changed verses and all verses of each chapter (A1); chapters with an empty side are left out."""
     sums = [F.sum("runs").alias("variant_count"), F.sum((F.col("runs") > 0).cast("int")).alias("changed_verse_count"), F.count("*").alias("total_verse_count")]
     sides = [F.max(c).alias(f"_{c}") for c in ("has_left", "has_right")]
-    return diff_counts(pairs, keys).groupBy(*keys).agg(*sums, *sides).where("_has_left AND _has_right").drop("_has_left", "_has_right")
+    return diff_counts(pairs, keys, kinds=False).groupBy(*keys).agg(*sums, *sides).where("_has_left AND _has_right").drop("_has_left", "_has_right")
 
 
 def near_pairs(docs: DataFrame, key: str = "doc_id", text: str = "text", prefix: int = 40, band: int = 50) -> DataFrame:

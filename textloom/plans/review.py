@@ -82,7 +82,7 @@ SELECT a, b, rn, side, len(x)::BIGINT AS tokens, md5(array_to_string(x, ' ')) AS
 @query(_SIDES)
 def verse_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides of each line, read back from its diff (D-1, D-2, P6)."""
-    rows = diffing.with_diff(pairs(spark, sf_dir))
+    rows = diffing.with_diff(pairs(spark, sf_dir), kinds=False)
     sides = F.array(*(F.struct(F.lit(n).alias("side"), F.transform(compare.side(F.col("tokens"), absent), lambda t: t["value"]).alias("x")) for n, absent in (("left", "ins"), ("right", "del"))))
     out = rows.select("a", "b", "rn", F.inline(sides)).where(F.size("x") > 0)
     return out.select("a", "b", "rn", "side", F.size("x").cast("long").alias("tokens"), F.md5(F.array_join("x", " ")).alias("words_md5"))
@@ -94,11 +94,8 @@ def chapter_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     verses = lambda c, n: docs.select(F.col("doc_id").alias(c), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias(n))
     both = diffing.near_pairs(docs).join(verses("a", "left"), "a").join(verses("b", "right"), "b").select("a", "b", "left", "right")
-    tokens = compare.chapter_diff(both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")).select("a", "b", "tokens")
-    side = lambda n: tokens.select("a", "b", F.posexplode("tokens").alias("i", "t")).where(f"t.{n}_verse IS NOT NULL").select("a", "b", F.col(f"t.{n}_verse").alias("rn"), F.lit(n).alias("side"), F.struct("i", "t.value").alias("v"))
-    rows = side("left").unionAll(side("right")).groupBy("a", "b", "rn", "side").agg(F.array_sort(F.collect_list("v")).alias("v"))
-    words = F.array_join(F.transform("v", lambda x: x["value"]), " ")
-    return rows.select("a", "b", "rn", "side", F.size("v").cast("long").alias("tokens"), F.md5(words).alias("words_md5"))
+    rows = compare.chapter_verses(both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "a", "b")).select("a", "b", F.inline("sides"))
+    return rows.select("a", "b", F.col("verse").alias("rn"), "side", F.size("values").cast("long").alias("tokens"), F.md5(F.array_join("values", " ")).alias("words_md5"))
 
 
 _MARKED = """
