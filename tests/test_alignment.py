@@ -1,3 +1,5 @@
+import random
+
 from textloom.operators import alignment as al
 
 
@@ -62,3 +64,24 @@ def test_markup(spark):
     assert al.markup("a ~~b c")[-1]["kind"] == "deleted"
     out = al.with_markup(spark.createDataFrame([("[a]",), (None,)], "t string"), "t").collect()
     assert out[0]["markup"][0]["kinds"] == ["inserted"] and out[1]["markup"] == []
+
+
+def test_grid_matches_as_tables_do():
+    random.seed(8)
+    for _ in range(200):
+        words = ["".join(random.choice("abcd") for _ in range(random.randint(1, 8))) for _ in range(8)]
+        window, verse = ([random.choice(words) for _ in range(random.randint(a, 80))] for a in (0, 1))
+        match = al.Matcher({words[0]: words[1]})
+        grid = al.Grid([("b", verse)], match)
+        grid.learn(window)
+        assert grid.earliest(window, 0) == al.earliest(window, verse, match)
+
+
+def test_walk_compares_no_letters_twice(monkeypatch):
+    """A word is compared with the vocabulary once, not with each verse that the walk passes."""
+    pairs = []
+    plain = al.kernels.edit_pairs
+    monkeypatch.setattr(al.kernels, "edit_pairs", lambda x, y, i, j: pairs.append(len(i)) or plain(x, y, i, j))
+    verses = [("b", ["alpha", "bravo", "charlie", "deltas"])] * 50
+    al.walk(["alphe", "bravi", "charly", "delto"] * 60, [0] * 240, {}, verses)
+    assert 0 < sum(pairs) <= 16

@@ -59,6 +59,75 @@ def earliest(window: list[str], verse: list[str], match: Matcher) -> list[int]:
     return out
 
 
+class Grid:
+    """The canon as the walk reads it: verses (book, words), and for each word of a transcript where it matches in a verse.
+
+    What a transcript word stands for is found once, for the whole vocabulary; a verse's words are bits of a whole number.
+    """
+
+    MOST = 200_000
+
+    def __init__(self, verses: list[tuple[str, list[str]]], match: Matcher | None = None):
+        self.verses, self.match = verses, match or Matcher()
+        self.canon = {w for _, v in verses for w in v}
+        self.vocabulary = sorted(self.canon)
+        self.total = sum(len(v) for _, v in verses)
+        self.begin: dict[str, int] = {}
+        for k, (book, _) in enumerate(verses):
+            self.begin.setdefault(book, k)
+        self.known: dict[str, list[str]] = {}
+        self.places: dict[int, dict[str, int]] = {}
+
+    def learn(self, words: list[str]) -> None:
+        """Makes the words known, which bits() needs."""
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        new = sorted({w for w in words if w not in self.known})
+        if new:
+            self.known |= self.match.rows(new, self.vocabulary) if self.vocabulary else dict.fromkeys(new, [])
+
+    def bits(self, word: str, verse: int) -> int:
+        """The words of a verse that a word stands for, the first one as the lowest bit."""
+        places = self.places.get(verse)
+        if places is None:
+            places = self.places[verse] = {}
+            for j, w in enumerate(self.verses[verse][1]):
+                places[w] = places.get(w, 0) | 1 << j
+        out = 0
+        for w in self.known[word]:
+            if w in places:
+                out |= places[w]
+        return out
+
+    def earliest(self, window: list[str], verse: int) -> list[int]:
+        """As earliest(); a row of the table is one whole number, made from the row after it by one addition."""
+        n = len(self.verses[verse][1])
+        every = (1 << n) - 1
+        same = [self.bits(w, verse) for w in window]
+        # read from the ends, so the first word of a verse is the highest bit; a zero: one more in common with this word than without it
+        free, rows = every, [every]
+        for bits in reversed(same):
+            hit = free & int(format(bits, f"0{n}b")[::-1], 2) if bits else 0
+            if hit:
+                free = (free + hit | free - hit) & every
+            rows.append(free)
+        rows.reverse()
+        out, i, j, m = [], 0, 0, len(window)
+        while i < m and j < n:
+            low = (1 << n - j) - 1  # the words from j on
+            rest = rows[i] & low
+            if rest == low:
+                break  # nothing in common
+            if same[i] >> j & 1:
+                out.append(i)
+                i, j = i + 1, j + 1
+            elif rest.bit_count() == (rows[i + 1] & low).bit_count() or not rest >> (n - j - 1) & 1:
+                i += 1
+            else:
+                j += 1
+        return out
+
+
 def without_sparse_tail(matched: list[int], gap: float) -> list[int]:
     """Matches up to the first wide gap of their second half."""
     if len(matched) < 3:
@@ -110,23 +179,22 @@ def best_start(window: list[str], verses: list[tuple[str, list[str]]], low: int,
     return best
 
 
-def walk(words: list[str], lines: list[int], starts: dict[int, str | None], verses: list[tuple[str, list[str]]], config: Walk = Walk(), match: Matcher | None = None) -> list[int]:
+def walk(words: list[str], lines: list[int], starts: dict[int, str | None], verses: list[tuple[str, list[str]]], config: Walk = Walk(), match: Matcher | None = None, grid: Grid | None = None) -> list[int]:
     """Verse index of each transcript word.
 
     lines: a number for each word's line. starts: word index -> book (or None) of each heading. verses: (book, words) in canonical order.
     A heading starts a segment; one that names a book moves the walk forward to it, and ends the reach of those before.
+    grid: of these verses, where several versions are walked.
     """
     if not words or not verses:
         return []
-    match = match or Matcher()
-    canon = {w for _, v in verses for w in v}
-    units = merged_breaks(words, lines, canon)
+    grid = grid or Grid(verses, match)
+    match = grid.match
+    units = merged_breaks(words, lines, grid.canon)
     text = ["".join(words[i] for i in u) for u in units]
-    total = sum(len(v) for _, v in verses)
+    grid.learn(text)
+    total, begin = grid.total, grid.begin
     ratio = config.ratio if config.ratio is not None else len(words) / total if total else 1.1
-    begin: dict[str, int] = {}
-    for k, (book, _) in enumerate(verses):
-        begin.setdefault(book, k)
     unit_of = {i: k for k, u in enumerate(units) for i in u}
     cuts = sorted({0, *(unit_of[i] for i in starts if 0 < i < len(words))})
     books = {unit_of[i]: b for i, b in starts.items() if 0 < i < len(words)}
@@ -148,7 +216,7 @@ def walk(words: list[str], lines: list[int], starts: dict[int, str | None], vers
                 continue
             expected = len(verse) * ratio
             window = text[here : min(end, here + max(half_up(expected * config.window_slack), config.window_min))]
-            matched = earliest(window, verse, match)
+            matched = grid.earliest(window, at)
             share = len(matched) / len(verse)
             if config.tail_gap > 0 and len(matched) >= 3 and share < config.tail_most_match:
                 matched = without_sparse_tail(matched, ratio * config.tail_gap)
@@ -193,12 +261,15 @@ def align(words: DataFrame, canon: DataFrame, config: Walk = Walk(), dictionary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher(dictionary)
-        lot, verses, ords, version, held = None, [], [], None, []
+        lot, verses, ords, version, held, grid = None, [], [], None, [], None
 
         def walked() -> Iterator[pa.RecordBatch]:
+            nonlocal grid
             if held:
+                if grid is None or grid.verses is not verses:
+                    grid = Grid(verses, match)
                 heads = {i: book for i, (_, _, _, heading, book) in enumerate(held) if heading is not None}
-                found = walk([x[1] for x in held], [x[2] for x in held], heads, verses, config, match)
+                found = walk([x[1] for x in held], [x[2] for x in held], heads, verses, config, match, grid)
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array([version] * len(held), pa.string()), pa.array([x[0] for x in held], pa.int64()), pa.array([ords[v] for v in found], pa.int64())], ["version", "pos", "verse_ord"])
 
