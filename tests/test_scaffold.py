@@ -310,3 +310,22 @@ def test_walk_of_many_versions(spark):
     out = al.align(words, canon).collect()
     assert len(out) == len(rows) and all(r["verse_ord"] == r["pos"] // 3 for r in out)
     assert al.align(words, canon.limit(0)).count() == 0 and al.align(words.limit(0), canon).count() == 0
+
+
+def test_borders_of_rows_as_of_words(spark):
+    """A version that is a row is refined without a shuffle, and as its words are."""
+    random.seed(12)
+    made = []
+    for k in range(30):
+        pool = ["".join(random.choice("abc") for _ in range(random.randint(1, 7))) for _ in range(9)]
+        canon = [[random.choice(pool) for _ in range(random.randint(1, 9))] for _ in range(random.randint(1, 6))]
+        verse = sorted(random.choices(range(len(canon)), k=random.randint(1, 60)))
+        made.append((f"v{k}", [random.choice(pool) for _ in verse], verse, canon))
+    rows = spark.createDataFrame(made, "version string, words array<string>, verse array<bigint>, canon array<array<string>>")
+    got = scaffold.refined_rows(rows)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    words = spark.createDataFrame([(n, u, w, v) for n, ws, vs, _ in made for u, (w, v) in enumerate(zip(ws, vs))], "version string, unit long, joined string, ord long")
+    grid = spark.createDataFrame([(n, i, w) for n, _, _, c in made for i, w in enumerate(c)], "version string, ord long, norms array<string>")
+    want = {(r["version"], r["unit"]): r["ord"] for r in scaffold.refined(words, grid, ["version"]).collect()}
+    assert {(r["version"], u): v for r in got.collect() for u, v in enumerate(r["verse"])} == want
+    assert any(v != r[2][u] for r in made for u in range(len(r[2])) for v in [want[r[0], u]])

@@ -211,6 +211,28 @@ def refined(rows: DataFrame, canon: DataFrame, keys: list[str] | None = None) ->
     return out.withColumn("ord", F.when(F.size("_other") > 0, F.get("_other", 0)).otherwise(F.col("ord"))).drop("_turns", "_chain", "_in", "tail", "head", "_new", "_other")
 
 
+def refined_rows(rows: DataFrame, words: str = "words", verse: str = "verse", canon: str = "canon") -> DataFrame:
+    """As refined(), of versions that are rows: verse (array, a number for each of words) moved over the borders of verses.
+
+    canon: the words of the verses 0, 1, ..., an array of arrays. What is one row before stays one row, so nothing is shuffled.
+    """
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in (verse, canon)) + f", `{verse}` array<bigint>"
+    kept = [c for c in rows.columns if c not in (verse, canon)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Matcher()
+        for batch in batches:
+            found = []
+            for own, at, verses in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (words, verse, canon))):
+                ends = {a for a, b in zip(at, at[1:]) if b == a + 1}
+                # a border that moves to the right lies between the same two verses
+                tails, heads = {a: verses[a][-LOOK:] for a in ends}, {a + 1: verses[a + 1][:LOOK] for a in ends}
+                found.append(moved(own, at, tails, heads, match))
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(found, pa.list_(pa.int64()))], [*kept, verse])
+
+    return rows.mapInArrow(run, schema)
+
+
 def scaffolded(words: DataFrame, canon: DataFrame, sizes: tuple[int, ...] = (6, 4, 3), least: int = 3) -> DataFrame:
     """version, pos, verse_ord of each word; versions that keep no verse give no rows.
 
