@@ -143,3 +143,18 @@ def test_sides_without_kinds(spark):
     rows = spark.createDataFrame([("a b c", "a x c"), ("", ""), ("q", "")], "left_text string, right_text string")
     with_, without = (sorted((r["left_text"], [(t["value"], t["op"]) for t in r["tokens"]], any(t["kind"] for t in r["tokens"])) for r in diffing.with_diff(rows, kinds=k).collect()) for k in (True, False))
     assert [x[:2] for x in with_] == [x[:2] for x in without] and any(x[2] for x in with_) and not any(x[2] for x in without)
+
+
+def test_bleeds_send_ends_only(spark, monkeypatch):
+    """Long verses do not travel: what is stored and joined for them is ten words; their middle still counts as vocabulary."""
+    kept = []
+    plain = review.stored
+    monkeypatch.setattr(review, "stored", lambda df: kept.append(plain(df)) or kept[-1])
+    long = [f"m{i}" for i in range(500)]
+    canon = [("k", 1, ["a1", "a2", *long, "zebra", "end"]), ("k", 2, ["one", "two", "three", "four", *long])]
+    mine = [("k", 1, ["a1", "a2", *long]), ("k", 2, ["zebra", "one", "two", "three", "four", *long])]
+    schema = "b string, verse int, words array<string>"
+    found = review.bleeds(spark.createDataFrame(mine, schema), spark.createDataFrame(canon, schema), ["b"])
+    assert sorted((r["verse"], r["type"], r["into"], r["tokens"], r["score"]) for r in found.collect()) == [(2, "leading-bleed", 1, ["zebra"], 1), (2, "leading-bleed", 1, ["zebra"], 4)]
+    sizes = [len(v) for df in kept for r in df.collect() for v in r if isinstance(v, list)]
+    assert sizes and max(sizes) <= review.K

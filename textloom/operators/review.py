@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
+
 K = 5
 #: Words that say nothing of a boundary by themselves.
 STOP_WORDS = "and the of a an in to with that is he she we they his her their my thy for".split()
@@ -50,30 +52,36 @@ def bleeds(aligned: DataFrame, canon: DataFrame, keys: list[str]) -> DataFrame:
 
     A trailing and a leading finding that mirror each other at one boundary cancel (U6).
     """
-    rows = neighbours(aligned, canon, keys).join(vocabulary(canon, keys), keys, "left")
-    known = lambda words: F.filter(words, lambda w: F.array_contains("vocab", w))
+    # only the ends of verses travel; words of the neighbours are canonical words of the chapter by themselves
+    mine = stored(aligned.select(*keys, "verse", head(F.col("words")).alias("own"), tail(F.col("words")).alias("own_tail")))
+    grid = stored(canon.select(*keys, "verse", head(F.col("words")).alias("first"), tail(F.col("words")).alias("last")))
+    at = lambda step, end, name: grid.select(*keys, (F.col("verse") - step).alias("verse"), F.col(end).alias(name))
+    rows = mine.where("verse <> 0").join(grid, [*keys, "verse"]).join(at(1, "first", "after"), [*keys, "verse"], "left").join(at(-1, "last", "before"), [*keys, "verse"], "left")
     telling = lambda words: (F.size(words) > 0) & ~all_stop_words(words)
-    trailing = F.when(F.col("after").isNotNull(), known(shared(tail(F.col("words")), head(F.col("after")))))
+    trailing = F.when(F.col("after").isNotNull(), shared(F.col("own_tail"), F.col("after")))
     inner = F.col("before").isNotNull() & (F.col("verse") > 1)
-    leading = F.when(inner, known(shared(head(F.col("words")), tail(F.col("before")))))
-    own, first = head(F.col("words")), head(F.col("canon"))
+    leading = F.when(inner, shared(F.col("own"), F.col("before")))
+    own, first = F.col("own"), F.col("first")
     same = F.filter(F.zip_with(F.slice(own, F.lit(2), F.lit(K)), first, lambda a, b: F.coalesce(a == b, F.lit(False))), lambda x: x)
-    shifted = inner & (F.size(own) >= 2) & (F.size(first) >= 2) & (F.get(own, F.lit(0)) != F.get(first, F.lit(0))) & (F.size(same) >= 2)
-    shifted = shifted & F.array_contains("vocab", F.get(own, F.lit(0))) & ~F.get(own, F.lit(0)).isin(*STOP_WORDS)
-    rows = rows.withColumns({"trailing": trailing, "leading": leading, "same": F.when(shifted, F.size(same))})
+    shifted = inner & (F.size(own) >= 2) & (F.size(first) >= 2) & (F.get(own, F.lit(0)) != F.get(first, F.lit(0))) & (F.size(same) >= 2) & ~F.get(own, F.lit(0)).isin(*STOP_WORDS)
+    rows = rows.withColumns({"trailing": trailing, "leading": leading, "same": F.when(shifted, F.size(same)), "word": F.when(shifted, F.get(own, F.lit(0)))})
     rows = rows.withColumn("trailing", F.when(telling(F.col("trailing")), F.col("trailing")))
     # what the verse after begins with, and what the verse before ends with, for the mirrored finding
-    following = aligned.select(*keys, (F.col("verse") - 1).alias("verse"), head(F.col("words")).alias("next_head"))
+    following = mine.select(*keys, (F.col("verse") - 1).alias("verse"), F.col("own").alias("next_head"))
     rows = rows.join(following, [*keys, "verse"], "left")
-    mirrored = F.coalesce(F.size(F.filter(shared(F.col("next_head"), tail(F.col("canon"))), lambda w: F.array_contains("trailing", w))) > 0, F.lit(False))
-    prior = rows.select(*keys, (F.col("verse") + 1).alias("verse"), F.col("trailing").alias("prior"))
-    rows = rows.withColumn("mirrored", mirrored).join(prior, [*keys, "verse"], "left")
+    mirrored = F.coalesce(F.size(F.filter(shared(F.col("next_head"), F.col("last")), lambda w: F.array_contains("trailing", w))) > 0, F.lit(False))
+    rows = stored(rows.select(*keys, "verse", "own", "trailing", "leading", "same", "word", mirrored.alias("mirrored")))
+    prior = rows.where("trailing IS NOT NULL").select(*keys, (F.col("verse") + 1).alias("verse"), F.col("trailing").alias("prior"))
+    # a word before a verse's own words must be one of the chapter: looked up for the few verses that have one
+    asked = rows.where("word IS NOT NULL").groupBy(*keys).agg(F.collect_set("word").alias("asked"))
+    known = canon.select(*keys, "words").join(asked, keys).select(*keys, F.explode(F.array_intersect("asked", "words")).alias("word")).distinct()
+    rows = rows.join(prior, [*keys, "verse"], "left").join(known.withColumn("known", F.lit(True)), [*keys, "word"], "left")
     symmetric = F.coalesce(F.arrays_overlap("leading", "prior"), F.lit(False))
     finding = lambda name, place, when, step, tokens, score: F.when(when, F.struct(F.lit(place).alias("place"), F.lit(name).alias("type"), (F.col("verse") + step).alias("into"), tokens.alias("tokens"), score.alias("score")))
     found = F.array(
         finding("trailing-bleed", 0, F.col("trailing").isNotNull() & ~F.col("mirrored"), 1, F.col("trailing"), F.size("trailing")),
         finding("leading-bleed", 1, telling(F.col("leading")) & ~symmetric, -1, F.col("leading"), F.size("leading")),
-        finding("leading-bleed", 2, F.col("same").isNotNull(), -1, F.slice("words", 1, 1), F.col("same")),
+        finding("leading-bleed", 2, F.col("known"), -1, F.slice("own", 1, 1), F.col("same")),
     )
     out = rows.select(*keys, "verse", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f"))
     return out.select(*keys, "verse", "f.into", "f.type", "f.tokens", "f.score", "f.place")
