@@ -3,7 +3,7 @@
 Words are (version, pos, norm, line_no), the canon (ord, norms): its verses in reading order. Nothing of the canon goes
 through the driver: its n-grams are grouped by place, those of a version by windows, and only anchors, a few numbers each,
 are gathered by version for their longest increasing chain. What is sequential beyond that, the borders of verses, is
-decided in chains of borders that are close to each other (`refined`).
+decided in groups of words near to them (`refined`).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .matching import Matcher
 
 #: Words of the tail and the head of a verse that a border is compared with, and words that may stand for one.
 LOOK, MOST = 5, 4
-#: Runs of so many words or more divide chains of borders, so a border moves at most REACH - MOST words to the right.
+#: Words behind a border that are gathered first, as far as it may go; where it goes farther, more are.
 REACH = 24
 
 
@@ -36,8 +36,9 @@ def units(words: DataFrame, canon: DataFrame) -> DataFrame:
     for key, name in (("norm", "_a"), ("_next", "_b"), ("_both", "_ab")):
         rows = rows.join(known.select(F.col("w").alias(key), F.lit(True).alias(name)), key, "left")
     pair = F.coalesce(F.col("_ab"), F.lit(False)) & ~(F.coalesce(F.col("_a"), F.lit(False)) & F.coalesce(F.col("_b"), F.lit(False)))
-    rows = rows.withColumn("_pair", pair).withColumn("_run", F.sum((~F.col("_pair")).cast("int")).over(w))
-    nth = F.row_number().over(Window.partitionBy("version", "_run", "_pair").orderBy("pos"))
+    # all of it is counted in the order of words, so that rows are sorted once
+    rows = rows.withColumns({"_pair": pair, "_i": F.row_number().over(w)})
+    nth = F.col("_i") - F.coalesce(F.max(F.when(~F.col("_pair"), F.col("_i"))).over(w), F.lit(0))
     rows = rows.withColumn("_opens", F.col("_pair") & (nth % 2 == 1)).withColumn("_closes", F.coalesce(F.lag("_opens").over(w), F.lit(False)))
     rows = rows.withColumn("unit", F.sum((~F.col("_closes")).cast("int")).over(w) - 1)
     return rows.withColumn("joined", F.when(F.col("_opens"), F.col("_both")).otherwise(F.col("norm"))).withColumn("_first", ~F.col("_closes")).select(*words.columns, F.col("unit").cast("long").alias("unit"), "joined", F.col("_first").alias("first"))
@@ -61,20 +62,25 @@ def canon_grams(tokens: DataFrame, n: int) -> DataFrame:
     return grams.groupBy(gram.alias("gram")).agg(F.count("*").alias("_n"), F.min("at").alias("t")).where("_n = 1").drop("_n")
 
 
-def own_grams(text: DataFrame, n: int) -> DataFrame:
-    """version, gram, s: n-grams that a version has once. text: version, unit, joined."""
+def own_grams(text: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
+    """version, n, gram, s: the n-grams of each version, all sizes in one pass. text: version, unit, joined."""
     w = Window.partitionBy("version").orderBy("unit")
-    gram = F.concat_ws(" ", "joined", *(F.lead("joined", k).over(w) for k in range(1, n)))
-    grams = text.select("version", F.when(F.lead("unit", n - 1).over(w).isNotNull(), gram).alias("gram"), "unit").where("gram IS NOT NULL")
-    return grams.groupBy("version", "gram").agg(F.count("*").alias("_n"), F.min("unit").alias("s")).where("_n = 1").drop("_n")
+    rows = text.select("version", "unit", "joined", *(F.lead("joined", k).over(w).alias(f"_{k}") for k in range(1, max(sizes))))
+    gram = lambda n: F.when(F.col(f"_{n - 1}").isNotNull() if n > 1 else F.lit(True), F.concat_ws(" ", "joined", *(f"_{k}" for k in range(1, n))))
+    grams = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), gram(n).alias("gram")) for n in sizes)))
+    return rows.select("version", F.col("unit").alias("s"), grams.alias("g")).select("version", "g.n", "g.gram", "s").where("gram IS NOT NULL")
 
 
 def anchors(text: DataFrame, tokens: DataFrame, sizes: tuple[int, ...]) -> DataFrame:
-    """version, s, t: places of unique n-grams, the longer ones first, cut to an increasing chain after each size."""
-    pairs = None
-    for n in sorted(sizes, reverse=True):
-        own = own_grams(text, n).join(canon_grams(tokens, n), "gram").select("version", F.lit(n).alias("n"), "s", "t")
-        pairs = own if pairs is None else pairs.unionAll(own)
+    """version, s, t: places of unique n-grams, the longer ones first, cut to an increasing chain after each size.
+
+    Whether a version has an n-gram once is counted behind the join, where an n-gram is its place in the canon.
+    """
+    there = None
+    for n in sizes:
+        grams = canon_grams(tokens, n).select(F.lit(n).alias("n"), "gram", "t")
+        there = grams if there is None else there.unionAll(grams)
+    pairs = own_grams(text, sizes).join(stored(there), ["n", "gram"]).groupBy("version", "n", "t").agg(F.count("*").alias("_n"), F.min("s").alias("s")).where("_n = 1")
     found = pairs.groupBy("version").agg(F.collect_list(F.struct("n", "s", "t")).alias("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,14 +103,18 @@ def interpolated(text: DataFrame, chain: DataFrame, tokens: DataFrame) -> DataFr
     """
     w = Window.partitionBy("version").orderBy("unit")
     m = tokens.count()
-    rows = text.join(chain.withColumnRenamed("s", "unit").withColumnRenamed("t", "_t"), ["version", "unit"], "left")
-    at = F.when(F.col("_t").isNotNull(), F.struct(F.col("unit").alias("s"), F.col("_t").alias("t")))
-    rows = rows.withColumns({"_a": F.last(at, ignorenulls=True).over(w), "_b": F.first(at, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))})
     order = Window.partitionBy("version").orderBy("s")
-    slope = (F.lead("t").over(order) - F.col("t")) / (F.lead("s").over(order) - F.col("s"))
-    ends = chain.withColumn("_slope", slope).groupBy("version").agg(F.min_by("_slope", "s").alias("_low"), F.max_by("_slope", F.when(F.col("_slope").isNotNull(), F.col("s"))).alias("_high"))
-    sizes = text.groupBy("version").agg(F.count("*").alias("_n"))
-    rows = rows.join(ends, "version", "left").join(sizes, "version")
+    # each anchor knows the next one, so that no window has to look ahead over the words
+    chain = chain.withColumns({"_s": F.lead("s").over(order), "_u": F.lead("t").over(order)})
+    slope = (F.col("_u") - F.col("t")) / (F.col("_s") - F.col("s"))
+    ends = chain.withColumn("_slope", slope).groupBy("version").agg(
+        F.min_by("_slope", "s").alias("_low"), F.max_by("_slope", F.when(F.col("_slope").isNotNull(), F.col("s"))).alias("_high"), F.min(F.struct("s", "t")).alias("_begin")
+    )
+    at = F.struct(F.col("s"), F.col("t"), F.when(F.col("_s").isNotNull(), F.struct(F.col("_s").alias("s"), F.col("_u").alias("t"))).alias("b"))
+    rows = text.join(chain.select("version", F.col("s").alias("unit"), F.col("t").alias("_t"), at.alias("_at")), ["version", "unit"], "left")
+    sizes = text.groupBy("version").agg(F.count("*").alias("_n")).join(ends, "version", "left")
+    rows = rows.withColumn("_a", F.last("_at", ignorenulls=True).over(w)).join(sizes, "version")
+    rows = rows.withColumn("_b", F.when(F.col("_a").isNull(), F.col("_begin")).otherwise(F.col("_a.b")))
     u = F.col("unit")
     low, high = F.coalesce("_low", F.lit(1.0)), F.coalesce("_high", F.lit(1.0))
     inner = F.col("_a.t") + (u - F.col("_a.s")) / (F.col("_b.s") - F.col("_a.s")) * (F.col("_b.t") - F.col("_a.t"))
@@ -121,8 +131,9 @@ def kept(rows: DataFrame, least: int) -> DataFrame:
     """
     w = Window.partitionBy("version").orderBy("unit")
     rows = rows.withColumn("_kept", F.when(F.count("*").over(Window.partitionBy("version", "ord")) >= least, F.col("ord")))
-    before, after = F.last("_kept", ignorenulls=True).over(w), F.first("_kept", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    rows = rows.withColumns({"_before": before, "_after": after})
+    # the next one is the last one of the other order: a frame up to the end is summed anew for each row
+    back = Window.partitionBy("version").orderBy(F.col("unit").desc())
+    rows = rows.withColumn("_after", F.last("_kept", ignorenulls=True).over(back)).withColumn("_before", F.last("_kept", ignorenulls=True).over(w))
     closer = F.when(F.abs(F.col("ord") - F.col("_before")) <= F.abs(F.col("_after") - F.col("ord")), F.col("_before")).otherwise(F.col("_after"))
     return rows.withColumn("ord", F.coalesce("_kept", closer, "_before", "_after")).drop("_kept", "_before", "_after")
 
@@ -136,9 +147,10 @@ def moved(words: list[str], verse: list[int | None], tails: dict[int, list[str]]
     tail; if like one of the tail, those after it come over, unless one of them is like a word of the head.
     """
     out = list(verse)
+    turns = (i for i in range(len(out) - 1) if out[i] != out[i + 1])
     like = lambda w, side: any(match(w, x) for x in side)
     spans = [(left, total - left) for total in range(2, MOST + 1) for left in range(1, total)]
-    for i in range(len(out) - 1):
+    for i in turns:
         a, b = out[i], out[i + 1]
         if a is None or b is None or b - a != 1 or a not in tails or b not in heads:
             continue
@@ -163,52 +175,67 @@ def moved(words: list[str], verse: list[int | None], tails: dict[int, list[str]]
     return out
 
 
-def refined(rows: DataFrame, canon: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def refined(rows: DataFrame, canon: DataFrame, keys: list[str] | None = None, reach: int = REACH) -> DataFrame:
     """The rows with ord moved over the borders of verses (L13). rows: version, unit, joined, ord; keys: what names a canon.
 
-    canon: keys, ord, norms. A chain holds borders with runs of fewer than REACH units between them; the last MOST - 1 units of
-    the run before it come along as context. Chains are groups of their own, so a long version is many small tasks.
+    canon: keys, ord, norms. Only words near a border are gathered, MOST - 1 before it and `reach` behind it, in groups that
+    have no gap, so a long version is many small tasks. Versions where a border came near the end of its group, as text that
+    repeats a word may move it, are done again with a longer reach.
     """
     keys = keys or []
-    w = Window.partitionBy("version").orderBy("unit")
     ends = canon.select(*keys, "ord", F.slice("norms", F.greatest(F.size("norms") - LOOK + 1, F.lit(1)), LOOK).alias("tail"), F.slice("norms", 1, LOOK).alias("head"))
+    known = stored(ends.join(ends.select(*keys, (F.col("ord") - 1).alias("ord"), F.col("head").alias("_head")), [*keys, "ord"]).select(*keys, F.col("ord").alias("_at"), "tail", F.col("_head").alias("head")))
+    columns = rows.columns
+    rows = at = stored(_near_borders(rows, reach))
+    done = None
+    while True:
+        found = stored(_moved_groups(at.where("_in IS NOT NULL"), known, keys))
+        far = stored(found.where("far").select("version").distinct())
+        last = far.isEmpty()
+        new = found.where("NOT far").select("version", "unit", "new")
+        new = new if last else new.join(far, "version", "left_anti")
+        done = new if done is None else done.unionAll(new)
+        if last:
+            return rows.select(columns).join(done, ["version", "unit"], "left").withColumn("ord", F.coalesce("new", "ord")).drop("new")
+        reach *= 16
+        at = _near_borders(rows.select(columns).join(far, "version", "left_semi"), reach)
+
+
+def _near_borders(rows: DataFrame, reach: int) -> DataFrame:
+    """Adds _turns (a border follows), _ends (the version does) and _in, the number of the group of words near to borders or null."""
+    w = Window.partitionBy("version").orderBy("unit")
     follows = F.lead("ord").over(w)
-    change = F.coalesce(F.lag("ord").over(w) != F.col("ord"), F.lit(False))
-    rows = rows.withColumns({"_turns": follows == F.col("ord") + 1, "_run": F.sum(change.cast("int")).over(w)})
-    size = F.count("*").over(Window.partitionBy("version", "_run"))
-    rows = rows.withColumn("_size", size).withColumns({"_breaks": change & (F.lag("_size").over(w) >= REACH)})
-    rows = rows.withColumn("_chain", F.sum(F.col("_breaks").cast("int")).over(w))
-    after = F.lead("_chain", 1).over(w)
-    for k in range(2, MOST):
-        after = F.greatest(after, F.lead("_chain", k).over(w))
-    rows = rows.withColumn("_also", after)
-    chains = F.when(F.col("_also") > F.col("_chain"), F.array("_chain", F.col("_chain") + 1)).otherwise(F.array("_chain"))
-    rows = stored(rows.select(*(c for c in rows.columns if c not in ("_also", "_run", "_size", "_breaks")), F.explode(chains).alias("_in")))
-    # only the last unit before a border needs to know the two verses
-    border = rows.where("_turns").select("version", *keys, "unit", "_in", "ord")
-    border = border.join(ends.select(*keys, "ord", "tail"), [*keys, "ord"]).join(ends.select(*keys, (F.col("ord") - 1).alias("ord"), "head"), [*keys, "ord"]).select("version", "unit", "_in", "tail", "head")
-    rows = rows.join(border, ["version", "unit", "_in"], "left")
-    unit = F.struct("unit", "joined", "ord", (F.col("_chain") == F.col("_in")).alias("own"), "tail", "head")
-    grouped = rows.groupBy("version", "_in").agg(F.array_sort(F.collect_list(unit)).alias("u"), F.max("_turns").alias("turns"))
-    still = grouped.where("NOT coalesce(turns, false)").select("version", F.inline("u")).where("own").select("version", "unit", "ord")
+    rows = rows.withColumns({"_turns": F.coalesce(follows == F.col("ord") + 1, F.lit(False)), "_ends": F.lead("unit").over(w).isNull(), "_i": F.row_number().over(w)})
+    since = F.col("_i") - F.last(F.when(F.col("_turns"), F.col("_i")), ignorenulls=True).over(w)
+    near = F.coalesce(since <= reach, F.lit(False))
+    for k in range(1, MOST - 1):
+        near = near | F.coalesce(F.lead("_turns", k).over(w), F.lit(False))
+    rows = rows.withColumn("_near", near).withColumn("_begins", F.col("_near") & ~F.coalesce(F.lag("_near").over(w), F.lit(False)))
+    return rows.withColumn("_in", F.when(F.col("_near"), F.sum(F.col("_begins").cast("int")).over(w))).drop("_i", "_near", "_begins")
+
+
+def _moved_groups(near: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """version, unit, new, far: words that change their verse, and a row with far for each group that a border may have left."""
+    # a word that no border follows looks for a number that no verse has, each another one, so that they do not meet in one task
+    near = near.withColumn("_at", F.when(F.col("_turns"), F.col("ord")).otherwise(-1 - F.col("unit"))).join(known, [*keys, "_at"], "left")
+    groups = near.groupBy("version", "_in").agg(F.array_sort(F.collect_list(F.struct("unit", "joined", "ord", "tail", "head"))).alias("u"), F.max("_ends").alias("ends"))
+    groups = groups.select("version", "ends", *(F.col(f"u.{c}").alias(c) for c in ("unit", "joined", "ord")), F.filter("u", lambda x: x["tail"].isNotNull()).alias("borders"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = Matcher()
         for batch in batches:
             out: list[tuple] = []
-            for version, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                tails = {x["ord"]: x["tail"] for x in own if x["tail"] is not None}
-                heads = {x["ord"] + 1: x["head"] for x in own if x["head"] is not None}
-                verse = moved([x["joined"] for x in own], [x["ord"] for x in own], tails, heads, match)
-                out += [(version, x["unit"], v) for x, v in zip(own, verse) if x["own"] or v != x["ord"]]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.int64(), pa.int64()))], ["version", "unit", "ord"])
+            for version, last, unit, words, own, borders in zip(*(c.to_pylist() for c in batch.columns)):
+                tails, heads = {x["ord"]: x["tail"] for x in borders}, {x["ord"] + 1: x["head"] for x in borders}
+                verse = moved(words, own, tails, heads, match)
+                changed = [i for i, (a, b) in enumerate(zip(own, verse)) if a != b]
+                if not last and changed and changed[-1] >= len(own) - 2 * MOST:
+                    out.append((version, None, None, True))
+                out += [(version, unit[i], verse[i], False) for i in changed]
+            columns = zip(*out) if out else ([], [], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.bool_()))], ["version", "unit", "new", "far"])
 
-    new = grouped.where("turns").select("version", "u").mapInArrow(run, "version string, unit long, ord long").unionAll(still)
-    # a unit of context that its border has moved comes twice: once as it was, once moved
-    new = new.groupBy("version", "unit").agg(F.collect_set("ord").alias("_new"))
-    out = rows.where("_in = _chain").join(new, ["version", "unit"]).withColumn("_other", F.filter("_new", lambda o: o != F.col("ord")))
-    return out.withColumn("ord", F.when(F.size("_other") > 0, F.get("_other", 0)).otherwise(F.col("ord"))).drop("_turns", "_chain", "_in", "tail", "head", "_new", "_other")
+    return groups.mapInArrow(run, "version string, unit long, new long, far boolean")
 
 
 def refined_rows(rows: DataFrame, words: str = "words", verse: str = "verse", canon: str = "canon") -> DataFrame:
@@ -238,9 +265,12 @@ def scaffolded(words: DataFrame, canon: DataFrame, sizes: tuple[int, ...] = (6,
 
     words: version, pos, norm, line_no. canon: ord (without gaps), book, norms.
     """
-    own = stored(units(words, canon))
-    text = own.where("first").select("version", "unit", "joined")
+    w = Window.partitionBy("version").orderBy("pos")
+    # a unit is a row with the place of its first word and, where it has two, of the second
+    text = units(words, canon).withColumn("_also", F.when(~F.lead("first").over(w), F.lead("pos").over(w))).where("first")
+    text = stored(text.select("version", "unit", "joined", "pos", "_also"))
     tokens = stored(places(canon))
     rows = interpolated(text, stored(anchors(text, tokens, sizes)), tokens).join(tokens.select("t", "ord"), "t").drop("t")
     rows = refined(kept(rows, least).where("ord IS NOT NULL"), canon)
-    return own.select("version", "pos", "unit").join(rows.select("version", "unit", F.col("ord").alias("verse_ord")), ["version", "unit"]).select("version", "pos", "verse_ord")
+    each = F.explode(F.when(F.col("_also").isNull(), F.array("pos")).otherwise(F.array("pos", "_also")))
+    return rows.select("version", each.alias("pos"), F.col("ord").alias("verse_ord"))
