@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, frugal, salted_join, stored
 from .components import components
-from .words import blocks, data_of, mixed, shingles
+from .words import blocks, data_of, mixed, shingles, word_hashes
 
 PERCENT, WIDTH, BITS, CHUNK, BLOCK, TEXTS = 80, 5, 20, 1 << 14, 1024, 4_000_000  # TEXTS: bytes that a task holds at once
 FETCHED, SALTED = 26, 16  # bits of the filter of rows fetched; levels from which a shingle's list is salted
@@ -41,7 +41,7 @@ UNITS = "list binary, many boolean, pack long, grp long"
 
 def sets_of(column: pa.ChunkedArray, width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    values, at = shingles(*data_of(column), width)
+    values, at = shingles(*data_of(column), width, word_hashes)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         x = np.sort(values[a:b])
