@@ -272,3 +272,27 @@ def test_words_are_hashed_together():
     texts = pa.array(["a b c d e f", None, " ", "a b", "c", "B  a\nb c d e", "a b c d e"], pa.string())
     values, at = w.shingles(*w.data_of(texts), 5, w.word_hashes)
     assert at.tolist() == [0, 2, 2, 2, 3, 4, 6, 7] and values[0] == values[5] == values[6] and len(np.unique(values)) == 5
+
+
+def test_levels_tell_shared_shingles_from_others_of_their_buckets(spark):
+    """A shingle of 60 documents stands out where each bucket holds some 70 others (op9, disk at 30 GB)."""
+    random.seed(4)
+    passage = "here is one passage that sixty of the documents hold"
+    rows = [(i, " ".join(str(random.randrange(10**9)) for _ in range(110)) + (" " + passage) * (i < 60)) for i in range(700)]
+    levels = ngramjoin.shingle_levels(frame(spark, rows), "text", 5, bits=10)
+    import pyarrow as pa
+
+    shared = ngramjoin.sets_of(pa.chunked_array([[passage]]), 5)[0]
+    assert len(levels) == 1024 and np.median(levels[(shared >> np.uint64(54)).astype(np.int64)]) > np.percentile(levels, 95)
+
+
+def test_ngram_join_in_rounds(spark):
+    """The shingles are dealt to rounds, none twice and none to no round, and the links stay (op9, disk at 30 GB)."""
+    rows = near_copies() + [(1000 + i, t) for i, t in documents(200)]
+    levels = ngramjoin.shingle_levels(frame(spark, rows), "text", 5)
+    known = ngramjoin.stored(ngramjoin._documents(frame(spark, rows), "doc_id", "text", levels, 5, 80))
+    every = Counter(map(tuple, ngramjoin._tokens(known, levels, 16).collect()))
+    shares = [Counter(map(tuple, ngramjoin._tokens(known, levels, 16, k, 4).collect())) for k in range(4)]
+    assert sum(shares, Counter()) == every and max(x.total() for x in shares) < 0.3 * every.total()
+    out = ngramjoin.similar(frame(spark, rows), block=32, salted=3, round_bytes=1).select("doc_id", "n_shingles", "component_id")
+    assert sorted(map(tuple, out.collect())) == brute_components(rows)

@@ -12,10 +12,12 @@ largest list alone, then the lists that still hold two components, and in these
 A list of more than BLOCK members is cut into packs; its first check stays within packs, and later only members outside
 the list's main component meet all the others, in blocks. So a group of near copies of any size costs a number of packs in
 proportion to it, and no task holds more than two blocks. Frequent shingles are salted before their lists are gathered.
+Lists are made in ROUNDS, each of its share of the shingles, so that only a part of the prefixes is on disk twice.
 
-The counts go over all documents, their size is fixed (2 ** BITS buckets, sent as levels of one byte); so is that of the
-bitmap of rows whose sets are fetched (2 ** FETCHED bits). Every pair of linked classes is met, so no link is lost and none
-is invented: intersections are counted on 64-bit shingle hashes.
+The counts go over all documents, their size is fixed (2 ** BITS buckets, sent as levels of one byte, STEPS to a doubling,
+so that a shared shingle stands out from a bucket's other ones also where these are many); so is that of the bitmap of rows
+whose sets are fetched (2 ** FETCHED bits). Every pair of linked classes is met, so no link is lost and none is invented:
+intersections are counted on 64-bit shingle hashes.
 Edge cases: null and empty texts, and texts of white space only, have no shingles and link with nothing; rows with equal
 sets link with each other; rows that share an id are separate documents that give one id. A row with a null id links
 others; its own component is null where it has no id to give. Ids are integers. Other columns are not carried.
@@ -24,18 +26,21 @@ others; its own component is null where it has no id to give. Ids are integers.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import discard, frugal, salted_join, stored
+from .common import discard, frugal, release, salted_join, stored
 from .components import components
 from .words import blocks, data_of, mixed, shingles, word_hashes
 
-PERCENT, WIDTH, BITS, CHUNK, BLOCK, TEXTS = 80, 5, 20, 1 << 14, 1024, 4_000_000  # TEXTS: bytes that a task holds at once
-FETCHED, SALTED = 26, 16  # bits of the filter of rows fetched; levels from which a shingle's list is salted
+PERCENT, WIDTH, BITS, CHUNK, BLOCK, TEXTS = 80, 5, 22, 1 << 14, 1024, 4_000_000  # TEXTS: bytes that a task holds at once
+FETCHED, SALTED = 26, 16  # bits of the filter of rows fetched; doublings from which a shingle's list is salted
+STEPS = 8  # levels to a doubling
+ROUNDS, ROUND_BYTES = 4, 8_000_000  # rounds at most; bytes of prefixes that are worth another
 UNITS = "list binary, many boolean, pack long, grp long"
 
 
@@ -50,7 +55,9 @@ def sets_of(column: pa.ChunkedArray, width: int) -> list[np.ndarray]:
 
 
 def shingle_levels(docs: DataFrame, text: str, width: int, bits: int = BITS) -> np.ndarray:
-    """Logarithm (base 2) of the number of documents with a shingle of each hash bucket; the array has 2 ** bits bytes."""
+    """Logarithm (base 2, in parts of 1 / STEPS) of the number of documents with a shingle of each hash bucket; the array has 2 ** bits bytes."""
+
+    size = min(CHUNK, 1 << bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
@@ -58,19 +65,22 @@ def shingle_levels(docs: DataFrame, text: str, width: int, bits: int = BITS) ->
             sets = sets_of(table.column(text), width)
             if sets:
                 counts += np.bincount((np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), minlength=len(counts))
-        for i in range(0, len(counts), CHUNK):
-            if (part := counts[i : i + CHUNK]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype("<i8").tobytes()], pa.binary())], ["at", "counts"])
+        for i in range(0, len(counts), size):
+            if most := int((part := counts[i : i + size]).max()):
+                kind = "<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u8"
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([part.astype(kind).tobytes()], pa.binary())], ["at", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in group.column("counts"))
-        level = np.ceil(np.log2(np.maximum(total, 1) + 0.5)).astype(np.uint8)
+        total = np.zeros(size, np.int64)
+        for x in group.column("counts"):
+            total += np.frombuffer(x.as_buffer(), f"<u{len(x.as_buffer()) // size}").astype(np.int64)
+        level = np.minimum(np.ceil(STEPS * np.log2(np.maximum(total, 1) + 0.5)), 255).astype(np.uint8)
         return pa.table({"at": group.column("at")[:1], "level": pa.array([level.tobytes()], pa.binary())})
 
     rows = docs.select(text).mapInArrow(frugal(count), "at long, counts binary").groupBy("at").applyInArrow(add, "at long, level binary").collect()
     levels = np.zeros(1 << bits, np.uint8)
     for r in rows:
-        levels[r["at"] : r["at"] + CHUNK] = np.frombuffer(r["level"], np.uint8)
+        levels[r["at"] : r["at"] + size] = np.frombuffer(r["level"], np.uint8)
     return levels
 
 
@@ -125,7 +135,7 @@ def _documents(docs: DataFrame, key: str, text: str, levels: np.ndarray, width:
                     continue
                 first = x[np.argsort(sent.value[(x >> shift).astype(np.int64)], kind="stable")[: prefix_length(n, percent)]]
                 prefix, end = first.tobytes(), first[-1]
-                tail = int(sent.value[int(end >> shift)]) << 57 | int(end) >> 7
+                tail = int(sent.value[int(end >> shift)]) << 55 | int(end) >> 9
                 low, bits = parity_bitmap(first, _power(8 * len(first), 6, 14)), parity_bitmap(x, _power(2 * n, 6, 16))
                 rows.append((n, _signed(xxhash.xxh3_64_intdigest(x.tobytes(), n)), _signed(xxhash.xxh3_64_intdigest(prefix, n)), prefix, tail, low, bits))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
@@ -136,8 +146,8 @@ def _documents(docs: DataFrame, key: str, text: str, levels: np.ndarray, width:
     return rows.mapInArrow(frugal(run), "id long, th long, n long, node long, grp long, prefix binary, tail long, low binary, bits binary")
 
 
-def _tokens(known: DataFrame, levels: np.ndarray, salted: int) -> DataFrame:
-    """(token, salt, n, grp) of each prefix shingle; a task gives those of a group it has just had once."""
+def _tokens(known: DataFrame, levels: np.ndarray, salted: int, share: int = 0, shares: int = 1) -> DataFrame:
+    """(token, salt, n, grp) of each prefix shingle in a share of all; a task gives those of a group it has just had once."""
     sent = known.sparkSession.sparkContext.broadcast(levels)
     shift = np.uint64(64 - int(levels.size).bit_length() + 1)
 
@@ -157,7 +167,10 @@ def _tokens(known: DataFrame, levels: np.ndarray, salted: int) -> DataFrame:
             each = np.fromiter(map(len, parts), np.int64, len(parts))
             token = np.concatenate(parts)
             grp, n = (np.repeat(np.asarray(batch.column(j))[new], each) for j in (0, 1))
-            over = np.maximum(sent.value[(token >> shift).astype(np.int64)].astype(np.int64) - salted, 0)
+            if shares > 1:
+                mine = (token & np.uint64(0xFFFF)) % np.uint64(shares) == share
+                token, grp, n = token[mine], grp[mine], n[mine]
+            over = np.maximum(-(-sent.value[(token >> shift).astype(np.int64)].astype(np.int64) // STEPS) - salted, 0)
             salt = (mixed(grp.view(np.uint64) ^ token) & ((np.uint64(1) << over.astype(np.uint64)) - np.uint64(1))).astype(np.int64)
             columns = [pa.array(token.view(np.int64)), pa.array(np.where(over > 0, salt + 1, 0)), pa.array(n), pa.array(grp)]
             yield from pa.table(columns, ["token", "salt", "n", "grp"]).to_batches(65536)
@@ -244,7 +257,20 @@ def _lists(tokens: DataFrame, percent: int, block: int) -> DataFrame:
             yield from close()
 
     rows = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "grp")
-    return rows.mapInArrow(frugal(run), UNITS).distinct()
+    return rows.mapInArrow(frugal(run), UNITS)
+
+
+def _all_lists(known: DataFrame, levels: np.ndarray, salted: int, percent: int, block: int, round_bytes: int, rounds: int = ROUNDS) -> DataFrame:
+    """The lists of all prefix shingles, each list once, stored."""
+    shares = int(min(rounds, 1 + (known.agg(F.sum(F.octet_length("prefix"))).first()[0] or 0) // round_bytes))
+    found = []
+    for share in range(shares):
+        release(known.sparkSession)
+        found.append(stored(_lists(_tokens(known, levels, salted, share, shares), percent, block)))
+    release(known.sparkSession)
+    out = stored(reduce(DataFrame.unionAll, found).distinct())
+    discard(*found)
+    return out
 
 
 def runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.Table]:
@@ -507,7 +533,7 @@ def _second_members(units: DataFrame, classes: DataFrame, labels: DataFrame, blo
     return few.unionAll(both)
 
 
-def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK, salted: int = SALTED) -> DataFrame:
+def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = WIDTH, block: int = BLOCK, salted: int = SALTED, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row per document: key, n_shingles, component_id (the smallest id reachable by links, its own included).
 
     Also th, the xxhash64 of the text, and label, which rows of one component share (null without shingles).
@@ -515,7 +541,7 @@ def similar(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: i
     levels = shingle_levels(docs, text, width)
     known = stored(_documents(docs, key, text, levels, width, percent))
     rows = stored(known.select("id", "th", "n", "node"))
-    lists = stored(_lists(_tokens(known, levels, salted), percent, block))
+    lists = _all_lists(known, levels, salted, percent, block, round_bytes)
     several = known.where("n > 0").groupBy("grp").agg(F.count_distinct("node").alias("m")).where("m > 1").select("grp")
     kept = [F.first(x).alias(x) for x in ("n", "tail", "low", "bits")]
     listed = salted_join(known.drop("prefix"), stored(lists.select("grp").unionAll(several).distinct()), ["grp"], "left_semi")
